@@ -46,58 +46,56 @@ def _basic(df: DataFrame, group: list[str]) -> DataFrame:
     The first step groups by (flow, tag), so the distinct counts of the second step are
     plain counts of its rows and hot flows collapse before anything is shuffled.
     """
-    tagged = df.withColumns({"_dns": P.dns_query(), "_http": P.http_host(), "_tls": P.tls_hello()})
-    tags = F.array_compact(
-        F.array(
-            F.when(F.col("_dns").isNotNull(), F.struct(F.lit("dns").alias("kind"), F.hex("_dns").alias("value"))),
-            F.when(F.col("_http").isNotNull(), F.struct(F.lit("http").alias("kind"), F.col("_http").alias("value"))),
-        )
+    # A payload cannot be both a DNS query and an HTTP request (bytes 3-4 differ): one tag.
+    tag = F.coalesce(
+        F.concat(F.lit("d"), F.hex(P.dns_query())), F.concat(F.lit("h"), P.http_host())
     )
-    fwd = is_forward()
-    length = F.col("length").cast("long")
-    wanted = [*group, "ts_us", "packet_number", "length", "tcp_flags", "_tls", "_sample", "_fwd"]
-    rows = tagged.withColumns(
-        {
-            "_fwd": fwd,
-            "_sample": F.when(F.octet_length("payload") > 0, F.substring("payload", 1, 256)),
-            "_tags": tags,
-        }
-    ).select(*wanted, F.posexplode_outer("_tags").alias("_at", "_tag"))
-    once = F.coalesce(F.col("_at"), F.lit(0)) == 0  # count each packet on its first tag only
+    rows = df.select(
+        *group,
+        "ts_us",
+        "packet_number",
+        F.col("length").cast("long").alias("length"),
+        "tcp_flags",
+        P.tls_hello().alias("_tls"),
+        F.when(F.octet_length("payload") > 0, F.substring("payload", 1, 256)).alias("_sample"),
+        is_forward().alias("_fwd"),
+        tag.alias("_tag"),
+    )
+    length = F.col("length")
     place = F.struct("ts_us", "packet_number")
 
     def total(value: Column, cond: Column) -> Column:
         return F.sum(F.when(cond, value).otherwise(0))
 
-    flags = {f"_{n}": _count(once & _flag(n)) for n, _ in TCP_FLAGS[:6]}
-    by_tag = rows.groupBy(*group, F.col("_tag")).agg(
+    flags = {f"_{n}": _count(_flag(n)) for n, _ in TCP_FLAGS[:6]}
+    by_tag = rows.groupBy(*group, "_tag").agg(
         F.min("ts_us").alias("_first"),
         F.max("ts_us").alias("_last"),
-        _count(once & F.col("_fwd")).alias("_pf"),
-        _count(once & ~F.col("_fwd")).alias("_pr"),
-        total(length, once & F.col("_fwd")).alias("_bf"),
-        total(length, once & ~F.col("_fwd")).alias("_br"),
+        _count(F.col("_fwd")).alias("_pf"),
+        _count(~F.col("_fwd")).alias("_pr"),
+        total(length, F.col("_fwd")).alias("_bf"),
+        total(length, ~F.col("_fwd")).alias("_br"),
         F.min("length").alias("_min"),
         F.max("length").alias("_max"),
         # squares as doubles: exact below 2^53 and never an overflow on a huge flow
-        total(length.cast("double") * length, once).alias("_sq"),
-        _count(once & F.col("_tls").isNotNull()).alias("_tls"),
+        F.sum(length.cast("double") * length).alias("_sq"),
+        F.count("_tls").alias("_tls"),
         F.count("_tag").alias("_tagged"),
         F.min_by("_sample", F.when(F.col("_sample").isNotNull(), place)).alias("_sample"),
         F.min(F.when(F.col("_sample").isNotNull(), place)).alias("_sample_at"),
         *[c.alias(n) for n, c in flags.items()],
     )
-    kind = F.col("_tag.kind")
+    kind = F.substring("_tag", 1, 1)
     flows = by_tag.groupBy(*group).agg(
         F.min("_first").alias("_first"),
         F.max("_last").alias("_last"),
         *[F.sum(n).alias(n) for n in ("_pf", "_pr", "_bf", "_br", "_sq", "_tls", *flags)],
         F.min("_min").alias("_min"),
         F.max("_max").alias("_max"),
-        F.coalesce(F.sum(F.when(kind == "dns", F.col("_tagged"))), F.lit(0)).alias("_dns"),
-        _count(kind == "dns").alias("_dns_u"),
-        F.coalesce(F.sum(F.when(kind == "http", F.col("_tagged"))), F.lit(0)).alias("_http"),
-        _count(kind == "http").alias("_http_u"),
+        F.coalesce(F.sum(F.when(kind == "d", F.col("_tagged"))), F.lit(0)).alias("_dns"),
+        _count(kind == "d").alias("_dns_u"),
+        F.coalesce(F.sum(F.when(kind == "h", F.col("_tagged"))), F.lit(0)).alias("_http"),
+        _count(kind == "h").alias("_http_u"),
         F.min_by("_sample", "_sample_at").alias("_sample"),
     )
     flows = flows.withColumns(
