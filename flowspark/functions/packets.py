@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowspark.functions.keys import col
 
@@ -58,7 +59,7 @@ def tag_app_layer(df: DataFrame) -> DataFrame:
     return df.withColumns({"dns_query": dns_query(), "http_host": http_host(), "tls": tls_hello()})
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _entropy_of_bytes(values: pd.Series) -> pd.Series:
     out = np.zeros(len(values))
     for i, data in enumerate(values):

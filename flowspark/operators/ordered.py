@@ -24,6 +24,10 @@ HOT_KEYS = 1_000  # the next largest key holds under a thousandth of all rows
 CHUNK = "_chunk"
 
 
+def hot_limit(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("flowspark.hotRows", str(HOT_ROWS)))
+
+
 def find_hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> list:
     """Keys above ``hot_rows`` with their counts, largest first (at most ``HOT_KEYS`` rows)."""
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
@@ -39,10 +43,12 @@ class Ordered:
         keys: Sequence[str],
         order: Sequence[str],
         hot_rows: int | None = None,
+        known_cold: bool = False,
     ):
+        """``known_cold`` skips the check where a coarser key was already found cold."""
         self.keys, self.order = list(keys), list(order)
-        limit = hot_rows or int(df.sparkSession.conf.get("flowspark.hotRows", str(HOT_ROWS)))
-        hot = find_hot_keys(df, keys, limit)
+        limit = hot_rows or hot_limit(df)
+        hot = [] if known_cold else find_hot_keys(df, keys, limit)
         self.chunked = bool(hot)
         self.df = self._split(df, hot, limit) if hot else df
 

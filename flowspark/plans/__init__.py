@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-THEMES = ("q_flows",)
+THEMES = ("q_flows", "q_alerts", "q_board")
 
 
 def load_catalog():
