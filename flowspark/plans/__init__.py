@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-THEMES = ("q_flows", "q_alerts", "q_board")
+THEMES = ("q_flows", "q_alerts", "q_board", "q_sources")
 
 
 def load_catalog():
