@@ -42,8 +42,9 @@ def frame_tuple(frame: Column) -> Column:
 
 def decode_frames(df: DataFrame, frame_col: str = "frame") -> DataFrame:
     """Add the five-tuple and directed key; frames that do not decode are dropped."""
-    out = df.withColumn("_t", frame_tuple(F.col(frame_col))).filter(F.col("_t").isNotNull())
-    return out.select(*df.columns, "_t.*").withColumn("flow_key", directed_key())
+    # inside a generator, each frame is decoded once (a filter would decode it again)
+    tuples = F.filter(F.transform(F.array(frame_col), frame_tuple), lambda t: t.isNotNull())
+    return df.select("*", F.inline(tuples)).withColumn("flow_key", directed_key())
 
 
 def captured_frames(df: DataFrame, data: str = "data") -> DataFrame:

@@ -241,23 +241,31 @@ def _data_rows(df: DataFrame, templates: DataFrame, datagram: str, exporter: str
     rows = asof_templates(sets, templates, timeout_s)
     rows = rows.withColumn("_size", F.aggregate("spec", F.lit(0), lambda s, f: s + f["flen"]))
     rows = rows.filter((F.col("_size") > 0) & (F.octet_length("_body") >= F.col("_size")))
-    count = F.floor(F.octet_length("_body") / F.col("_size")).cast("int")
-    rows = rows.withColumn("_i", F.explode(F.sequence(F.lit(0), count - 1)))
-    rows = rows.withColumn("_r", F.substring("_body", F.col("_i") * F.col("_size") + 1, F.col("_size")))
-    # byte position of every field; a repeated field number keeps its last place
-    placed = F.transform(
+    # Where each wanted field lies, worked out once per set before it becomes records.
+    # A repeated field number keeps its last place.
+    starts = F.transform(
         "spec",
         lambda f, i: F.struct(
             f["ftype"].alias("ftype"),
             f["flen"].alias("flen"),
-            F.aggregate(F.slice("spec", F.lit(1), i), F.lit(0), lambda s, g: s + g["flen"]).alias("off"),
+            F.aggregate(F.slice("spec", F.lit(1), i), F.lit(1), lambda s, g: s + g["flen"]).alias("pos"),
         ),
     )
-    rows = rows.withColumn("_placed", placed)
+
+    def last_of(fs: Column, number: int) -> Column:
+        return F.try_element_at(F.filter(fs, lambda f: f["ftype"] == number), F.lit(-1))
+
+    places = F.transform(
+        F.array(starts), lambda fs: F.struct(*[last_of(fs, n).alias(name) for name, n in FIELDS.items()])
+    )
+    count = F.floor(F.octet_length("_body") / F.col("_size")).cast("int")
+    rows = rows.withColumn("_at", F.get(places, F.lit(0))).withColumn(
+        "_i", F.explode(F.sequence(F.lit(0), count - 1))
+    )
+    rows = rows.withColumn("_r", F.substring("_body", F.col("_i") * F.col("_size") + 1, F.col("_size")))
 
     def value(name: str) -> Column:
-        hit = F.try_element_at(F.filter("_placed", lambda f: f["ftype"] == FIELDS[name]), F.lit(-1))
-        return F.substring("_r", hit["off"] + 1, hit["flen"])
+        return F.substring("_r", F.col(f"_at.{name}.pos"), F.col(f"_at.{name}.flen"))
 
     def number(name: str) -> Column:
         v = value(name)
@@ -271,7 +279,7 @@ def _data_rows(df: DataFrame, templates: DataFrame, datagram: str, exporter: str
         )
 
     def clock(name: str) -> Column:
-        given = F.exists("_placed", lambda f: f["ftype"] == FIELDS[name])
+        given = F.col(f"_at.{name}").isNotNull()
         back = (F.col("_uptime") - number(name)) / F.lit(1000.0)
         return F.when(given & F.col("_uptime").isNotNull(), F.col("_secs") - back).otherwise(F.col("_secs").cast("double"))
 
@@ -334,7 +342,8 @@ def decode_sflow(df: DataFrame, datagram: str = "datagram", exporter: str = "exp
     raw = records.filter(F.col("_rec.id").isin(*RAW_HEADER)).withColumn("_h", F.col("_rec.body"))
     h = F.col("_h")
     header = F.substring(h, F.lit(17), be_uint(h, 13, 4).cast("int"))
-    rows = raw.withColumn("_t", frame_tuple(header)).filter(F.col("_t").isNotNull())
+    tuples = F.filter(F.transform(F.array(header), frame_tuple), lambda t: t.isNotNull())
+    rows = raw.withColumn("_t", F.explode(tuples))
     when = now / F.lit(1e6)
     zero = F.lit(0).cast("long")
     return rows.select(
