@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-THEMES = ("q_flows", "q_alerts", "q_board", "q_sources")
+THEMES = ("q_flows", "q_alerts", "q_board", "q_sources", "q_detect")
 
 
 def load_catalog():
