@@ -12,38 +12,53 @@ from flowspark.functions.keys import col
 from flowspark.schemas import FEATURES
 
 
-def _number(df: DataFrame, name: str, flat_ok: bool) -> Column:
-    """The feature as double from the nested map/struct, or from a flat column of that name."""
+def _from_map(features: Column, names: Sequence[str]) -> Column:
+    """Map values in name order. A map already in that order (the usual case) is taken as it is."""
+    wanted = F.array(*[F.lit(n) for n in names])
+    return F.when(
+        F.map_keys(features) == wanted, F.transform(F.map_values(features), lambda v: v.try_cast("double"))
+    ).otherwise(F.transform(wanted, lambda n: F.try_element_at(features, n).try_cast("double")))
+
+
+def _vector(df: DataFrame, names: Sequence[str], flat_ok: bool) -> Column:
+    """The features as doubles (null where missing) from the nested form, else from flat columns."""
+    flat = None
+    if flat_ok:
+        flat = F.array(
+            *[(F.col(n) if n in df.columns else F.lit(None)).try_cast("double") for n in names]
+        )
     nested = None
     if "features" in df.columns:
         kind = df.schema["features"].dataType
         if isinstance(kind, T.MapType):
-            nested = F.col("features")[name]
-        elif isinstance(kind, T.StructType) and name in kind.fieldNames():
-            nested = F.col(f"features.{name}")
-    flat = F.col(name) if flat_ok and name in df.columns else None
+            # bound once: the map may be an expression, not a scanned column
+            nested = F.get(F.transform(F.array("features"), lambda m: _from_map(m, names)), F.lit(0))
+        elif isinstance(kind, T.StructType):
+            has = kind.fieldNames()
+            nested = F.array(
+                *[(F.col(f"features.{n}") if n in has else F.lit(None)).try_cast("double") for n in names]
+            )
     if nested is not None and flat is not None:
-        value = F.when(F.col("features").isNotNull(), nested.try_cast("double")).otherwise(
-            flat.try_cast("double")
-        )
-    elif nested is not None or flat is not None:
-        value = (nested if nested is not None else flat).try_cast("double")
-    else:
-        value = F.lit(None).cast("double")
-    return value
+        return F.when(F.col("features").isNotNull(), nested).otherwise(flat)
+    if nested is not None:
+        return nested
+    return flat if flat is not None else F.array(*[F.lit(None).cast("double") for _ in names])
 
 
 def strict_vector(df: DataFrame, names: Sequence[str] = FEATURES, flat_ok: bool = True) -> DataFrame:
-    """Add ``vec``; rows lacking any feature, or with a non-numeric one, are dropped."""
-    vec = F.array(*[_number(df, n, flat_ok) for n in names])
-    return df.withColumn("vec", vec).filter(~F.exists("vec", lambda v: v.isNull()))
+    """Add ``vec``; rows lacking any feature, or with a non-numeric one, are dropped.
+
+    The test sits inside a generator, so the vector is built once per row (a filter would be
+    pushed below the projection and build it again).
+    """
+    whole = F.filter(F.array(_vector(df, names, flat_ok)), lambda v: ~F.exists(v, lambda x: x.isNull()))
+    return df.select(*[c for c in df.columns if c != "vec"], F.explode(whole).alias("vec"))
 
 
 def lenient_vector(df: DataFrame, names: Sequence[str] = FEATURES) -> DataFrame:
     """Add ``vec`` with 0 for missing or non-numeric features; a missing ``timestamp`` becomes now."""
-    out = df.withColumn(
-        "vec", F.array(*[F.coalesce(_number(df, n, True), F.lit(0.0)) for n in names])
-    )
+    filled = F.transform(_vector(df, names, True), lambda v: F.coalesce(v, F.lit(0.0)))
+    out = df.withColumn("vec", filled)
     if "timestamp" in df.columns:
         now = F.unix_micros(F.current_timestamp()) / 1e6
         out = out.withColumn(
@@ -82,7 +97,7 @@ def zscore_sequence(seq: str | Column, means: Column, stds: Column) -> Column:
 def labelled_vectors(df: DataFrame, label: str = "label", flat_ok: bool = False) -> DataFrame:
     """Rows with a complete vector and a label that reads as 0 or 1 (column ``y``)."""
     y = F.col(label).try_cast("int")
-    return strict_vector(df, flat_ok=flat_ok).withColumn("y", y).filter(F.col("y").isin(0, 1))
+    return strict_vector(df.withColumn("y", y).filter(F.col("y").isin(0, 1)), flat_ok=flat_ok)
 
 
 def vector_error(orig: Column, recon: Column) -> Column:
