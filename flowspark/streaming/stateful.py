@@ -35,8 +35,9 @@ def _arrivals(rows: Iterator[pd.DataFrame], order: list[str]) -> Iterator[tuple]
     yield from whole.itertuples(index=False)
 
 
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+def _struct(**fields: T.DataType) -> T.StructType:
+    """State schema built without the JVM, which tasks cannot reach."""
+    return T.StructType([T.StructField(n, t) for n, t in fields.items()])
 
 
 class DedupProcessor(StatefulProcessor):
@@ -47,7 +48,7 @@ class DedupProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", _struct("us BIGINT"))
+        self.last = handle.getValueState("last", _struct(us=T.LongType()))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         last = self.last.get()[0] if self.last.exists() else None
@@ -90,7 +91,7 @@ class CountWindowProcessor(StatefulProcessor):
         self.length, self.order = length, order
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.waiting = handle.getListState("waiting", _struct("vec ARRAY<DOUBLE>"))
+        self.waiting = handle.getListState("waiting", _struct(vec=T.ArrayType(T.DoubleType())))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         held = [list(r[0]) for r in self.waiting.get()] if self.waiting.exists() else []
@@ -128,7 +129,7 @@ class SessionProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("session", _struct("first BIGINT, last BIGINT, n BIGINT"))
+        self.state = handle.getValueState("session", _struct(first=T.LongType(), last=T.LongType(), n=T.LongType()))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         first, last, n = self.state.get() if self.state.exists() else (None, None, 0)
@@ -172,7 +173,7 @@ class TemplateProcessor(StatefulProcessor):
         self.timeout_us, self.columns, self.order = timeout_us, columns, order
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.known = handle.getValueState("template", _struct("seen BIGINT, spec STRING"))
+        self.known = handle.getValueState("template", _struct(seen=T.LongType(), spec=T.StringType()))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         seen, spec = self.known.get() if self.known.exists() else (None, None)
