@@ -48,10 +48,10 @@ def json_string(c: Column) -> Column:
             .otherwise(F.concat(F.lit("\\u"), unit))
         )
 
-    body = F.when(c.rlike(r"^[\x20-\x7e]*$"), simple).otherwise(
+    body = F.when(c.rlike(r"\A[\x20-\x7e]*\z"), simple).otherwise(
         F.array_join(F.transform(starts, escape), "")
     )
-    return F.coalesce(F.concat(F.lit('"'), body, F.lit('"')), F.lit("null"))
+    return F.when(c.isNull(), "null").otherwise(F.concat(F.lit('"'), body, F.lit('"')))
 
 
 def alert_hash() -> Column:
