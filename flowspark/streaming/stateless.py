@@ -82,9 +82,9 @@ def stream_counters(alerts: DataFrame) -> DataFrame:
 
 
 def observed(df: DataFrame, name: str) -> DataFrame:
-    """Count rows and dead letters on the way through, as query metrics."""
-    bad = F.count_if(F.col("_error").isNotNull()) if "_error" in df.columns else F.lit(0).cast("long")
-    return df.observe(name, F.count(F.lit(1)).alias("rows"), F.max(bad).alias("bad") if "_error" not in df.columns else bad.alias("bad"))
+    """Count rows and dead letters (``_error`` set) on the way through, as query metrics."""
+    bad = F.count("_error") if "_error" in df.columns else F.count(F.lit(None))
+    return df.observe(name, F.count(F.lit(1)).alias("rows"), bad.alias("bad"))
 
 
 def start_file_query(df: DataFrame, path: str, checkpoint: str, fmt: str = "parquet", once: bool = False, every: str = "10 seconds"):
