@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from flowspark.operators.ordinal import global_ordinal, global_prefix, group_quantiles
+from flowspark.operators.ordinal import global_prefix, group_quantiles, group_values_at
 
 
 def _seconds_of(window: Column) -> Column:
@@ -91,15 +91,12 @@ def psi_drift(reference: DataFrame, current: DataFrame, cols: Sequence[str], bin
         return df.select(F.inline(pairs)).filter("v is not null")
 
     ref, cur = long(reference), long(current)
-    placed = global_ordinal(ref, ["v"], group=["feature"])
-    n = F.col("ordinal_n")
-    marks = F.array(*[F.floor(n * k / F.lit(bins)).cast("long") for k in range(1, bins)])
-    # one row per feature with bins - 1 numbers
-    edges = (
-        placed.filter(F.array_contains(F.transform(marks, lambda m: F.least(m, n - 1)), F.col("ordinal")))
-        .groupBy("feature")
-        .agg(F.array_sort(F.collect_set("v")).alias("edges"))
-    )
+
+    def marks(n: Column) -> Column:
+        return F.array(*[F.least(F.floor(n * k / F.lit(bins)).cast("long"), n - 1) for k in range(1, bins)])
+
+    # one row per feature with at most bins - 1 numbers
+    edges = group_values_at(ref, "v", ["feature"], marks, "edges")
 
     def shares(df: DataFrame, name: str) -> DataFrame:
         binned = df.join(F.broadcast(edges), "feature").withColumn(
