@@ -11,7 +11,7 @@ from flowspark.functions import alerts as A
 from flowspark.functions import scores as S
 from flowspark.functions.keys import ipv4_to_long
 from flowspark.functions.times import micros
-from flowspark.operators.ordered import Ordered
+from flowspark.operators.ordered import Ordered, find_hot_keys, hot_limit
 from flowspark.schemas import IP_INFO, SEVERITIES
 
 MICRO = 1_000_000
@@ -75,14 +75,15 @@ def ip_lookup(ips: DataFrame, cidr_dim: DataFrame) -> DataFrame:
     return hits.groupBy("ip").agg(F.max_by("_info", "_plen").alias("info"))
 
 
-def enrich_ips(alerts: DataFrame, cidr_dim: DataFrame, domain_dim: DataFrame | None = None) -> DataFrame:
+def enrich_ips(alerts: DataFrame, cidr_dim: DataFrame, domain_dim: DataFrame | None = None, seen_in: DataFrame | None = None) -> DataFrame:
     """Add ``src_ip_enrichment`` and ``dst_ip_enrichment`` (null when nothing matches).
 
     Addresses are looked up once each. ``domain_dim`` (``ip`` plus attributes) overwrites
-    the network result where it has the address.
+    the network result where it has the address. ``seen_in`` is a cheaper frame holding all
+    of the addresses, where ``alerts`` is costly to compute.
     """
     ends = F.explode(F.array("src_ip", "dst_ip")).alias("ip")
-    ips = alerts.select(ends).filter("ip is not null").distinct()
+    ips = (seen_in if seen_in is not None else alerts).select(ends).filter("ip is not null").distinct()
     info = ip_lookup(ips, cidr_dim)
     if domain_dim is not None:
         fields = [f.split()[0] for f in IP_INFO.split(",")]
@@ -293,7 +294,9 @@ def correlation_links(alerts: DataFrame, window_s: int = 3600, min_score: float
         "src": ["src_ip"],
         "dst": ["dst_ip"],
     }.items():
-        step = Ordered(df, keys, ["ts_us", tie]).prev(**{f"_{name}": me})
+        # looked for on the bare alerts: ``df`` carries the links found so far
+        hot = find_hot_keys(alerts, keys, hot_limit(alerts))
+        step = Ordered(df, keys, ["ts_us", tie], hot=hot).prev(**{f"_{name}": me})
         df = step.result()
         present = F.lit(True)
         for key in keys:

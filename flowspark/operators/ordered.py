@@ -44,11 +44,18 @@ class Ordered:
         order: Sequence[str],
         hot_rows: int | None = None,
         known_cold: bool = False,
+        hot: list | None = None,
     ):
-        """``known_cold`` skips the check where a coarser key was already found cold."""
+        """``known_cold`` skips the check where a coarser key was already found cold.
+
+        ``hot`` gives the keys found before, on a cheaper frame with the same keys.
+        """
         self.keys, self.order = list(keys), list(order)
         limit = hot_rows or hot_limit(df)
-        hot = [] if known_cold else find_hot_keys(df, keys, limit)
+        if known_cold:
+            hot = []
+        elif hot is None:
+            hot = find_hot_keys(df, keys, limit)
         self.chunked = bool(hot)
         self.df = self._split(df, hot, limit) if hot else df
 

@@ -29,4 +29,4 @@ def alert_chain(
     fresh = O.dedup_alerts(alerts, window_s, tie=tie, known_cold=cold)
     scored = O.group_scores(fresh, idle_s, tie=tie, known_cold=cold)
     out = scored.withColumn("stix_indicator", A.stix_indicator(as_of_us))
-    return out if cidr_dim is None else O.enrich_ips(out, cidr_dim, domain_dim)
+    return out if cidr_dim is None else O.enrich_ips(out, cidr_dim, domain_dim, seen_in=detections)
