@@ -127,10 +127,11 @@ def predict(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_co
         *[c.alias(name) for name, c in extra.items()], F.col(id_col).alias("doc_id"), text.alias("text"),
         F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("_letters"),
     )
-    sent, carried = df.sparkSession.sparkContext.broadcast(model), list(extra)
+    parts = (model.languages, model.logp, model.prior, model.orders)  # plain values: a broadcast needs no class of ours
+    sent, carried = df.sparkSession.sparkContext.broadcast(parts), list(extra)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
+        model = LanguageModel(*sent.value)
         names = np.array([*model.languages, UNKNOWN], dtype=object)
         for batch in T.pieces(batches):
             letters = batch.column("_letters").to_numpy(zero_copy_only=False)

@@ -25,7 +25,7 @@ RULES: tuple[tuple[str, str], ...] = (
     ("too_long", "n_words > 100000"),
     ("mean_word_length", "word_chars < 2 * n_words or word_chars > 15 * n_words"),
     ("symbols", "10 * n_symbols > n_words"),
-    ("duplicate_lines", "100 * n_dup_lines > 30 * n_lines"),
+    ("duplicate_lines", "100 * n_dup_lines > 50 * n_lines"),
     ("upper_case", "100 * n_upper_words > 40 * n_words"),
     ("bare_words", "100 * n_bare_words > 20 * n_words"),
     ("some_repeats", "100 * n_repeat_words > 20 * n_words"),

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_BYTES = 8 << 20
-SLICE = 1 << 18
+SLICE = 1 << 15
 _RATIO = 0x9E3779B97F4A7C15
 
 
