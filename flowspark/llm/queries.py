@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowspark.llm import decontaminate, language, quality_rules
+from flowspark.llm import decontaminate, language, licenses, quality_model, quality_rules, secrets, warc
+from flowspark.llm.shared import shared_path
 from flowspark.llm.tokens import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +45,48 @@ def sql_shingles(source: str, key: str) -> str:
     FROM (SELECT {key}, {sql_words(sql_lower("text"))} AS w FROM {source})"""
 
 
+_B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_SQL_B32 = " || ".join(
+    f"substr('{_B32}', 1 + ((CAST('0x' || substr(h, {5 * i + 1}, 5) AS INTEGER) >> {s}) & 31), 1)" for i in range(8) for s in (15, 10, 5, 0)
+)
+
+
+@query(
+    "op1_warc",
+    f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+m AS (SELECT *, min(page_id) OVER (PARTITION BY h, payload_bytes) AS first FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, {_SQL_B32} AS payload_digest,
+    CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> first THEN first END AS refers_to
+FROM m""",
+)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "warc")
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    return warc.read_archive(spark, path).select(
+        F.col("record").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
+@query("op3_secret_scan")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.train(docs)).select(
+        "doc_id", "finding_no", F.sha2("value", 256).alias("value_digest"), F.length("value").alias("n_chars"), "score", "is_secret"
+    )
+
+
+@query("op4_license_scan")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: the source is the top folder, and documents that are mostly a notice are licence files."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 1000), F.floor(F.col("doc_id") / 50), "doc_id")
+    mostly = 3 * F.length(licenses.notice(F.col("text"))) >= F.length("text")
+    return licenses.scan(docs, path=path, licence_file=mostly)
+
+
 @query("op6_language_id")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -52,6 +95,13 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model, extra={"held_out": held_out}).select("doc_id", "held_out", "lang_pred", "score")
 
 
+@query("op7_quality_classifier")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), remainder("doc_id", 5) == 0
+    model = quality_model.fit(docs, table(spark, sf_dir, "labels").filter(~held_out))
+    return quality_model.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 @query(
     "op9_benchmark_decontamination",
     f"""
