@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowspark.llm import decontaminate, language, licenses, quality_model, quality_rules, secrets, warc
+from flowspark.llm import decontaminate, language, licenses, quality_model, quality_rules, secrets, sentence_pieces, warc
 from flowspark.llm.shared import shared_path
 from flowspark.llm.tokens import remainder
 
@@ -87,6 +87,17 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(docs, path=path, licence_file=mostly)
 
 
+@query("op5_sentence_pieces")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode and decode; ids and texts as digests."""
+    pieces = sentence_pieces.load()
+    text = F.coalesce("text", F.lit(""))
+    ids = sentence_pieces.encode(table(spark, sf_dir, "documents"), pieces, extra={"digest": F.sha1(text)})
+    counted = ids.select("doc_id", "digest", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_digest"), "ids")
+    back = sentence_pieces.decode(counted, pieces, extra=["digest", "n_tokens", "ids_digest"])
+    return back.select("doc_id", "n_tokens", "ids_digest", F.sha1("text").alias("text_digest"), (F.sha1("text") == F.col("digest")).alias("round_trip"))
+
+
 @query("op6_language_id")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
