@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowspark.llm import tokens as T
+from flowspark.llm.bitmaps import bitmap, held
 
 #: Copies of each sketch row, so that a passage found in very many documents isn't one join key.
 SALTS = 8
@@ -50,23 +51,6 @@ def sketch_items(items: DataFrame, item_id: str = "item_id", text_col: str = "te
     return rows.mapInArrow(run, f"item_id {kind}, n_item long, shingles array<long>, sketch array<long>").filter("n_item > 0")
 
 
-def bitmap(values: DataFrame, bits: int) -> np.ndarray:
-    """Bitmap of 2**bits places over a long column ``v``; the size doesn't depend on the number of rows."""
-    place = F.col("v").bitwiseAND(F.lit((1 << bits) - 1))
-    words = values.select(place.alias("p")).groupBy(F.expr("shiftright(p, 5)").alias("w")).agg(
-        F.expr("bit_or(shiftleft(1L, cast(p & 31 as int)))").alias("b")
-    )
-    got = words.toPandas()  # 2**(bits - 5) rows at most
-    out = np.zeros(1 << (bits - 5), np.uint32)
-    out[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64).astype(np.uint32)
-    return out
-
-
-def held(map_: np.ndarray, value: np.ndarray, bits: int) -> np.ndarray:
-    place = value & np.uint64((1 << bits) - 1)
-    return (map_[(place >> np.uint64(5)).astype(np.int64)] >> (place & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
-
-
 def find_leaks(
     docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text_col: str = "text", item_id: str = "item_id",
     item_text: str = "text", n: int = 5, percent: int = 80, bits: int = 22,

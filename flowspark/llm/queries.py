@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowspark.llm import decontaminate, language, licenses, quality_model, quality_rules, secrets, sentence_pieces, warc
+from flowspark.llm import decontaminate, jaccard_join, language, licenses, quality_model, quality_rules, secrets, sentence_pieces, warc
 from flowspark.llm.shared import shared_path
 from flowspark.llm.tokens import remainder
 
@@ -113,6 +113,23 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+@query(
+    "op8_jaccard_join",
+    f"""
+WITH RECURSIVE s AS MATERIALIZED ({sql_shingles("documents", "doc_id")}),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+e AS MATERIALIZED (
+    SELECT a.doc_id AS u, b.doc_id AS v FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id
+    JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+    GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.v FROM r JOIN e ON r.b = e.u)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.b) AS component_id
+FROM documents d JOIN r ON r.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id""",
+)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_components(table(spark, sf_dir, "documents"))
+
+
 @query(
     "op9_benchmark_decontamination",
     f"""
