@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowspark.llm import decontaminate, jaccard_join, language, licenses, quality_model, quality_rules, secrets, sentence_pieces, warc
+from flowspark.llm import backoff_lm, decontaminate, jaccard_join, language, licenses, quality_model, quality_rules, secrets, sentence_pieces, warc
 from flowspark.llm.shared import shared_path
 from flowspark.llm.tokens import remainder
 
@@ -70,6 +70,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op2_backoff_lm")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = remainder("doc_id", 7) == 2
+    scored = backoff_lm.score_texts(table(spark, sf_dir, "documents"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query("op3_secret_scan")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
