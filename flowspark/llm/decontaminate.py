@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from flowspark.llm import tokens as T
 from flowspark.llm.bitmaps import bitmap, held
+from flowspark.llm.shared import written
 
 #: Copies of each sketch row, so that a passage found in very many documents isn't one join key.
 SALTS = 8
@@ -110,5 +111,5 @@ def find_leaks(
 
 def drop_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
     """Documents that hold no benchmark item. Rows with a null id are kept: no match can be traced to them."""
-    leaks = find_leaks(docs, items, doc_id, **options).select(F.col("doc_id").alias("_leak")).distinct()
+    leaks = written(find_leaks(docs, items, doc_id, **options).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
     return docs.join(leaks, docs[doc_id] == leaks["_leak"], "left_anti")

@@ -359,12 +359,19 @@ def join_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of which no other row of their component has a smaller id; rows with a null id are all kept.
+    """One row of each component, that with the smallest id, with all its columns.
 
-    Rows that repeat an id inside a component are equal in rank: of these one stays.
+    An id that stands on several rows is one document: it goes if any of its rows has a partner with a smaller id, else
+    one of its rows stays. Rows with a null id are all kept.
     """
-    found = join_components(df, id_col, text_col, **options)
-    gone = found.filter(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    kept = df.join(gone, df[id_col] == gone["_gone"], "left_anti")
-    with_id = kept.filter(F.col(id_col).isNotNull())
-    return with_id.dropDuplicates([id_col]).unionByName(kept.filter(F.col(id_col).isNull()))
+    found = join_components(df, id_col, text_col, **options).filter("doc_id is not null")
+    judged = found.groupBy("doc_id").agg(F.min("component_id").alias("least"), F.count("*").alias("n"))
+    marked = written(judged.filter("least < doc_id or n > 1").select(F.col("doc_id").alias("_id"), (F.col("least") < F.col("doc_id")).alias("_gone")), "judged")
+    # Spark broadcasts these ids while they are few, else it shuffles both sides
+    gone = marked.filter("_gone").select("_id")
+    kept = df.join(gone, df[id_col] == gone["_id"], "left_anti")
+    twice = marked.filter("not _gone").select("_id")
+    if twice.isEmpty():
+        return kept
+    one = kept.join(twice, kept[id_col] == twice["_id"], "left_semi").dropDuplicates([id_col])
+    return kept.join(twice, kept[id_col] == twice["_id"], "left_anti").unionByName(one)

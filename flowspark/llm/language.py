@@ -151,6 +151,23 @@ def predict(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_co
     return rows.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in [*carried, "doc_id"]), "lang_pred string, score double"]))
 
 
+def keep_identified(df: DataFrame, model: LanguageModel, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows, with all their columns, whose text has a language: not ``und``, and a score of ``least`` or more."""
+    T.bound_batches(df.sparkSession)
+    sent = df.sparkSession.sparkContext.broadcast((model.languages, model.logp, model.prior, model.orders))
+    place = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = LanguageModel(*sent.value)
+        for batch in batches:
+            _, score = score_texts(model, T.flat(batch.column(place).cast(pa.string())))
+            yield batch.filter(pa.array(score >= least))
+
+    if not model.languages:
+        return df.limit(0)
+    return df.filter(F.col(text_col).cast("string").rlike(r"\p{L}")).mapInArrow(run, df.schema)
+
+
 def identify(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
     """Learn from the rows where ``learn`` holds and predict every row: (doc_id, lang_pred, score)."""
     return predict(df, fit(df.filter(learn), text_col, lang_col, **options), id_col, text_col)

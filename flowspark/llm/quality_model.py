@@ -26,6 +26,7 @@ STATISTICS: dict[str, str] = {
     "symbol_share": f"n_symbols / {_WORDS}",
     "duplicate_lines": "n_dup_lines / greatest(n_lines, 1)",
     "repeated_words": f"n_repeat_words / {_WORDS}",
+    "same_words": f"n_same_words / {_WORDS}",
     "upper_words": f"n_upper_words / {_WORDS}",
     "bare_words": f"n_bare_words / {_WORDS}",
     "line_words": "n_words / greatest(n_lines, 1)",
@@ -65,7 +66,7 @@ def statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-    max_rows: int = 20_000, n_trees: int = 20, depth: int = 3, penalty: float = 0.002, seed: int = 7,
+    max_rows: int = 20_000, n_trees: int = 20, depth: int = 4, penalty: float = 0.0005, seed: int = 7,
 ) -> RuleEnsemble:
     """Fit on at most ``max_rows`` labelled documents, those with the smallest hashes of their id.
 

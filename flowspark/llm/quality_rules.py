@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from flowspark.llm import tokens as T
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper_words", "n_bare_words")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper_words", "n_bare_words", "n_same_words")
 
 #: Rule name -> failure test over the measurements; the place in this list is the bit. Append only: stored ledgers rely on it.
 RULES: tuple[tuple[str, str], ...] = (
@@ -93,6 +93,8 @@ def measure_texts(f: T.Flat) -> dict[str, np.ndarray]:
     for j in range(3):
         covered[windows + j] = True
     out["n_repeat_words"] = np.bincount(text_of[covered], minlength=n)
+    same = (hashes[1:] == hashes[:-1]) & (text_of[1:] == text_of[:-1])
+    out["n_same_words"] = np.bincount(text_of[1:][same], minlength=n)
     small = (f.buf >= 97) & (f.buf <= 122)
     upper = (f.buf >= 65) & (f.buf <= 90)
     other = f.buf >= 128

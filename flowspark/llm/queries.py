@@ -96,13 +96,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_sentence_pieces")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Encode and decode; ids and texts as digests."""
-    pieces = sentence_pieces.load()
-    text = F.coalesce("text", F.lit(""))
-    ids = sentence_pieces.encode(table(spark, sf_dir, "documents"), pieces, extra={"digest": F.sha1(text)})
-    counted = ids.select("doc_id", "digest", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_digest"), "ids")
-    back = sentence_pieces.decode(counted, pieces, extra=["digest", "n_tokens", "ids_digest"])
-    return back.select("doc_id", "n_tokens", "ids_digest", F.sha1("text").alias("text_digest"), (F.sha1("text") == F.col("digest")).alias("round_trip"))
+    return sentence_pieces.round_trip(table(spark, sf_dir, "documents"), sentence_pieces.load())
 
 
 @query("op6_language_id")

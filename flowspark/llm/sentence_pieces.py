@@ -423,3 +423,13 @@ def decode(df: DataFrame, pieces: Pieces, id_col: str = "doc_id", ids_col: str =
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ["doc_id", *carried]), pa.array(texts, pa.string())], names=["doc_id", *carried, "text"])
 
     return rows.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in ["doc_id", *carried]), "text string"]))
+
+
+def round_trip(df: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, ids_digest, text_digest, round_trip): ids and the text decoded from them as digests, and whether
+    that text equals the input (null counts as empty)."""
+    ids = encode(df, pieces, id_col, text_col, extra={"digest": F.sha1(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
+    counted = ids.select("doc_id", "digest", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_digest"), "ids")
+    back = decode(counted, pieces, extra=["digest", "n_tokens", "ids_digest"])
+    decoded = F.sha1("text")
+    return back.select("doc_id", "n_tokens", "ids_digest", decoded.alias("text_digest"), (decoded == F.col("digest")).alias("round_trip"))
