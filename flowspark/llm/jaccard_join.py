@@ -2,14 +2,15 @@
 
 Sets whose Jaccard similarity reaches the threshold differ in at most k elements (Hamming distance), where k follows from
 the upper end of their size band. The feature domain is hashed into more than k partitions, so similar sets agree in some
-whole partition and share the signature of its content. Two partitions more than needed, and those expected to be empty,
-are added: similar sets then share two signatures of partitions that hold something, and a set with more empty partitions
-than foreseen also signs its empty ones. Sets of few elements sign subsets of their elements instead.
-
-Equal sets are one node. Signatures travel packed, one row per task batch and bucket. Nodes that share a signature are
-first compared with one hub per signature, which joins groups of copies in linear work; what is left is compared only
-across the components found so far, and inside signatures that very many nodes share only where two of them agree. Exact
-verification decides every link, and no candidate is dropped.
+whole partition and share the signature of its content. A few partitions more than needed, and those expected to be empty,
+are added: similar sets then share at least ``need`` (two or more) signatures of partitions that hold something, and a set
+with more empty partitions than foreseen also signs its empty ones. Sets of few elements sign subsets of their elements
+instead and need one.
+
+Equal sets are one node. Signatures travel packed, one row per task batch and bucket. Nodes that share many signatures with
+the hub of these are compared with it first, which joins groups of copies in linear work. What is left is compared only
+across the components found so far, where two nodes share ``need`` signatures; inside signatures that very many nodes share
+pairs are formed only where two of them agree. Exact verification decides every link, and no candidate is dropped.
 """
 
 from __future__ import annotations
@@ -44,24 +45,25 @@ BUCKET_CHARS = 1 << 24
 
 
 @lru_cache(None)
-def band_table(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(upper end, partitions, foreseen empty partitions) of the size bands above SMALL."""
-    upper, parts, empty = [], [], []
+def band_table(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(upper end, partitions, foreseen empty partitions, signatures that similar sets share) of the bands above SMALL."""
+    upper, parts, empty, need = [], [], [], []
     low = SMALL + 1
     while low < 1 << 33:
         high = int(low * BAND)
         k = 2 * high * (100 - percent) // (100 + percent)
         least = low * percent // 100
-        spare = 0
+        sure, spare = 2 + k // 25, 0
         for _ in range(8):
-            n = k + 2 + spare
+            n = k + sure + spare
             mean = n * (1 - 1 / n) ** least
             spare = min(ceil(mean + 3 * sqrt(mean)), k)
         upper.append(high)
-        parts.append(k + 2 + spare)
+        parts.append(k + sure + spare)
         empty.append(spare)
+        need.append(sure)
         low = high + 1
-    return np.array(upper), np.array(parts), np.array(empty)
+    return np.array(upper), np.array(parts), np.array(empty), np.array(need)
 
 
 def _least_common(s: int, t: int, percent: int) -> int:
@@ -97,7 +99,7 @@ def signatures(owner: np.ndarray, value: np.ndarray, n: int, percent: int) -> tu
                 for at, sig in small_signatures(matrix, percent, seed):
                     owners.append(rows[at])
                     found.append(sig)
-        upper, parts, empty = band_table(percent)
+        upper, parts, empty, _ = band_table(percent)
         own = np.searchsorted(upper, size)
         # bands of all partners that are at least as large
         last = np.searchsorted(upper, size * 100 // percent)
@@ -172,7 +174,11 @@ def _distinct_sets(batch: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarra
 
 
 def shared_signatures(df: DataFrame, text_col: str, n: int, percent: int) -> DataFrame:
-    """(sig, key, size, hub, crowd) for every signature of two nodes or more; hub is its smallest key, crowd its number of nodes."""
+    """(sig, key, size, need, hub, crowd) for every signature of two nodes or more.
+
+    hub is its smallest key, crowd its number of nodes, need the signatures that a set of this size shares at least with
+    any similar set that isn't larger.
+    """
     rows = T.id_text(df, text_col, text_col).select("text")
     chars = rows.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     buckets = max(64, chars // BUCKET_CHARS)
@@ -223,10 +229,12 @@ def shared_signatures(df: DataFrame, text_col: str, n: int, percent: int) -> Dat
         count = np.diff(np.append(start, len(sig)))
         run = np.repeat(np.arange(len(start)), count)
         two = count[run] > 1
-        return pd.DataFrame({"sig": sig.view(np.int64), "key": key, "size": size.astype(np.int64), "hub": key[start][run], "crowd": count[run]})[two]
+        upper, _, _, sure = band_table(percent)
+        need = np.where(size > SMALL, sure[np.searchsorted(upper, size)], 1)
+        return pd.DataFrame({"sig": sig.view(np.int64), "key": key, "size": size.astype(np.int64), "need": need, "hub": key[start][run], "crowd": count[run]})[two]
 
     packed = rows.mapInArrow(sign, "bucket int, n int, sigs binary, at binary, keys binary, sizes binary")
-    return packed.groupBy("bucket").applyInPandas(match, "sig long, key long, size long, hub long, crowd long")
+    return packed.groupBy("bucket").applyInPandas(match, "sig long, key long, size long, need long, hub long, crowd long")
 
 
 def node_sets(df: DataFrame, text_col: str, wanted: DataFrame, n: int, bits: int) -> DataFrame:
@@ -234,7 +242,7 @@ def node_sets(df: DataFrame, text_col: str, wanted: DataFrame, n: int, bits: int
 
     A bitmap of fixed size keeps most other sets from being sent; the join after it is exact.
     """
-    wanted = wanted.select("key").distinct()
+    wanted = wanted.select("key")
     sent = df.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.col("key").alias("v")), bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,39 +296,49 @@ def _close(a: str, b: str, percent: int) -> Column:
 
 
 def _across(members: DataFrame, by: list[str], percent: int) -> DataFrame:
-    """Pairs (hub, key) of nodes that share ``by`` and lie in different components."""
-    a = members.select(*by, "odd", F.col("key").alias("hub"), F.col("size").alias("n"), F.col("component").alias("c"))
-    b = members.select(*by, "key", "size", "component")
+    """Pairs of nodes that share ``by`` and lie in different components: (hub, key, shared, least, crowds), with the rows
+    they share, the signatures that a link needs, and the crowded signatures that they can share besides."""
+    a = members.select(*by, "odd", F.col("key").alias("hub"), F.col("size").alias("n"), F.col("need").alias("m"), F.col("crowds").alias("w"), F.col("component").alias("c"))
+    b = members.select(*by, "key", "size", "need", "crowds", "component")
     pairs = a.join(b, by).filter((F.col("c") != F.col("component")) & (F.col("hub") < F.col("key")) & _close("n", "size", percent))
-    return pairs.filter(~F.col("odd") | (F.col("n") != F.col("size"))).select("hub", "key").distinct()
+    pairs = pairs.filter(~F.col("odd") | (F.col("n") != F.col("size")))
+    return pairs.groupBy("hub", "key").agg(
+        F.count("*").alias("shared"), F.max(F.greatest("m", "need")).alias("least"), F.max(F.least("w", "crowds")).alias("crowds")
+    )
 
 
 def links_and_components(df: DataFrame, text_col: str = "text", n: int = 5, percent: int = 80, bits: int = 24) -> tuple[DataFrame, DataFrame]:
     """(links, membership): verified links (hub, key) between nodes that join every component, and (key, component) of all
     nodes with a link. Two nodes are in one component exactly if a chain of similar sets leads from one to the other."""
-    shared = written(shared_signatures(df, text_col, n, percent), "signatures")
-    sets = written(node_sets(df, text_col, shared, n, bits), "sets")
-    sizes = shared.select("key", "size").distinct()
+    every = written(shared_signatures(df, text_col, n, percent), "signatures")
+    # a node that shares fewer signatures than needed with all others together has no link
+    nodes = every.groupBy("key", "size", "need").agg(F.count("*").alias("n"), F.sum((F.col("crowd") > CROWD).cast("long")).alias("crowds"))
+    nodes = written(nodes.filter("n >= need").select("key", "size", "need", "crowds"), "nodes")
+    shared = every.select("sig", "key", "hub", "crowd").join(nodes, "key")
+    sets = written(node_sets(df, text_col, nodes, n, bits), "sets")
+    # which pairs are tried first changes the work, not the result
     stars = (
-        shared.filter("key <> hub").select("hub", "key", "size").distinct()
-        .join(sizes.select(F.col("key").alias("hub"), F.col("size").alias("n")), "hub")
-        .filter(_close("n", "size", percent)).select("hub", "key")
+        shared.filter("key <> hub").groupBy("hub", "key", "size").agg(F.count("*").alias("n")).filter("20 * n >= size")
+        .join(nodes.select(F.col("key").alias("hub"), F.col("size").alias("m")), "hub")
+        .filter(_close("m", "size", percent)).select("hub", "key")
     )
     first = written(linked(stars, sets, percent), "links")
     found = written(components(first, "hub", "key"), "components")
     members = shared.join(found.select(F.col("node").alias("key"), "component"), "key", "left").select(
-        "sig", "key", "size", "crowd", F.coalesce("component", "key").alias("component"), (F.col("sig").bitwiseAND(F.lit(1)) == 1).alias("odd")
-    )
+        "sig", "key", "size", "need", "crowd", "crowds", F.coalesce("component", "key").alias("component"),
+        (F.col("sig").bitwiseAND(F.lit(1)) == 1).alias("odd"),
+    )
     open_ = members.groupBy("sig").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("sig")
     members = written(members.join(open_, "sig", "left_semi"), "members")
-    small = _across(members.filter(F.col("crowd") <= CROWD), ["sig"], percent)
+    small = _across(members.filter(F.col("crowd") <= CROWD), ["sig"], percent).filter("shared + crowds >= least")
     # sets of few elements share one signature for sure, larger ones two
     lone = _across(members.filter((F.col("crowd") > CROWD) & (F.col("size") <= SMALL)), ["sig"], percent)
     crowded = members.filter(F.col("crowd") > CROWD)
-    two = crowded.groupBy("key", "size", "component").agg(F.array_sort(F.collect_set("sig")).alias("s"))
+    two = crowded.groupBy("key", "size", "need", "crowds", "component").agg(F.array_sort(F.collect_set("sig")).alias("s"))
     pairs_of = F.flatten(F.transform("s", lambda x, i: F.transform(F.slice("s", i + 2, F.greatest(F.size("s") - i - 1, F.lit(0))), lambda y: F.struct(x.alias("sig"), y.alias("sig2")))))
-    two = two.select("key", "size", "component", F.lit(False).alias("odd"), F.explode(pairs_of).alias("p")).select("key", "size", "component", "odd", "p.sig", "p.sig2")
-    rest = small.unionByName(lone).unionByName(_across(two, ["sig", "sig2"], percent)).distinct()
+    two = two.select("key", "size", "need", "crowds", "component", F.lit(False).alias("odd"), F.explode(pairs_of).alias("p"))
+    two = two.select("key", "size", "need", "crowds", "component", "odd", "p.sig", "p.sig2")
+    rest = small.unionByName(lone).unionByName(_across(two, ["sig", "sig2"], percent)).select("hub", "key").distinct()
     second = written(linked(rest, sets, percent), "links")
     links = first.unionByName(second)
     top = components(
@@ -328,11 +346,11 @@ def links_and_components(df: DataFrame, text_col: str = "text", n: int = 5, perc
         .join(found.select(F.col("node").alias("key"), F.col("component").alias("b")), "key", "left")
         .select(F.coalesce("a", "hub").alias("hub"), F.coalesce("b", "key").alias("key")), "hub", "key",
     )
-    every = found.select(F.col("node").alias("key"), "component").unionByName(
+    named = found.select(F.col("node").alias("key"), "component").unionByName(
         second.select(F.explode(F.array("hub", "key")).alias("key")).distinct()
         .join(found.select(F.col("node").alias("key")), "key", "left_anti").select("key", F.col("key").alias("component"))
     )
-    final = every.join(top.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left")
+    final = named.join(top.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left")
     return links, final.select("key", F.coalesce("top", "component").alias("component"))
 
 

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowspark.llm import piece_words as W
 from flowspark.llm import tokens as T
 from flowspark.llm.salted import salted_join
 from flowspark.llm.shared import written
@@ -35,6 +36,8 @@ CHUNK = 1 << 15
 BLOCK = 64
 NEVER = float("-inf")
 _CACHE = 200_000
+#: Bytes of text whose words are solved together.
+WORD_BYTES = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -91,9 +94,12 @@ class Lattice:
             self.nodes[surface] = (score, i)
         self.unknown = min(pieces.scores, default=0.0) - 10
         self.bytes_, self.unknown_id = pieces.bytes_, pieces.unknown
+        self.surfaces, self.scores, self.ids = pieces.surfaces, np.append(pieces.scores, NEVER), np.append(pieces.ids, -1)
+        self.table: W.PieceTable | None = None
         self.longest = max(map(len, pieces.surfaces), default=1)
         joined = any(SPACE in s.lstrip(SPACE) for s in pieces.surfaces)
-        alone = "".join(c for c in "\n\t\r" if not any(c in s for s in pieces.surfaces))
+        self.joined = joined
+        self.alone = alone = "".join(c for c in "\n\t\r" if not any(c in s for s in pieces.surfaces))
         if joined:
             self.segment = re.compile(r"[\s\S]+")
         elif alone:
@@ -163,6 +169,56 @@ class Lattice:
             found = known.get(segment)
             yield (word(segment) if found is None else found)[1]
 
+    def encode_all(self, f: T.Flat) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, cuts): the ids of all texts of a batch, each one chunk, and where each text's ids begin."""
+        if self.table is None:
+            self.table = W.PieceTable(self.surfaces)
+        lead = np.flatnonzero((f.buf & 0xC0) == 0x80)
+        offsets = f.offsets - np.searchsorted(lead, f.offsets)
+        points = np.frombuffer(f.buf.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+        full = np.flatnonzero(np.diff(offsets))
+        points = np.insert(points, offsets[full], 32)
+        offsets = offsets + np.searchsorted(full, np.arange(len(offsets)))
+        points = np.where(points == 32, np.uint32(ord(SPACE)), points)
+        if self.joined:
+            starts = offsets[:-1][np.diff(offsets) > 0]
+        else:
+            starts = W.segment_starts(points, offsets[:-1], ord(SPACE), tuple(map(ord, self.alone))) if len(points) else np.zeros(0, np.int64)
+        if not len(starts):
+            return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
+        sizes = np.diff(np.append(starts, len(points)))
+        # each distinct word once; long ones by themselves, piece by piece
+        long = sizes > W.LONGEST
+        hashes = W.word_hashes(points, starts, sizes)
+        hashes[long] = T.mix64(starts[long].astype(np.uint64) ^ np.uint64(0xA0761D6478BD642F))
+        _, chosen, which = np.unique(hashes, return_index=True, return_inverse=True)
+        short = np.flatnonzero(~long[chosen])
+        pieces, places, words = W.solve(self.table, self.scores, self.unknown, self.longest, points, starts[chosen[short]], sizes[chosen[short]])
+        ids = np.where(pieces >= 0, self.ids[pieces], self.unknown_id).astype(np.int32)
+        words = short[words]
+        if self.bytes_ and (pieces < 0).any():
+            bare = np.flatnonzero(pieces < 0)
+            raw = [chr(c).encode("utf-8", "replace") for c in points[places[bare]].tolist()]
+            times = np.ones(len(ids), np.int64)
+            times[bare] = [len(r) for r in raw]
+            ids, words = np.repeat(ids, times), np.repeat(words, times)
+            at = np.repeat((np.cumsum(times) - times)[bare], times[bare])
+            inner = np.arange(len(at)) - np.repeat(np.cumsum(times[bare]) - times[bare], times[bare])
+            ids[at + inner] = np.array(self.bytes_, np.int32)[np.frombuffer(b"".join(raw), np.uint8)]
+        for w in np.flatnonzero(long[chosen]).tolist():
+            a = starts[chosen[w]]
+            text = points[a : a + sizes[chosen[w]]].tobytes().decode("utf-32-le")
+            found = np.fromiter(self.word(text)[1], np.int32)
+            ids, words = np.concatenate((ids, found)), np.concatenate((words, np.full(len(found), w)))
+        order = np.argsort(words, kind="stable")
+        ids, count = ids[order], np.bincount(words, minlength=len(chosen))
+        first = np.cumsum(count) - count
+        n = count[which]
+        ends = np.cumsum(n)
+        out = ids[np.repeat(first[which] - (ends - n), n) + np.arange(ends[-1])]
+        cuts = np.append(0, ends)[np.searchsorted(starts, offsets)]
+        return out, cuts
+
     def _parts(self, s: str, n: int) -> tuple[int, int]:
         """First and last place before n that every path passes, or (-1, -1)."""
         if self.cut is None:
@@ -393,12 +449,9 @@ def encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(Pieces(*sent.value))
-        for batch in T.pieces(batches):
-            ids, cuts = [], [0]
-            for text in batch.column("text").to_pylist():
-                ids.append(np.fromiter(chain.from_iterable(lattice.encode(marked(text))), np.int32))
-                cuts.append(cuts[-1] + len(ids[-1]))
-            values = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+        for batch in T.pieces(batches, limit=WORD_BYTES):
+            ids, cuts = lattice.encode_all(T.flat(batch.column("text")))
+            values = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ["doc_id", *carried]), values], names=["doc_id", *carried, "ids"])
 
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in ["doc_id", *carried]), "ids array<int>"])
