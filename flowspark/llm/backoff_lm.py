@@ -54,12 +54,13 @@ def _from_planes(raw: bytes, n: int) -> np.ndarray:
 
 
 def _small(x: np.ndarray) -> tuple[bytes, bytes]:
-    """Counts as bytes, and those of 255 or more in full."""
-    return np.minimum(x, 255).astype(np.uint8).tobytes(), x[x >= 255].astype(np.int64).tobytes()
+    """Counts as compressed bytes, and those of 255 or more in full."""
+    low = np.minimum(x, 255).astype(np.uint8).tobytes()
+    return pa.compress(low, codec="zstd", asbytes=True), x[x >= 255].astype(np.int64).tobytes()
 
 
-def _from_small(low: bytes, high: bytes) -> np.ndarray:
-    out = np.frombuffer(low, np.uint8).astype(np.int64)
+def _from_small(low: bytes, high: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(pa.decompress(low, n, codec="zstd"), np.uint8).astype(np.int64)
     out[out == 255] = np.frombuffer(high, np.int64)
     return out
 
@@ -154,12 +155,12 @@ def _asked(layout: Layout):
             part = slice(cuts[b], cuts[b + 1])
             states, n = np.unique(state[part], return_counts=True)
             low, high = _small(count[part])
-            head = _planes(block.keys[states], 8) + n.astype(np.uint32).tobytes()
-            rows.append((b, 2, number, b, head, _planes(T.mix64(token[part]), 5), low, high))
+            head = _planes(block.keys[states], 8) + pa.compress(n.astype(np.uint32).tobytes(), codec="zstd", asbytes=True)
+            rows.append((b, 2, number, b, head, _planes(T.mix64(token[part]), 5), low, high, [len(states)]))
         cuts = layout.word_cuts(block.keys)
         for b in np.flatnonzero(np.diff(cuts)).tolist():
             part = slice(cuts[b], cuts[b + 1])
-            rows.append((layout.arcs + b, 1, number, b, _planes(block.keys[part], 8), words[part].astype(np.int64).tobytes(), None, None))
+            rows.append((layout.arcs + b, 1, number, b, _planes(block.keys[part], 8), None, *_small(words[part])))
         return _row_table(rows)
 
     return run
@@ -178,9 +179,10 @@ def _add_arcs(layout: Layout):
         states, tokens, counts, sizes = [], [], [], []
         for r in rows:
             tokens.append(_from_planes(r["b"], 5))
-            counts.append(_from_small(r["c"], r["d"]))
-            n = len(r["a"]) // 12
-            states.append(np.repeat(_from_planes(r["a"][: 8 * n], 8), np.frombuffer(r["a"][8 * n :], np.uint32)))
+            counts.append(_from_small(r["c"], r["d"], len(tokens[-1])))
+            n = r["stats"][0]
+            each = np.frombuffer(pa.decompress(r["a"][8 * n :], 4 * n, codec="zstd"), np.uint32)
+            states.append(np.repeat(_from_planes(r["a"][: 8 * n], 8), each))
             sizes.append(len(tokens[-1]))
         state, token, count = np.concatenate(states), np.concatenate(tokens), np.concatenate(counts)
         order = np.lexsort((token, state))
@@ -201,7 +203,7 @@ def _add_arcs(layout: Layout):
         cuts = layout.word_cuts(own)
         for b in np.flatnonzero(np.diff(cuts)).tolist():
             part = slice(cuts[b], cuts[b + 1])
-            out.append((layout.arcs + b, 4, -1, b, _planes(own[part], 8), n[part].astype(np.int64).tobytes(), None, None))
+            out.append((layout.arcs + b, 4, -1, b, _planes(own[part], 8), None, *_small(n[part])))
         seen = [int(np.count_nonzero(total == n)) for n in (1, 2)]
         out.append((layout.arcs + key[0].as_py() % layout.words, 5, -1, -1, None, None, None, None, seen))
         return _row_table(out)
@@ -209,6 +211,12 @@ def _add_arcs(layout: Layout):
     return run
 
 
+def _keyed(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of a row of level 1 or 4."""
+    keys = _from_planes(row["a"], 8)
+    return keys, _from_small(row["c"], row["d"], len(keys))
+
+
 def _add_words(key: tuple, table: pa.Table) -> pa.Table:
     """A word bucket of all blocks -> count and number of following tokens of every token asked for, and totals.
 
@@ -221,14 +229,15 @@ def _add_words(key: tuple, table: pa.Table) -> pa.Table:
     totals = np.zeros(6, np.int64)
     for r in by.get(5, ()):
         totals[4:] += r["stats"]
-    asked = [(r, _from_planes(r["a"], 8), np.frombuffer(r["b"], np.int64)) for r in by.get(1, ())]
+    asked = [(r, *_keyed(r)) for r in by.get(1, ())]
     if asked:
         keys, place = np.unique(np.concatenate([k for _, k, _ in asked]), return_inverse=True)
         count = np.zeros(len(keys), np.int64)
         np.add.at(count, place, np.concatenate([c for _, _, c in asked]))
         follow = np.zeros(len(keys), np.int64)
         for r in by.get(4, ()):
-            np.add.at(follow, np.searchsorted(keys, _from_planes(r["a"], 8)), np.frombuffer(r["b"], np.int64))
+            states, n = _keyed(r)
+            np.add.at(follow, np.searchsorted(keys, states), n)
         at = 0
         for r, k, _ in asked:
             own = place[at : at + len(k)]
@@ -292,9 +301,11 @@ def _answered(layout: Layout, names: list[str]):
                 totals = np.array(r["stats"])
             elif r["level"] == 6:
                 part = slice(word_cuts[r["bucket"]], word_cuts[r["bucket"] + 1])
-                count[part], follow[part] = _from_small(r["a"], r["b"]), _from_small(r["c"], r["d"])
+                n = part.stop - part.start
+                count[part], follow[part] = _from_small(r["a"], r["b"], n), _from_small(r["c"], r["d"], n)
             else:
-                arcs[order[arc_cuts[r["bucket"]] : arc_cuts[r["bucket"] + 1]]] = _from_small(r["a"], r["b"])
+                own = order[arc_cuts[r["bucket"]] : arc_cuts[r["bucket"] + 1]]
+                arcs[own] = _from_small(r["a"], r["b"], len(own))
         got = Automaton(block, count, follow, arcs, totals).walk(len(f))
         ids = texts.column("ids").combine_chunks().flatten()
         n = np.full(len(f), totals[0])
@@ -310,6 +321,7 @@ def _packed(rows: DataFrame, kind: str) -> DataFrame:
     """Rows (doc_id, text, learn, block) as one row per batch and block, texts compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", compression_level=5)
         for batch in T.pieces(batches):
             number = batch.column("block").to_numpy()
             order = np.argsort(number, kind="stable")
@@ -320,7 +332,7 @@ def _packed(rows: DataFrame, kind: str) -> DataFrame:
             out = []
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 raw = f.buf[f.offsets[a] : f.offsets[b]].tobytes()
-                out.append((int(number[a]), pa.compress(raw, codec="zstd", asbytes=True), len(raw), np.diff(f.offsets[a : b + 1]).tobytes(), learn[a:b].tobytes()))
+                out.append((int(number[a]), codec.compress(raw, asbytes=True), len(raw), np.diff(f.offsets[a : b + 1]).tobytes(), learn[a:b].tobytes()))
             ids = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), taken.column("doc_id"))
             kinds = [pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays(
@@ -343,7 +355,7 @@ def score_texts(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
     kind = dict(rows.dtypes)["doc_id"]
     chars = rows.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     blocks, buckets = max(64, chars // BLOCK_CHARS), max(64, chars // BUCKET_CHARS)
-    layout = Layout(buckets, max(32, buckets // 4), max(8, buckets // 8))
+    layout = Layout(buckets, max(32, buckets // 4), max(4, buckets // 16))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
     packed = _packed(dealt, kind)
     asked = packed.groupBy("block").applyInArrow(_asked(layout), _ROW)
