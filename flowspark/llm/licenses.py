@@ -130,7 +130,7 @@ def scan(
     parts = F.split("dir", "/")
     above = matched.filter("license is null and dir is not null").select("dir").distinct().select(
         "dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(parts, 1, i), "/").alias("up")))).alias("a")
-    ).select("dir", "a.depth", "a.up").filter("depth > 0 or dir = ''")
+    ).select("dir", "a.depth", "a.up")
     nearest = salted_join(above, of_dir, ["up"], F.col("dir"), "inner").groupBy("dir").agg(
         F.max(F.struct("depth", "up", "license", "similarity")).alias("near")
     )
