@@ -36,7 +36,7 @@ from flowspark.llm.shared import written
 SMALL = 14
 #: Upper over lower end of a size band.
 BAND = 1.5
-#: Nodes of a signature from which pairs need a second shared signature.
+#: Nodes outside a signature's largest component from which pairs need a second shared signature.
 CROWD = 32
 #: Members compared with one copy of a hub's set.
 PER_HUB = 256
@@ -174,9 +174,9 @@ def _distinct_sets(batch: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarra
 
 
 def shared_signatures(df: DataFrame, text_col: str, n: int, percent: int) -> DataFrame:
-    """(sig, key, size, need, hub, crowd) for every signature of two nodes or more.
+    """(sig, key, size, need, hub) for every signature of two nodes or more.
 
-    hub is its smallest key, crowd its number of nodes, need the signatures that a set of this size shares at least with
+    hub is its smallest key, need the signatures that a set of this size shares at least with
     any similar set that isn't larger.
     """
     rows = T.id_text(df, text_col, text_col).select("text")
@@ -231,10 +231,10 @@ def shared_signatures(df: DataFrame, text_col: str, n: int, percent: int) -> Dat
         two = count[run] > 1
         upper, _, _, sure = band_table(percent)
         need = np.where(size > SMALL, sure[np.searchsorted(upper, size)], 1)
-        return pd.DataFrame({"sig": sig.view(np.int64), "key": key, "size": size.astype(np.int64), "need": need, "hub": key[start][run], "crowd": count[run]})[two]
+        return pd.DataFrame({"sig": sig.view(np.int64), "key": key, "size": size.astype(np.int64), "need": need, "hub": key[start][run]})[two]
 
     packed = rows.mapInArrow(sign, "bucket int, n int, sigs binary, at binary, keys binary, sizes binary")
-    return packed.groupBy("bucket").applyInPandas(match, "sig long, key long, size long, need long, hub long, crowd long")
+    return packed.groupBy("bucket").applyInPandas(match, "sig long, key long, size long, need long, hub long")
 
 
 def node_sets(df: DataFrame, text_col: str, wanted: DataFrame, n: int, bits: int) -> DataFrame:
@@ -297,47 +297,61 @@ def _close(a: str, b: str, percent: int) -> Column:
 
 def _across(members: DataFrame, by: list[str], percent: int) -> DataFrame:
     """Pairs of nodes that share ``by`` and lie in different components: (hub, key, shared, least, crowds), with the rows
-    they share, the signatures that a link needs, and the crowded signatures that they can share besides."""
-    a = members.select(*by, "odd", F.col("key").alias("hub"), F.col("size").alias("n"), F.col("need").alias("m"), F.col("crowds").alias("w"), F.col("component").alias("c"))
-    b = members.select(*by, "key", "size", "need", "crowds", "component")
-    pairs = a.join(b, by).filter((F.col("c") != F.col("component")) & (F.col("hub") < F.col("key")) & _close("n", "size", percent))
-    pairs = pairs.filter(~F.col("odd") | (F.col("n") != F.col("size")))
-    return pairs.groupBy("hub", "key").agg(
+    they share, the signatures that a link needs, and the crowded signatures that they can share besides.
+
+    Every such pair has a node outside the largest component (column ``main``) of what it shares, so only those nodes look
+    for partners: a group of copies and a stray make as many pairs as the group has members.
+    """
+    strays = members.filter(F.col("component") != F.col("main")).select(
+        *by, "odd", F.col("key").alias("a"), F.col("size").alias("n"), F.col("need").alias("m"), F.col("crowds").alias("w"), F.col("component").alias("c")
+    )
+    pairs = strays.join(members.drop("odd"), by).filter((F.col("c") != F.col("component")) & _close("n", "size", percent))
+    once = (F.col("component") == F.col("main")) | (F.col("a") < F.col("key"))
+    pairs = pairs.filter(once & (~F.col("odd") | (F.col("n") != F.col("size"))))
+    return pairs.groupBy(F.least("a", "key").alias("hub"), F.greatest("a", "key").alias("key")).agg(
         F.count("*").alias("shared"), F.max(F.greatest("m", "need")).alias("least"), F.max(F.least("w", "crowds")).alias("crowds")
     )
 
 
+def _largest(members: DataFrame, by: list[str]) -> DataFrame:
+    """(by, main, strays): the largest component of what nodes share, and how many nodes lie outside; none where it is the only one."""
+    sizes = members.groupBy(*by, "component").agg(F.count("*").alias("n"))
+    top = F.max(F.struct("n", "component")).alias("top")
+    return sizes.groupBy(*by).agg(F.sum("n").alias("n"), top).select(
+        *by, F.col("top.component").alias("main"), (F.col("n") - F.col("top.n")).alias("strays")
+    ).filter("strays > 0")
+
+
 def links_and_components(df: DataFrame, text_col: str = "text", n: int = 5, percent: int = 80, bits: int = 24) -> tuple[DataFrame, DataFrame]:
     """(links, membership): verified links (hub, key) between nodes that join every component, and (key, component) of all
     nodes with a link. Two nodes are in one component exactly if a chain of similar sets leads from one to the other."""
     every = written(shared_signatures(df, text_col, n, percent), "signatures")
     # a node that shares fewer signatures than needed with all others together has no link
-    nodes = every.groupBy("key", "size", "need").agg(F.count("*").alias("n"), F.sum((F.col("crowd") > CROWD).cast("long")).alias("crowds"))
-    nodes = written(nodes.filter("n >= need").select("key", "size", "need", "crowds"), "nodes")
-    shared = every.select("sig", "key", "hub", "crowd").join(nodes, "key")
+    nodes = every.groupBy("key", "size", "need").agg(F.count("*").alias("n"))
+    nodes = written(nodes.filter("n >= need").select("key", "size", "need"), "nodes")
     sets = written(node_sets(df, text_col, nodes, n, bits), "sets")
-    # which pairs are tried first changes the work, not the result
-    stars = (
-        shared.filter("key <> hub").groupBy("hub", "key", "size").agg(F.count("*").alias("n")).filter("20 * n >= size")
-        .join(nodes.select(F.col("key").alias("hub"), F.col("size").alias("m")), "hub")
-        .filter(_close("m", "size", percent)).select("hub", "key")
-    )
-    first = written(linked(stars, sets, percent), "links")
+    # which pairs are tried first changes the work, not the result: those that share much, by a quarter of the signatures
+    few = every.filter((F.col("key") != F.col("hub")) & ((F.pmod(F.shiftright("sig", 8), F.lit(4)) == 0) | (F.col("size") <= 64)))
+    stars = few.groupBy("hub", "key").agg(F.count("*").alias("n")).join(nodes, "key").filter("80 * n >= size")
+    stars = stars.join(nodes.select(F.col("key").alias("hub"), F.col("size").alias("m")), "hub").filter(_close("m", "size", percent))
+    first = written(linked(stars.select("hub", "key"), sets, percent), "links")
     found = written(components(first, "hub", "key"), "components")
-    members = shared.join(found.select(F.col("node").alias("key"), "component"), "key", "left").select(
-        "sig", "key", "size", "need", "crowd", "crowds", F.coalesce("component", "key").alias("component"),
-        (F.col("sig").bitwiseAND(F.lit(1)) == 1).alias("odd"),
-    )
-    open_ = members.groupBy("sig").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("sig")
-    members = written(members.join(open_, "sig", "left_semi"), "members")
-    small = _across(members.filter(F.col("crowd") <= CROWD), ["sig"], percent).filter("shared + crowds >= least")
+    named = nodes.join(found.select(F.col("node").alias("key"), "component"), "key", "left")
+    named = named.select("key", "size", "need", F.coalesce("component", "key").alias("component"))
+    shared = every.select("sig", "key").join(named, "key")
+    members = written(shared.join(_largest(shared, ["sig"]), "sig"), "members")
+    crowds = members.filter(F.col("strays") > CROWD).groupBy("key").agg(F.count("*").alias("crowds"))
+    odd = (F.col("sig").bitwiseAND(F.lit(1)) == 1).alias("odd")
+    members = members.join(crowds, "key", "left").select("sig", "key", "size", "need", "component", "main", "strays", F.coalesce("crowds", F.lit(0)).alias("crowds"), odd)
+    calm, crowded = members.filter(F.col("strays") <= CROWD), members.filter(F.col("strays") > CROWD)
+    small = _across(calm.drop("strays"), ["sig"], percent).filter("shared + crowds >= least")
     # sets of few elements share one signature for sure, larger ones two
-    lone = _across(members.filter((F.col("crowd") > CROWD) & (F.col("size") <= SMALL)), ["sig"], percent)
-    crowded = members.filter(F.col("crowd") > CROWD)
+    lone = _across(crowded.filter(F.col("size") <= SMALL).drop("strays"), ["sig"], percent)
     two = crowded.groupBy("key", "size", "need", "crowds", "component").agg(F.array_sort(F.collect_set("sig")).alias("s"))
     pairs_of = F.flatten(F.transform("s", lambda x, i: F.transform(F.slice("s", i + 2, F.greatest(F.size("s") - i - 1, F.lit(0))), lambda y: F.struct(x.alias("sig"), y.alias("sig2")))))
     two = two.select("key", "size", "need", "crowds", "component", F.lit(False).alias("odd"), F.explode(pairs_of).alias("p"))
     two = two.select("key", "size", "need", "crowds", "component", "odd", "p.sig", "p.sig2")
+    two = two.join(_largest(two, ["sig", "sig2"]).drop("strays"), ["sig", "sig2"])
     rest = small.unionByName(lone).unionByName(_across(two, ["sig", "sig2"], percent)).select("hub", "key").distinct()
     second = written(linked(rest, sets, percent), "links")
     links = first.unionByName(second)
@@ -346,11 +360,11 @@ def links_and_components(df: DataFrame, text_col: str = "text", n: int = 5, perc
         .join(found.select(F.col("node").alias("key"), F.col("component").alias("b")), "key", "left")
         .select(F.coalesce("a", "hub").alias("hub"), F.coalesce("b", "key").alias("key")), "hub", "key",
     )
-    named = found.select(F.col("node").alias("key"), "component").unionByName(
+    joined = found.select(F.col("node").alias("key"), "component").unionByName(
         second.select(F.explode(F.array("hub", "key")).alias("key")).distinct()
         .join(found.select(F.col("node").alias("key")), "key", "left_anti").select("key", F.col("key").alias("component"))
     )
-    final = named.join(top.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left")
+    final = joined.join(top.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left")
     return links, final.select("key", F.coalesce("top", "component").alias("component"))
 
 
