@@ -91,7 +91,36 @@ def ipv4_to_long(c: str | Column) -> Column:
     parts = F.split(col(c), r"\.")
     octets = [F.expr("1").cast("long") * F.try_to_number(F.get(parts, F.lit(i)), F.lit("999")).cast("long") for i in range(4)]
     number = octets[0] * 16777216 + octets[1] * 65536 + octets[2] * 256 + octets[3]
-    return F.when(col(c).rlike(r"^(\d{1,3}\.){3}\d{1,3}$"), number)
+    whole = F.forall(F.array(*octets), lambda o: o <= 255)
+    return F.when(col(c).rlike(r"^(\d{1,3}\.){3}\d{1,3}$") & whole, number)
+
+
+def ipv6_groups(c: str | Column) -> Column:
+    """The eight 16-bit groups of an IPv6 address as numbers; anything else is null.
+
+    ``::`` stands for as many zero groups as are missing. Zone names and dotted tails are not read.
+    """
+    text = F.lower(col(c))
+    halves = F.split(text, "::")
+    groups = lambda t: F.filter(F.split(t, ":"), lambda g: F.length(g) > 0)
+    head = groups(F.get(halves, F.lit(0)))
+    tail = F.when(F.size(halves) == 2, groups(F.get(halves, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+    missing = 8 - F.size(head) - F.size(tail)
+    filled = F.concat(head, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), tail)
+    form = text.rlike("^[0-9a-f:]+$") & ~text.rlike(":::|[0-9a-f]{5}|^:[^:]|[^:]:$") & (F.size(halves) <= 2)
+    sized = F.when(F.size(halves) == 2, missing >= 1).otherwise(missing == 0)
+    return F.when(form & sized, F.transform(filled, lambda g: F.conv(g, 16, 10).cast("long")))
+
+
+def ip_prefix(c: str | Column, length: Column) -> Column:
+    """The first ``length`` bits of an address as text (``4:`` or ``6:`` and hexadecimal); null where it isn't one."""
+    v4, v6 = ipv4_to_long(c), ipv6_groups(c)
+    low = F.floor(v4 / F.pow(F.lit(2.0), 32 - length)).cast("long")
+    cut = F.transform(v6, lambda g, i: F.floor(g / F.pow(F.lit(2.0), F.greatest(F.lit(0), F.least(F.lit(16), 16 * (i + 1) - length)))).cast("long"))
+    packed = F.array_join(F.transform(cut, lambda g: F.hex(g)), ":")
+    return F.when(v4.isNotNull() & length.between(0, 32), F.concat(F.lit("4:"), F.hex(low))).when(
+        v6.isNotNull() & length.between(0, 128), F.concat(F.lit("6:"), packed)
+    )
 
 
 def long_to_ipv4(c: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from flowspark.functions import alerts as A
 from flowspark.functions import scores as S
-from flowspark.functions.keys import ipv4_to_long
+from flowspark.functions.keys import ip_prefix, ipv4_to_long, ipv6_groups
 from flowspark.functions.times import micros
 from flowspark.operators.ordered import Ordered, find_hot_keys, hot_limit
 from flowspark.schemas import IP_INFO, SEVERITIES
@@ -37,18 +37,24 @@ def prepare_alerts(detections: DataFrame) -> DataFrame:
 
 
 # --- J2 -----------------------------------------------------------------------
+DOMAIN_INFO = "domain string, registrar string, creation_date string, expiration_date string"
+
+
+def _names(fields: str) -> list[str]:
+    return [f.split()[0] for f in fields.split(",")]
+
+
 def _networks(cidr_dim: DataFrame) -> DataFrame:
-    """The dimension keyed by (prefix length, network number), one row per network."""
+    """The dimension keyed by (prefix length, prefix bits), one row per network; rows that name no network are left out."""
     parts = F.split("network", "/")
-    plen = F.get(parts, F.lit(1)).cast("int")
-    keyed = cidr_dim.withColumns({"_plen": plen, "_low": ipv4_to_long(F.get(parts, F.lit(0)))})
-    net = F.floor(F.col("_low") / F.pow(F.lit(2.0), F.lit(32) - F.col("_plen"))).cast("long")
+    address = F.get(parts, F.lit(0))
+    keyed = cidr_dim.select("*", F.get(parts, F.lit(1)).try_cast("int").alias("_plen"), address.alias("_address"))
     known = [f.split()[0] for f in IP_INFO.split(",")]
     info = F.struct(
         *[F.col(f) if f in cidr_dim.columns else F.lit(None).cast("string").alias(f) for f in known]
     )
     return (
-        keyed.withColumn("_net", net)
+        keyed.withColumn("_net", ip_prefix("_address", F.col("_plen")))
         .filter(F.col("_net").isNotNull())
         .groupBy("_plen", "_net")
         .agg(F.min(info).alias("_info"))
@@ -56,47 +62,40 @@ def _networks(cidr_dim: DataFrame) -> DataFrame:
 
 
 def ip_lookup(ips: DataFrame, cidr_dim: DataFrame) -> DataFrame:
-    """``ip, info`` of the longest matching prefix, as an equi-join on (length, network).
+    """``ip, info`` of the longest matching prefix, as an equi-join on (length, prefix bits).
 
-    Each address becomes one candidate per prefix length the dimension uses (33 at most).
+    An IPv4 address becomes 33 candidates, an IPv6 address 129, whatever the dimension holds.
     """
-    dim = _networks(cidr_dim)
-    lengths = sorted(r[0] for r in dim.select("_plen").distinct().limit(33).collect())
-    number = ipv4_to_long("ip")
-    candidates = F.array(
-        *[
-            F.struct(F.lit(n).alias("_plen"), F.floor(number / F.lit(float(2 ** (32 - n)))).cast("long").alias("_net"))
-            for n in lengths
-        ]
-    )
-    wanted = ips.filter(number.isNotNull()).select("ip", F.inline(candidates))
+    longest = F.when(ipv4_to_long("ip").isNotNull(), 32).when(ipv6_groups("ip").isNotNull(), 128)
+    wanted = ips.withColumn("_plen", F.explode(F.sequence(F.lit(0), longest)))
+    wanted = wanted.withColumn("_net", ip_prefix("ip", F.col("_plen")))
     # sizes decide the join at run time (broadcast if small, split if one network is hot)
-    hits = wanted.join(dim, ["_plen", "_net"])
+    hits = wanted.join(_networks(cidr_dim), ["_plen", "_net"])
     return hits.groupBy("ip").agg(F.max_by("_info", "_plen").alias("info"))
 
 
 def enrich_ips(alerts: DataFrame, cidr_dim: DataFrame, domain_dim: DataFrame | None = None, seen_in: DataFrame | None = None) -> DataFrame:
     """Add ``src_ip_enrichment`` and ``dst_ip_enrichment`` (null when nothing matches).
 
-    Addresses are looked up once each. ``domain_dim`` (``ip`` plus attributes) overwrites
-    the network result where it has the address. ``seen_in`` is a cheaper frame holding all
+    Addresses are looked up once each. ``domain_dim`` (``ip`` plus attributes) overrides
+    the fields of the network result that it gives, and adds the domain's own. ``seen_in`` is a cheaper frame holding all
     of the addresses, where ``alerts`` is costly to compute.
     """
     ends = F.explode(F.array("src_ip", "dst_ip")).alias("ip")
     ips = (seen_in if seen_in is not None else alerts).select(ends).filter("ip is not null").distinct()
     info = ip_lookup(ips, cidr_dim)
     if domain_dim is not None:
-        fields = [f.split()[0] for f in IP_INFO.split(",")]
-        wide = domain_dim.groupBy("ip").agg(
-            F.min(
-                F.struct(*[F.col(f) if f in domain_dim.columns else F.lit(None).alias(f) for f in fields])
-            ).alias("_domain")
-        )
+        names = _names(IP_INFO) + _names(DOMAIN_INFO)
+        given = [f for f in names if f in domain_dim.columns]
+        wide = domain_dim.filter("ip is not null").groupBy("ip").agg(F.min(F.struct(*given)).alias("_domain"))
+        told = {f: F.col(f"_domain.{f}") if f in given else F.lit(None) for f in names}
+        # a field of the domain table overrides the network's where it says something
         info = info.join(wide, "ip", "full_outer").select(
             "ip",
-            F.when(F.col("_domain").isNotNull(), F.col("_domain").cast(info.schema["info"].dataType))
-            .otherwise(F.col("info"))
-            .alias("info"),
+            F.struct(
+                *[F.coalesce(told[f], F.col(f"info.{f}")).alias(f) for f in _names(IP_INFO)],
+                *[told[f].cast("string").alias(f) for f in _names(DOMAIN_INFO)],
+            ).alias("info"),
         )
     out = alerts
     for side in ("src_ip", "dst_ip"):
@@ -281,8 +280,9 @@ def group_scores(alerts: DataFrame, idle_s: int = 3600, tie: str = "alert_id", k
 def correlation_links(alerts: DataFrame, window_s: int = 3600, min_score: float = 0.0, tie: str = "alert_id") -> DataFrame:
     """Each alert linked to its nearest earlier alert of the same flow, pair, source and target.
 
-    Up to four links per alert: enough to chain every related alert of the window together,
-    while the output stays linear in the input (all pairs of a hot source would not).
+    Up to four links per alert, so the output stays linear in the input (all pairs of a hot
+    source would not). With ``min_score`` 0 the links chain every related alert of the window
+    together; a higher one only leaves out links that score less, and looks for no others.
     """
     df = with_micros(alerts)
     # columns a record lacks stay null and never match

@@ -28,11 +28,13 @@ def path_factor(max_samples: int) -> float:
 
 
 def _forest(trees: DataFrame, n_estimators: int, max_nodes: int) -> list[dict[str, np.ndarray]]:
-    """The first ``n_estimators`` trees as node-indexed arrays. Refuses a forest beyond its size bound."""
-    first = trees.filter(F.col("tree") < n_estimators)
-    rows = first.limit(max_nodes + 1).toPandas()
-    if len(rows) > max_nodes:
-        raise ValueError(f"more than {max_nodes} tree nodes; raise max_samples or lower n_estimators")
+    """The trees as node-indexed arrays. Refuses more trees than ``n_estimators`` and more nodes than ``max_nodes``."""
+    size = trees.agg(F.count(F.lit(1)).alias("nodes"), F.max("tree").alias("last")).first()
+    if size["nodes"] > max_nodes:
+        raise ValueError(f"{size['nodes']} tree nodes, more than {max_nodes}; raise max_samples or n_estimators")
+    if size["last"] is not None and size["last"] >= n_estimators:
+        raise ValueError(f"tree {size['last']} of a forest of {n_estimators}; raise n_estimators")
+    rows = trees.toPandas()
     forest = []
     for _, t in rows.groupby("tree"):
         size = int(t["node"].max()) + 1

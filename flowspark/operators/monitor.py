@@ -55,7 +55,8 @@ def stage_counters(**stages: DataFrame) -> DataFrame:
 def evaluate(df: DataFrame, score: str, label: str, threshold: float = 0.5, at_tpr: float = 0.95) -> DataFrame:
     """One row: AUC (ties count half), precision, recall, F1 at a threshold, FPR at a given TPR.
 
-    Rows are first counted per distinct score, then accumulated from the highest down.
+    Rows are first counted per distinct score, then accumulated from the highest down. Where a
+    class is missing, AUC and the false positive rate are null.
     """
     y = F.col(label).cast("int")
     per_score = df.groupBy(F.col(score).alias("s")).agg(
@@ -68,10 +69,10 @@ def evaluate(df: DataFrame, score: str, label: str, threshold: float = 0.5, at_t
     # a positive beats every negative still below its score and half of those at it
     wins = F.col("pos") * (n - F.col("fp") + F.col("neg") / 2)
     sums = curve.agg(
-        (F.sum(wins) / (p * n)).alias("auc"),
+        F.try_divide(F.sum(wins), p * n).alias("auc"),
         F.coalesce(F.sum(F.when(above, F.col("pos"))), F.lit(0)).alias("tp"),
         F.coalesce(F.sum(F.when(above, F.col("neg"))), F.lit(0)).alias("fp"),
-        F.min(F.when(F.col("tp") / p >= at_tpr, F.col("fp") / n)).alias("fpr_at_tpr"),
+        F.min(F.when(F.try_divide(F.col("tp"), p) >= at_tpr, F.try_divide(F.col("fp"), n))).alias("fpr_at_tpr"),
         F.sum("pos").alias("P"),
     )
     precision = F.when(F.col("tp") + F.col("fp") > 0, F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(0.0)

@@ -9,18 +9,15 @@ row per chunk. Results are the same either way.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from flowspark.session import durable
 
 HOT_ROWS = 4_000_000  # rows of one key a single task may hold
-HOT_KEYS = 1_000  # the next largest key holds under a thousandth of all rows
 CHUNK = "_chunk"
 
 
@@ -28,10 +25,14 @@ def hot_limit(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("flowspark.hotRows", str(HOT_ROWS)))
 
 
-def find_hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> list:
-    """Keys above ``hot_rows`` with their counts, largest first (at most ``HOT_KEYS`` rows)."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return sizes.filter(F.col("_n") > hot_rows).orderBy(F.desc("_n")).limit(HOT_KEYS).collect()
+def find_hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
+    """All keys above ``hot_rows`` with their counts ``_n``, as a table."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
+
+
+def pieces_of(hot: DataFrame, hot_rows: int) -> int:
+    """Into how many chunks the hot keys are cut; 0 where there is none."""
+    return int(hot.agg(F.sum(F.ceil(F.col("_n") / F.lit(hot_rows)))).first()[0] or 0)
 
 
 class Ordered:
@@ -44,7 +45,7 @@ class Ordered:
         order: Sequence[str],
         hot_rows: int | None = None,
         known_cold: bool = False,
-        hot: list | None = None,
+        hot: DataFrame | None = None,
     ):
         """``known_cold`` skips the check where a coarser key was already found cold.
 
@@ -52,24 +53,25 @@ class Ordered:
         """
         self.keys, self.order = list(keys), list(order)
         limit = hot_rows or hot_limit(df)
-        if known_cold:
-            hot = []
-        elif hot is None:
-            hot = find_hot_keys(df, keys, limit)
-        self.chunked = bool(hot)
-        self.df = self._split(df, hot, limit) if hot else df
-
-    def _split(self, df: DataFrame, hot: list, limit: int) -> DataFrame:
-        schema = T.StructType([df.schema[k] for k in self.keys])
-        rows = [tuple(r[k] for k in self.keys) for r in hot]
-        # at most HOT_KEYS rows, so the broadcast is bounded
-        listed = F.broadcast(df.sparkSession.createDataFrame(rows, schema))
-        pieces = sum(math.ceil(r["_n"] / limit) for r in hot)
-        cold = df.join(listed, self.keys, "left_anti").withColumn(CHUNK, F.lit(-1))
+        pieces = 0
+        if not known_cold:
+            hot = find_hot_keys(df, keys, limit) if hot is None else hot
+            pieces = pieces_of(hot, limit)
+        self.chunked = pieces > 0
+        self.df = self._split(df, hot, pieces) if self.chunked else df
+
+    def _split(self, df: DataFrame, hot: DataFrame, pieces: int) -> DataFrame:
+        # sizes decide the join: few hot keys are broadcast, many are shuffled, and null keys match
+        names = {k: f"_hot_{i}" for i, k in enumerate(self.keys)}
+        listed = hot.select(*[F.col(k).alias(n) for k, n in names.items()])
+        same = F.lit(True)
+        for k, n in names.items():
+            same = same & F.col(k).eqNullSafe(F.col(n))
+        cold = df.join(listed, same, "left_anti").withColumn(CHUNK, F.lit(-1))
         # The boundaries are sampled, so the chunks are fixed by a checkpoint before two
         # plans (rows and summaries) read them.
         warm = durable(
-            df.join(listed, self.keys, "left_semi")
+            df.join(listed, same, "left_semi")
             .repartitionByRange(max(2, pieces), *self.keys, *self.order)
             .withColumn(CHUNK, F.spark_partition_id())
         )

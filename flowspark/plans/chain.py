@@ -25,7 +25,7 @@ def alert_chain(
     hot groups settles both.
     """
     alerts = O.prepare_alerts(detections)
-    cold = not find_hot_keys(alerts, ["group_id"], hot_limit(alerts))
+    cold = find_hot_keys(alerts, ["group_id"], hot_limit(alerts)).isEmpty()
     fresh = O.dedup_alerts(alerts, window_s, tie=tie, known_cold=cold)
     scored = O.group_scores(fresh, idle_s, tie=tie, known_cold=cold)
     out = scored.withColumn("stix_indicator", A.stix_indicator(as_of_us))

@@ -192,12 +192,17 @@ def evaluate_scores(spark, d):
 _PSI = ("l_quantity", "l_extendedprice", "l_discount")
 
 
+def _moved(c: str) -> str:
+    """The open lines' quantities are moved up, so that one feature drifts."""
+    return "l_quantity + 12" if c == "l_quantity" else c
+
+
 def _psi_sql(c: str) -> str:
     return f"""
 SELECT '{c}' AS feature, sum((cc - rr) * ln(cc / rr)) AS psi FROM (
   SELECT greatest(coalesce(r.n / CAST(r.t AS DOUBLE), 0), 1e-6) AS rr, greatest(coalesce(q.n / CAST(q.t AS DOUBLE), 0), 1e-6) AS cc FROM
   (SELECT bin, count(*) AS n, sum(count(*)) OVER () AS t FROM (SELECT len(list_filter(e, lambda x: x <= v)) AS bin FROM (SELECT {c} AS v FROM lineitem WHERE l_linestatus = 'F'), edges_{c}) GROUP BY bin) r
-  FULL JOIN (SELECT bin, count(*) AS n, sum(count(*)) OVER () AS t FROM (SELECT len(list_filter(e, lambda x: x <= v)) AS bin FROM (SELECT {c} AS v FROM lineitem WHERE l_linestatus = 'O' AND l_quantity > 12), edges_{c}) GROUP BY bin) q
+  FULL JOIN (SELECT bin, count(*) AS n, sum(count(*)) OVER () AS t FROM (SELECT len(list_filter(e, lambda x: x <= v)) AS bin FROM (SELECT {_moved(c)} AS v FROM lineitem WHERE l_linestatus = 'O'), edges_{c}) GROUP BY bin) q
   ON r.bin = q.bin)"""
 
 
@@ -216,7 +221,7 @@ edges_{c} AS (SELECT list(DISTINCT v) AS e FROM o_{c} WHERE list_contains([least
 def psi_drift(spark, d):
     line = table(spark, d, "lineitem")
     ref = line.filter("l_linestatus = 'F'")
-    cur = line.filter("l_linestatus = 'O' and l_quantity > 12")
+    cur = line.filter("l_linestatus = 'O'").withColumn("l_quantity", F.expr(_moved("l_quantity")))
     out = M.psi_drift(ref, cur, _PSI)
     return out.withColumn("psi", q4("psi"))
 

@@ -439,13 +439,13 @@ def decode_sflow(spark, d):
 @query(
     "asof_templates",
     """WITH t AS (SELECT 'e' || (o_custkey % 5) AS exporter, CAST(o_custkey % 3 AS INTEGER) AS template_id, epoch_us(o_orderdate) AS seen_us,
-    max(o_custkey % 2) AS v FROM orders WHERE o_orderkey % 50 = 0 GROUP BY ALL),
+    max(o_custkey % 2) AS v FROM orders GROUP BY ALL),
 r AS (SELECT l_orderkey * 8 + l_linenumber AS id, l_extendedprice, 'e' || (l_suppkey % 5) AS exporter, CAST(l_partkey % 3 AS INTEGER) AS template_id, epoch_us(l_shipdate) AS ts_us FROM lineitem)
 SELECT r.id, r.l_extendedprice, r.exporter, r.template_id, r.ts_us, CAST(t.v AS INTEGER) AS flen FROM r ASOF JOIN t
   ON r.exporter = t.exporter AND r.template_id = t.template_id AND r.ts_us >= t.seen_us WHERE r.ts_us - t.seen_us <= 864000000000""",
 )
 def asof_templates(spark, d):
-    orders = table(spark, d, "orders").filter("o_orderkey % 50 = 0")
+    orders = table(spark, d, "orders")
     spec = F.array(F.struct(F.lit(8).alias("ftype"), (F.col("o_custkey") % 2).cast("int").alias("flen")))
     templates = orders.select(
         F.concat(F.lit("e"), F.col("o_custkey") % 5).alias("exporter"), (F.col("o_custkey") % 3).cast("int").alias("template_id"),

@@ -205,10 +205,17 @@ def template_spans(templates: DataFrame, timeout_s: int = 3600) -> DataFrame:
 
 
 def asof_templates(data: DataFrame, templates: DataFrame, timeout_s: int = 3600, ts: str = "ts_us") -> DataFrame:
-    """Each row with the newest template at or before its time, at most ``timeout_s`` old (inner)."""
+    """Each row with the newest template at or before its time, at most ``timeout_s`` old (inner).
+
+    Rows meet only the spans that touch their stretch of ``timeout_s``, not all of their template's.
+    """
+    width = max(timeout_s, 1) * MICRO
     spans = template_spans(templates, timeout_s)
+    first, last = F.floor(F.col("from_us") / width), F.floor(F.col("upto_us") / width)
+    spans = spans.filter("upto_us >= from_us").withColumn("_bucket", F.explode(F.sequence(first, last)))
     held = F.col(ts).between(F.col("from_us"), F.col("upto_us"))
-    return data.join(spans, ["exporter", "template_id"]).filter(held).drop("from_us", "upto_us")
+    rows = data.withColumn("_bucket", F.floor(F.col(ts) / width))
+    return rows.join(spans, ["exporter", "template_id", "_bucket"]).filter(held).drop("from_us", "upto_us", "_bucket")
 
 
 # --- v9 and IPFIX data -----------------------------------------------------------------

@@ -13,21 +13,35 @@ LOG_TYPES = (
     "conn", "dns", "http", "ssl", "x509", "notice", "weird", "files", "kerberos", "rdp", "smb_mapping",
     "smb_files", "ssh", "ftp", "mysql", "pe", "radius", "syslog", "tunnel",
 )
-_ID = "ts uid id.orig_h id.orig_p id.resp_h id.resp_p proto"
 KNOWN_FIELDS = {
-    "conn": f"{_ID} service duration orig_bytes resp_bytes conn_state local_orig local_resp missed_bytes "
-    "history orig_pkts orig_ip_bytes resp_pkts resp_ip_bytes tunnel_parents",
-    "dns": f"{_ID} trans_id rtt query qclass qclass_name qtype qtype_name rcode rcode_name AA TC RD RA Z "
-    "answers TTLs rejected",
-    "http": f"{_ID} trans_depth method host uri referrer version user_agent request_body_len "
-    "response_body_len status_code status_msg info_code info_msg filename tags username password proxied "
-    "orig_fuids orig_mime_types resp_fuids resp_mime_types",
-    "ssl": f"{_ID} version cipher curve server_name resumed established cert_chain_fuids "
-    "client_cert_chain_fuids subject issuer validation_status ja3 ja3s",
-    "notice": f"{_ID} note msg sub src dst p n peer_descr actions suppress_for dropped "
-    "remote_location.country_code remote_location.region remote_location.city remote_location.latitude "
-    "remote_location.longitude",
-}
+    "conn": (
+        "ts", "uid", "id.orig_h", "id.orig_p", "id.resp_h", "id.resp_p", "proto", "service", "duration",
+        "orig_bytes", "resp_bytes", "conn_state", "local_orig", "local_resp", "missed_bytes", "history",
+        "orig_pkts", "orig_ip_bytes", "resp_pkts", "resp_ip_bytes", "tunnel_parents",
+    ),
+    "dns": (
+        "ts", "uid", "id.orig_h", "id.orig_p", "id.resp_h", "id.resp_p", "proto", "trans_id", "rtt", "query",
+        "qclass", "qclass_name", "qtype", "qtype_name", "rcode", "rcode_name", "AA", "TC", "RD", "RA", "Z",
+        "answers", "TTLs", "rejected",
+    ),
+    "http": (
+        "ts", "uid", "id.orig_h", "id.orig_p", "id.resp_h", "id.resp_p", "proto", "trans_depth", "method",
+        "host", "uri", "referrer", "version", "user_agent", "request_body_len", "response_body_len",
+        "status_code", "status_msg", "info_code", "info_msg", "filename", "tags", "username", "password",
+        "proxied", "orig_fuids", "orig_mime_types", "resp_fuids", "resp_mime_types",
+    ),
+    "ssl": (
+        "ts", "uid", "id.orig_h", "id.orig_p", "id.resp_h", "id.resp_p", "proto", "version", "cipher", "curve",
+        "server_name", "resumed", "established", "cert_chain_fuids", "client_cert_chain_fuids", "subject",
+        "issuer", "validation_status", "ja3", "ja3s",
+    ),
+    "notice": (
+        "ts", "uid", "id.orig_h", "id.orig_p", "id.resp_h", "id.resp_p", "proto", "note", "msg", "sub", "src",
+        "dst", "p", "n", "peer_descr", "actions", "suppress_for", "dropped", "remote_location.country_code",
+        "remote_location.region", "remote_location.city", "remote_location.latitude",
+        "remote_location.longitude",
+    ),
+}
 
 
 def zeek_log_type(path: str | Column, fields: str | Column) -> Column:
@@ -37,7 +51,7 @@ def zeek_log_type(path: str | Column, fields: str | Column) -> Column:
     for name in LOG_TYPES:
         out = out.when(F.contains(stem, F.lit(name)), name)
     overlap = {
-        name: F.size(F.array_intersect(col(fields), F.array(*[F.lit(f) for f in known.split()])))
+        name: F.size(F.array_intersect(col(fields), F.array(*[F.lit(f) for f in known])))
         for name, known in KNOWN_FIELDS.items()
     }
     best = F.greatest(*overlap.values())
