@@ -7,10 +7,12 @@ are added: similar sets then share at least ``need`` (two or more) signatures of
 with more empty partitions than foreseen also signs its empty ones. Sets of few elements sign subsets of their elements
 instead and need one.
 
-Equal sets are one node. Signatures travel packed, one row per task batch and bucket. Nodes that share many signatures with
-the hub of these are compared with it first, which joins groups of copies in linear work. What is left is compared only
-across the components found so far, where two nodes share ``need`` signatures; inside signatures that very many nodes share
-pairs are formed only where two of them agree. Exact verification decides every link, and no candidate is dropped.
+Equal sets are one node. Signatures travel packed, one row per task batch and bucket. The sizes of two sets tell how many
+signatures of their band they must share: as many as there are partitions, less the foreseen empty ones and the elements in
+which they may differ. Nodes that share too few with all others are left out. Nodes that share much with the best connected
+node of a signature are compared with it first, which joins groups of copies in linear work. What is left is compared only
+across the components found so far, where two nodes share enough; inside signatures that very many nodes share, pairs are
+formed only where two of them agree. Exact verification decides every link, and no candidate is dropped.
 """
 
 from __future__ import annotations
@@ -37,9 +39,11 @@ SMALL = 14
 #: Upper over lower end of a size band.
 BAND = 1.5
 #: Nodes outside a signature's largest component from which pairs need a second shared signature.
-CROWD = 32
-#: Members compared with one copy of a hub's set.
-PER_HUB = 256
+CROWD = 1024
+#: Nodes whose sets stand in memory together, twice, while their pairs are verified.
+NODES = 1000
+#: Band mark of the signatures of small sets.
+NO_BAND = 63
 #: Characters of text per signature bucket.
 BUCKET_CHARS = 1 << 24
 
@@ -49,7 +53,7 @@ def band_table(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     """(upper end, partitions, foreseen empty partitions, signatures that similar sets share) of the bands above SMALL."""
     upper, parts, empty, need = [], [], [], []
     low = SMALL + 1
-    while low < 1 << 33:
+    while low < 1 << 33:  # some 50 bands; the number must fit six bits
         high = int(low * BAND)
         k = 2 * high * (100 - percent) // (100 + percent)
         least = low * percent // 100
@@ -81,11 +85,11 @@ def small_signatures(value: np.ndarray, percent: int, seed: np.uint64) -> Iterat
         bit = np.uint64(s != t)
         for gone in combinations(range(s), s - common):
             rest = total - value[:, list(gone)].sum(axis=1, dtype=np.uint64) if gone else total
-            yield np.arange(len(value)), (T.mix64(rest ^ T.mix64(kind * seed)) & ~np.uint64(1)) | bit
+            yield np.arange(len(value)), (T.mix64(rest ^ T.mix64(kind * seed)) & ~np.uint64(127)) | np.uint64(NO_BAND << 1) | bit
 
 
 def signatures(owner: np.ndarray, value: np.ndarray, n: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(set, signature) of n sets given as sorted (set, element hash) rows."""
+    """(set, signature) of n sets given as sorted (set, element hash) rows; bits 1 to 6 of a signature tell its band."""
     seed = np.uint64(0x9E3779B97F4A7C15)
     size = np.bincount(owner, minlength=n)
     start = np.cumsum(size) - size
@@ -128,7 +132,7 @@ def signatures(owner: np.ndarray, value: np.ndarray, n: int, percent: int) -> tu
             sign = full | (n_empty > empty[b])[of]
             tag = T.mix64(salt[of[sign]] + place[sign].astype(np.uint64) * seed)
             owners.append(rows[of[sign]])
-            found.append(T.mix64(content[sign] ^ tag) & ~np.uint64(1))
+            found.append((T.mix64(content[sign] ^ tag) & ~np.uint64(127)) | (b[of[sign]].astype(np.uint64) << np.uint64(1)))
             band = band + 1
     if not owners:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -174,11 +178,7 @@ def _distinct_sets(batch: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarra
 
 
 def shared_signatures(df: DataFrame, text_col: str, n: int, percent: int) -> DataFrame:
-    """(sig, key, size, need, hub) for every signature of two nodes or more.
-
-    hub is its smallest key, need the signatures that a set of this size shares at least with
-    any similar set that isn't larger.
-    """
+    """(sig, key, size) for every signature of two nodes or more."""
     rows = T.id_text(df, text_col, text_col).select("text")
     chars = rows.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     buckets = max(64, chars // BUCKET_CHARS)
@@ -227,14 +227,11 @@ def shared_signatures(df: DataFrame, text_col: str, n: int, percent: int) -> Dat
         sig, key, size = sig[first], key[first], size[first]
         start = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))) if len(sig) else np.zeros(0, np.int64)
         count = np.diff(np.append(start, len(sig)))
-        run = np.repeat(np.arange(len(start)), count)
-        two = count[run] > 1
-        upper, _, _, sure = band_table(percent)
-        need = np.where(size > SMALL, sure[np.searchsorted(upper, size)], 1)
-        return pd.DataFrame({"sig": sig.view(np.int64), "key": key, "size": size.astype(np.int64), "need": need, "hub": key[start][run]})[two]
+        two = np.repeat(count, count) > 1
+        return pd.DataFrame({"sig": sig.view(np.int64), "key": key, "size": size.astype(np.int64)})[two]
 
     packed = rows.mapInArrow(sign, "bucket int, n int, sigs binary, at binary, keys binary, sizes binary")
-    return packed.groupBy("bucket").applyInPandas(match, "sig long, key long, size long, need long, hub long")
+    return packed.groupBy("bucket").applyInPandas(match, "sig long, key long, size long")
 
 
 def node_sets(df: DataFrame, text_col: str, wanted: DataFrame, n: int, bits: int) -> DataFrame:
@@ -261,31 +258,36 @@ def node_sets(df: DataFrame, text_col: str, wanted: DataFrame, n: int, bits: int
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (hub, key) whose sets reach the threshold, compared exactly.
 
-    The set of a hub with many partners is copied once per PER_HUB of them, so its partners are spread over tasks.
+    Nodes are dealt into blocks of about NODES; a pair is compared in the cell of its two blocks, to which each set goes
+    once. So a task holds two blocks at most, and a node with many partners isn't sent once for each.
     """
-    degree = pairs.groupBy("hub").agg((1 + F.floor(F.count("*") / PER_HUB)).cast("int").alias("copies"))
-    members = salted_join(pairs, degree, ["hub"], F.col("key"), "inner", 8)
-    members = members.join(sets, "key").select("hub", F.pmod(F.hash("key"), F.col("copies")).alias("copy"), F.col("key"), "elements")
-    hubs = degree.join(sets.withColumnRenamed("key", "hub"), "hub").select(
-        "hub", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(None).cast("long").alias("key"), "elements"
-    )
-    rows = members.unionByName(hubs).repartition("hub", "copy").sortWithinPartitions("hub", "copy", F.col("key").asc_nulls_first())
+    blocks = max(8, sets.count() // NODES)
+    dealt = pairs.select("hub", "key", F.pmod(F.hash("hub"), F.lit(blocks)).alias("x"), F.pmod(F.hash("key"), F.lit(blocks)).alias("y"))
+    wanted = dealt.select("x", "y", F.explode(F.array("hub", "key")).alias("key")).distinct()
+    none = F.lit(None)
+    rows = wanted.join(sets, "key").select("x", "y", none.cast("long").alias("hub"), "key", "elements")
+    rows = rows.unionByName(dealt.select("x", "y", "hub", "key", none.cast("binary").alias("elements")))
+    rows = rows.repartition("x", "y").sortWithinPartitions("x", "y", F.col("hub").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(0, np.uint64)
+        cell, own = None, {}
         for batch in batches:
             hubs, keys = [], []
-            for hub, key, raw in zip(*(batch.column(c) for c in ("hub", "key", "elements"))):
-                other = np.frombuffer(raw.as_buffer(), np.uint64)
-                if not key.is_valid:
-                    own = other
+            columns = [batch.column(c).to_pylist() for c in ("x", "y", "hub", "key", "elements")]
+            for x, y, hub, key, raw in zip(*columns):
+                if (x, y) != cell:
+                    cell, own = (x, y), {}
+                if hub is None:
+                    own[key] = np.frombuffer(raw, np.uint64)
+                    continue
+                small, large = sorted((own[hub], own[key]), key=len)
+                if 100 * len(small) < percent * len(large):
                     continue
-                small, large = (own, other) if len(own) < len(other) else (other, own)
                 place = np.searchsorted(large, small)
                 common = int((large[np.minimum(place, len(large) - 1)] == small).sum())
                 if 100 * common >= percent * (len(small) + len(large) - common):
-                    hubs.append(hub.as_py())
-                    keys.append(key.as_py())
+                    hubs.append(hub)
+                    keys.append(key)
             yield pa.RecordBatch.from_arrays([pa.array(hubs, pa.int64()), pa.array(keys, pa.int64())], names=["hub", "key"])
 
     return rows.mapInArrow(run, "hub long, key long")
@@ -295,21 +297,40 @@ def _close(a: str, b: str, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def _home(size: str, percent: int) -> Column:
+    """Band of a size, -1 for small sets."""
+    out = F.when(F.col(size) <= SMALL, -1)
+    for b, upper in enumerate(band_table(percent)[0].tolist()):
+        out = out.when(F.col(size) <= upper, b)
+    return out
+
+
+def _need(home: Column, both: Column, percent: int) -> Column:
+    """Signatures of band ``home`` that similar sets share at least, whose sizes add up to ``both``."""
+    _, parts, empty, _ = band_table(percent)
+    cells = F.element_at(F.array(*[F.lit(int(n)) for n in parts - empty]), F.greatest(home, F.lit(0)) + 1)
+    return F.when(home < 0, 1).otherwise(cells - F.floor(both * (100 - percent) / F.lit(100 + percent)))
+
+
 def _across(members: DataFrame, by: list[str], percent: int) -> DataFrame:
-    """Pairs of nodes that share ``by`` and lie in different components: (hub, key, shared, least, crowds), with the rows
-    they share, the signatures that a link needs, and the crowded signatures that they can share besides.
+    """Pairs of nodes that share ``by`` and lie in different components: (hub, key, shared, need, crowds), with the rows they
+    share, the signatures that a link needs, and the crowded signatures that they can share besides.
 
     Every such pair has a node outside the largest component (column ``main``) of what it shares, so only those nodes look
-    for partners: a group of copies and a stray make as many pairs as the group has members.
+    for partners: a group of copies and a stray make as many pairs as the group has members. Signatures count in the band of
+    the larger set.
     """
     strays = members.filter(F.col("component") != F.col("main")).select(
-        *by, "odd", F.col("key").alias("a"), F.col("size").alias("n"), F.col("need").alias("m"), F.col("crowds").alias("w"), F.col("component").alias("c")
+        *by, F.col("key").alias("a"), F.col("size").alias("n"), F.col("home").alias("h"), F.col("crowds").alias("w"), F.col("component").alias("c")
     )
-    pairs = strays.join(members.drop("odd"), by).filter((F.col("c") != F.col("component")) & _close("n", "size", percent))
+    band = F.shiftright("sig", 1).bitwiseAND(F.lit(63))
+    odd = F.col("sig").bitwiseAND(F.lit(1)) == 1
+    pairs = strays.join(members, by).filter((F.col("c") != F.col("component")) & _close("n", "size", percent))
     once = (F.col("component") == F.col("main")) | (F.col("a") < F.col("key"))
-    pairs = pairs.filter(once & (~F.col("odd") | (F.col("n") != F.col("size"))))
+    home = F.greatest("h", "home")
+    pairs = pairs.filter(once & (~odd | (F.col("n") != F.col("size"))) & ((band == NO_BAND) | (band == home)))
     return pairs.groupBy(F.least("a", "key").alias("hub"), F.greatest("a", "key").alias("key")).agg(
-        F.count("*").alias("shared"), F.max(F.greatest("m", "need")).alias("least"), F.max(F.least("w", "crowds")).alias("crowds")
+        F.count("*").alias("shared"), F.max(_need(home, F.col("n") + F.col("size"), percent)).alias("need"), F.max(F.least("w", "crowds")).alias("crowds")
     )
 
 
@@ -326,31 +347,34 @@ def links_and_components(df: DataFrame, text_col: str = "text", n: int = 5, perc
     """(links, membership): verified links (hub, key) between nodes that join every component, and (key, component) of all
     nodes with a link. Two nodes are in one component exactly if a chain of similar sets leads from one to the other."""
     every = written(shared_signatures(df, text_col, n, percent), "signatures")
-    # a node that shares fewer signatures than needed with all others together has no link
-    nodes = every.groupBy("key", "size", "need").agg(F.count("*").alias("n"))
-    nodes = written(nodes.filter("n >= need").select("key", "size", "need"), "nodes")
+    # a node that shares fewer signatures with all others together than with one similar set has no link
+    most = F.floor(F.col("size") * (100 + percent) / F.lit(percent))  # its size and the largest partner's
+    nodes = every.groupBy("key", "size").agg(F.count("*").alias("n")).withColumn("home", _home("size", percent))
+    nodes = written(nodes.filter(F.col("n") >= F.greatest(F.lit(1), _need(F.col("home"), most, percent))), "nodes")
     sets = written(node_sets(df, text_col, nodes, n, bits), "sets")
     # which pairs are tried first changes the work, not the result: those that share much, by a quarter of the signatures
-    few = every.filter((F.col("key") != F.col("hub")) & ((F.pmod(F.shiftright("sig", 8), F.lit(4)) == 0) | (F.col("size") <= 64)))
-    stars = few.groupBy("hub", "key").agg(F.count("*").alias("n")).join(nodes, "key").filter("80 * n >= size")
-    stars = stars.join(nodes.select(F.col("key").alias("hub"), F.col("size").alias("m")), "hub").filter(_close("m", "size", percent))
-    first = written(linked(stars.select("hub", "key"), sets, percent), "links")
+    few = every.filter((F.pmod(F.shiftright("sig", 8), F.lit(4)) == 0) | (F.col("size") <= 64)).select("sig", "key").join(nodes, "key")
+    best = few.groupBy("sig").agg(F.max(F.struct("n", "key", "size")).alias("best")).select("sig", F.col("best.key").alias("hub"), F.col("best.size").alias("m"))
+    stars = few.join(best, "sig").filter((F.col("key") != F.col("hub")) & _close("m", "size", percent))
+    stars = stars.groupBy("hub", "key", "size").agg(F.count("*").alias("shared")).filter("80 * shared >= size").select("hub", "key")
+    first = written(linked(stars, sets, percent), "links")
     found = written(components(first, "hub", "key"), "components")
     named = nodes.join(found.select(F.col("node").alias("key"), "component"), "key", "left")
-    named = named.select("key", "size", "need", F.coalesce("component", "key").alias("component"))
+    named = named.select("key", "size", "home", F.coalesce("component", "key").alias("component"))
     shared = every.select("sig", "key").join(named, "key")
     members = written(shared.join(_largest(shared, ["sig"]), "sig"), "members")
     crowds = members.filter(F.col("strays") > CROWD).groupBy("key").agg(F.count("*").alias("crowds"))
-    odd = (F.col("sig").bitwiseAND(F.lit(1)) == 1).alias("odd")
-    members = members.join(crowds, "key", "left").select("sig", "key", "size", "need", "component", "main", "strays", F.coalesce("crowds", F.lit(0)).alias("crowds"), odd)
-    calm, crowded = members.filter(F.col("strays") <= CROWD), members.filter(F.col("strays") > CROWD)
-    small = _across(calm.drop("strays"), ["sig"], percent).filter("shared + crowds >= least")
+    members = members.join(crowds, "key", "left").select("sig", "key", "size", "home", "component", "main", "strays", F.coalesce("crowds", F.lit(0)).alias("crowds"))
+    calm, crowded = members.filter(F.col("strays") <= CROWD).drop("strays"), members.filter(F.col("strays") > CROWD).drop("strays")
+    small = _across(calm, ["sig"], percent).filter("shared + crowds >= need")
     # sets of few elements share one signature for sure, larger ones two
-    lone = _across(crowded.filter(F.col("size") <= SMALL).drop("strays"), ["sig"], percent)
-    two = crowded.groupBy("key", "size", "need", "crowds", "component").agg(F.array_sort(F.collect_set("sig")).alias("s"))
+    lone = _across(crowded.filter(F.col("size") <= SMALL), ["sig"], percent)
+    two = crowded.groupBy("key", "size", "home", "crowds", "component").agg(F.array_sort(F.collect_set("sig")).alias("s"))
     pairs_of = F.flatten(F.transform("s", lambda x, i: F.transform(F.slice("s", i + 2, F.greatest(F.size("s") - i - 1, F.lit(0))), lambda y: F.struct(x.alias("sig"), y.alias("sig2")))))
-    two = two.select("key", "size", "need", "crowds", "component", F.lit(False).alias("odd"), F.explode(pairs_of).alias("p"))
-    two = two.select("key", "size", "need", "crowds", "component", "odd", "p.sig", "p.sig2")
+    # two signatures of one band
+    same = lambda p: F.shiftright(p["sig"], 1).bitwiseAND(F.lit(63)) == F.shiftright(p["sig2"], 1).bitwiseAND(F.lit(63))
+    two = two.select("key", "size", "home", "crowds", "component", F.explode(F.filter(pairs_of, same)).alias("p"))
+    two = two.select("key", "size", "home", "crowds", "component", "p.sig", "p.sig2")
     two = two.join(_largest(two, ["sig", "sig2"]).drop("strays"), ["sig", "sig2"])
     rest = small.unionByName(lone).unionByName(_across(two, ["sig", "sig2"], percent)).select("hub", "key").distinct()
     second = written(linked(rest, sets, percent), "links")

@@ -123,7 +123,7 @@ def brute_components(rows):
     return sorted((i, len(s), least[root(k)]) for k, (i, s) in enumerate(sets))
 
 
-@pytest.mark.parametrize("crowd", [32, 3])
+@pytest.mark.parametrize("crowd", [1024, 3])
 def test_jaccard_components(spark, monkeypatch, crowd):
     monkeypatch.setattr(jaccard_join, "CROWD", crowd)
     rows = corpus()
