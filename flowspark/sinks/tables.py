@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowspark.functions.scores import route
@@ -52,6 +52,34 @@ def write_ecs(alerts: DataFrame, path: str, mode: str = "append") -> None:
     docs.write.mode(mode).partitionBy("day", "severity").parquet(path)
 
 
+def read_events(spark: SparkSession, path: str, start: float | None = None, end: float | None = None) -> DataFrame:
+    """Event documents as alerts again, for the board's filters, pages, statistics and look-ups.
+
+    ``start`` and ``end`` (seconds) prune the day folders and then cut exactly; a filter on ``severity`` prunes folders too.
+    """
+    docs = spark.read.parquet(path)
+    for limit, day in ((start, F.col("day") >= _day(start)), (end, F.col("day") <= _day(end))):
+        if limit is not None:
+            docs = docs.filter(day)
+    at = F.unix_micros(F.to_timestamp("timestamp"))
+    rows = docs.select(
+        "alert_id", (at / F.lit(1e6)).alias("timestamp"), at.alias("ts_us"), F.col("alert.type").alias("alert_type"), "severity", "day",
+        (F.col("event.outcome") == "success").alias("is_anomaly"), F.col("event.risk_score").alias("risk_score"),
+        F.col("source.ip").alias("src_ip"), F.col("source.port").alias("src_port"), F.col("destination.ip").alias("dst_ip"),
+        F.col("destination.port").alias("dst_port"), F.col("network.protocol").alias("protocol_name"),
+        F.col("alert.score").alias("score"), F.col("alert.model_version").alias("model_version"),
+        F.col("alert.inference_time_ms").alias("inference_time_ms"), F.col("correlation.correlation_score").alias("correlation_score"),
+        F.col("correlation.correlated_alerts").alias("correlated_alerts"), F.col("correlation.group_id").alias("dedup_key"),
+    )
+    if start is not None:
+        rows = rows.filter(F.col("timestamp") >= start)
+    return rows if end is None else rows.filter(F.col("timestamp") <= end)
+
+
+def _day(seconds: float | None) -> Column:
+    return F.to_date(F.timestamp_seconds(F.lit(seconds)))
+
+
 def write_ecs_batch(path: str):
     """``foreachBatch`` writer: a replayed batch overwrites its own folder, so nothing doubles."""
 

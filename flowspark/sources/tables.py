@@ -32,9 +32,12 @@ def read_packets(spark: SparkSession, path: str, fmt: str = "json", servers: str
     return packet_columns(df) if "timestamp" in df.columns else df
 
 
-def read_flows(spark: SparkSession, path: str) -> DataFrame:
-    """Training flows: Parquet as it is, or JSON (a list, or one object per line)."""
-    if path.lower().rstrip("/").endswith(".parquet"):
+def read_flows(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
+    """Training flows: Parquet as it is, or JSON (a list, or one object per line).
+
+    Without ``fmt`` a path that ends in ``.parquet`` is Parquet and any other JSON.
+    """
+    if (fmt or path.lower().rstrip("/").rsplit(".", 1)[-1]) == "parquet":
         return spark.read.parquet(path)
     return spark.read.schema(TRAINING_FLOW).option("multiLine", True).json(path)
 

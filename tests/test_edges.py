@@ -11,6 +11,10 @@ from flowspark.functions.keys import ip_prefix, ipv4_to_long
 from flowspark.operators import alerts as O
 from flowspark.operators import monitor as M
 from flowspark.operators.ordered import Ordered
+from flowspark.operators import board as B
+from flowspark.plans import views as V
+from flowspark.sinks.tables import read_events, write_ecs
+from flowspark.sources import cloud
 from flowspark.sources.netflow import asof_templates
 
 
@@ -84,3 +88,41 @@ def test_templates_meet_near_rows_only(spark):
         if seen and ts - seen[-1] * hour // 2 <= hour:
             want[ts] = seen[-1]
     assert got == want
+
+
+def test_event_store_round_trip(spark, sf_dir, tmp_path):
+    alerts = O.prepare_alerts(V.detections(spark, sf_dir)).cache()
+    write_ecs(alerts, str(tmp_path / "events"))
+    flat = O.with_micros(alerts).withColumn("timestamp", F.col("ts_us") / 1e6)
+    events = read_events(spark, str(tmp_path / "events"))
+    cols = ["alert_id", "ts_us", "alert_type", "severity", "is_anomaly", "src_ip", "dst_ip"]
+    key = lambda df: sorted(map(str, df.select(*cols).collect()))
+    assert key(events) == key(flat)
+    low, high = flat.agg(F.percentile_approx("timestamp", [0.2, 0.4])).first()[0]
+    some = read_events(spark, str(tmp_path / "events"), low, high)
+    assert key(some) == key(B.filter_alerts(flat, start=low, end=high))
+    plan = B.filter_alerts(some, severity="critical")._jdf.queryExecution().executedPlan().toString()
+    pruned = plan[plan.index("PartitionFilters") :].split("PushedFilters")[0]
+    assert "day" in pruned and "severity" in pruned
+    page = B.page_alerts(some, limit=5).select("alert_id", "total").collect()
+    assert page == B.page_alerts(B.filter_alerts(flat, start=low, end=high), limit=5).select("alert_id", "total").collect()
+    stats = lambda df: sorted(map(tuple, B.alert_stats(df).collect()), key=str)
+    assert stats(events) == stats(flat)
+
+
+def test_cloud_files(spark, tmp_path):
+    import gzip
+    import json
+
+    line = "2 123456789010 eni-1 10.0.0.1 10.0.0.2 20641 22 6 20 4249 1418530010 1418530070 ACCEPT OK"
+    (tmp_path / "aws").mkdir()
+    with gzip.open(tmp_path / "aws/a.log.gz", "wt") as f:
+        f.write(f"version account-id interface-id\n{line}\nbroken\n")
+    got = cloud.read_aws_flow(spark, str(tmp_path / "aws")).collect()
+    assert [(r["src_ip"], r["dst_port"]) for r in got] == [("10.0.0.1", 22)]
+    tuples = ["1542110377,10.0.0.4,13.67.143.118,44931,443,6,O,A", "1,a,b,1,2,3,I", "x,a,b,1,2,3,I,A", "1,a,b,1,2,3,,A"]
+    doc = {"records": [{"time": "t", "resourceId": "r", "properties": {"flows": [{"rule": "q", "flows": [{"mac": "m", "flowTuples": tuples}]}]}}]}
+    (tmp_path / "azure").mkdir()
+    (tmp_path / "azure/PT1H.json").write_text(json.dumps(doc, indent=1))
+    got = cloud.read_azure_flow(spark, str(tmp_path / "azure")).collect()
+    assert [(r["src_ip"], r["dst_port"], r["rule"]) for r in got] == [("10.0.0.4", 443, "q")]
