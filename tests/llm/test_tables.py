@@ -11,30 +11,7 @@ from pyspark.sql import functions as F
 
 from flowspark.llm import components, decontaminate, jaccard_join, language, licenses, quality_model, quality_rules, secrets, warc
 from flowspark.llm.shared import shared_path
-
-RNG = random.Random(5)
-VOCABULARY = ["".join(RNG.choice("abcdefgh") for _ in range(RNG.randint(2, 7))) for _ in range(300)]
-
-
-def prose(n, rng=RNG):
-    return " ".join(rng.choice(VOCABULARY) for _ in range(n))
-
-
-def words(text, lower=True):
-    raw = (text or "").encode()
-    return re.findall(rb"[^\x20\x09-\x0D]+", raw.lower() if lower else raw)
-
-
-def shingles(text, n=5):
-    w = words(text)
-    if not w:
-        return set()
-    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)}
-
-
-def edit(text, share, rng):
-    return " ".join(rng.choice(VOCABULARY) if rng.random() < share else w for w in text.split(" "))
-
+from tests_llm_words import VOCABULARY, edit, prose, shingles, words
 
 # --- WARC ------------------------------------------------------------------------------
 def test_warc_round_trip(spark):
