@@ -7,8 +7,11 @@ regression over the rules' truth values keeps few of them, and those are compile
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -83,7 +86,7 @@ def fit(
     )
     texts = docs.join(F.broadcast(chosen), docs[id_col] == chosen["_id"])  # max_rows rows
     stats = statistics(texts.select(F.struct("_id", "label").alias("_row"), F.col(text_col)), "_row", text_col)
-    rows = durable(stats.select("doc_id.label", F.array(*STATISTICS).alias("x")).repartition(4))
+    rows = durable(stats.select("doc_id.label", F.array(*STATISTICS).alias("x")).repartition(2))
     seen = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
     if len(seen) < 2:
         return RuleEnsemble({None: 0.0, 0.0: -8.0, 1.0: 8.0}[next(iter(seen), None)], ())
@@ -94,9 +97,19 @@ def fit(
     found = sorted({r for t in forest.trees for r in trees.rules(trees.read_tree(t.toDebugString))})
     if not found:  # statistics that don't differ
         return RuleEnsemble(math.log(share / (1 - share)), ())
-    truth = F.array(*[trees.holds(r, lambda i: F.get("x", F.lit(i))).cast("double") for r in found])
-    lasso = LogisticRegression(elasticNetParam=1.0, regParam=penalty, maxIter=100, standardization=False).fit(
-        rows.select("label", array_to_vector(truth).alias("features"))
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array(batch.column("x").to_pylist()).reshape(-1, len(STATISTICS))
+            out = np.ones((len(x), len(found)))
+            for i, rule in enumerate(found):
+                for f, upper, cut in rule:
+                    out[:, i] *= x[:, f] <= cut if upper else x[:, f] > cut
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(list(out), pa.list_(pa.float64()))], names=["label", "truth"])
+
+    truths = rows.mapInArrow(test, "label double, truth array<double>")
+    lasso = LogisticRegression(elasticNetParam=1.0, regParam=penalty, maxIter=30, standardization=False).fit(
+        truths.select("label", array_to_vector("truth").alias("features"))
     )
     weights = lasso.coefficients.toArray()
     return RuleEnsemble(float(lasso.intercept), tuple((r, float(w)) for r, w in zip(found, weights) if w))
