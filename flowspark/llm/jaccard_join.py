@@ -11,8 +11,9 @@ Equal sets are one node. Signatures travel packed, one row per task batch and bu
 signatures of their band they must share: as many as there are partitions, less the foreseen empty ones and the elements in
 which they may differ. Nodes that share too few with all others are left out. Nodes that share much with the best connected
 node of a signature are compared with it first, which joins groups of copies in linear work. What is left is compared only
-across the components found so far, where two nodes share enough; inside signatures that very many nodes share, pairs are
-formed only where two of them agree. Exact verification decides every link, and no candidate is dropped.
+across the components found so far: as similar sets share many signatures, two of them always meet in the rarest few of
+both (prefix filter), so signatures that very many nodes share need not be paired. Exact verification decides every link,
+and no candidate is dropped.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from flowspark.llm import tokens as T
@@ -38,8 +40,6 @@ from flowspark.llm.shared import written
 SMALL = 14
 #: Upper over lower end of a size band.
 BAND = 1.5
-#: Nodes outside a signature's largest component from which pairs need a second shared signature.
-CROWD = 1024
 #: Nodes whose sets stand in memory together, twice, while their pairs are verified.
 NODES = 1000
 #: Band mark of the signatures of small sets.
@@ -312,35 +312,49 @@ def _need(home: Column, both: Column, percent: int) -> Column:
     return F.when(home < 0, 1).otherwise(cells - F.floor(both * (100 - percent) / F.lit(100 + percent)))
 
 
-def _across(members: DataFrame, by: list[str], percent: int) -> DataFrame:
-    """Pairs of nodes that share ``by`` and lie in different components: (hub, key, shared, need, crowds), with the rows they
-    share, the signatures that a link needs, and the crowded signatures that they can share besides.
+def _band(sig: str) -> Column:
+    return F.shiftright(sig, 1).bitwiseAND(F.lit(63))
 
-    Every such pair has a node outside the largest component (column ``main``) of what it shares, so only those nodes look
+
+def _open_signatures(members: DataFrame) -> DataFrame:
+    """(sig, main, n): the largest component of the nodes of a signature and their number; none where it is the only one."""
+    sizes = members.groupBy("sig", "component").agg(F.count("*").alias("n"))
+    top = F.max(F.struct("n", "component")).alias("top")
+    found = sizes.groupBy("sig").agg(F.sum("n").alias("n"), top).filter(F.col("n") > F.col("top.n"))
+    return found.select("sig", F.col("top.component").alias("main"), "n")
+
+
+def _rarest(members: DataFrame, percent: int) -> DataFrame:
+    """The signatures of each node by which all its similar sets of other components are met.
+
+    If a node has m signatures of a band and shares at least r of them with any similar set, the m - r + 1 rarest will do;
+    with fewer than r it has no such set. Ties of rarity are broken by the signature, so the order is the same for all nodes.
+    """
+    most = F.floor(F.col("size") * (100 + percent) / F.lit(percent))
+    own = Window.partitionBy("key", "band")
+    need = F.when(F.col("band") == NO_BAND, 1).otherwise(F.greatest(F.lit(1), _need(F.col("band"), most, percent)))
+    ranked = members.withColumn("band", _band("sig").cast("int")).withColumns(
+        {"_rank": F.row_number().over(own.orderBy("n", "sig")), "_all": F.count("*").over(own)}
+    )
+    return ranked.filter(F.col("_rank") <= F.col("_all") - need + 1).drop("_rank", "_all", "band", "n")
+
+
+def _across(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (hub, key) of nodes that share a signature and lie in different components.
+
+    Every such pair has a node outside the largest component (column ``main``) of the signature, so only those nodes look
     for partners: a group of copies and a stray make as many pairs as the group has members. Signatures count in the band of
     the larger set.
     """
     strays = members.filter(F.col("component") != F.col("main")).select(
-        *by, F.col("key").alias("a"), F.col("size").alias("n"), F.col("home").alias("h"), F.col("crowds").alias("w"), F.col("component").alias("c")
+        "sig", F.col("key").alias("a"), F.col("size").alias("n"), F.col("home").alias("h"), F.col("component").alias("c")
     )
-    band = F.shiftright("sig", 1).bitwiseAND(F.lit(63))
     odd = F.col("sig").bitwiseAND(F.lit(1)) == 1
-    pairs = strays.join(members, by).filter((F.col("c") != F.col("component")) & _close("n", "size", percent))
+    pairs = strays.join(members, "sig").filter((F.col("c") != F.col("component")) & _close("n", "size", percent))
     once = (F.col("component") == F.col("main")) | (F.col("a") < F.col("key"))
-    home = F.greatest("h", "home")
-    pairs = pairs.filter(once & (~odd | (F.col("n") != F.col("size"))) & ((band == NO_BAND) | (band == home)))
-    return pairs.groupBy(F.least("a", "key").alias("hub"), F.greatest("a", "key").alias("key")).agg(
-        F.count("*").alias("shared"), F.max(_need(home, F.col("n") + F.col("size"), percent)).alias("need"), F.max(F.least("w", "crowds")).alias("crowds")
-    )
-
-
-def _largest(members: DataFrame, by: list[str]) -> DataFrame:
-    """(by, main, strays): the largest component of what nodes share, and how many nodes lie outside; none where it is the only one."""
-    sizes = members.groupBy(*by, "component").agg(F.count("*").alias("n"))
-    top = F.max(F.struct("n", "component")).alias("top")
-    return sizes.groupBy(*by).agg(F.sum("n").alias("n"), top).select(
-        *by, F.col("top.component").alias("main"), (F.col("n") - F.col("top.n")).alias("strays")
-    ).filter("strays > 0")
+    banded = (_band("sig") == NO_BAND) | (_band("sig") == F.greatest("h", "home"))
+    pairs = pairs.filter(once & banded & (~odd | (F.col("n") != F.col("size"))))
+    return pairs.select(F.least("a", "key").alias("hub"), F.greatest("a", "key").alias("key")).distinct()
 
 
 def links_and_components(df: DataFrame, text_col: str = "text", n: int = 5, percent: int = 80, bits: int = 24) -> tuple[DataFrame, DataFrame]:
@@ -362,21 +376,8 @@ def links_and_components(df: DataFrame, text_col: str = "text", n: int = 5, perc
     named = nodes.join(found.select(F.col("node").alias("key"), "component"), "key", "left")
     named = named.select("key", "size", "home", F.coalesce("component", "key").alias("component"))
     shared = every.select("sig", "key").join(named, "key")
-    members = written(shared.join(_largest(shared, ["sig"]), "sig"), "members")
-    crowds = members.filter(F.col("strays") > CROWD).groupBy("key").agg(F.count("*").alias("crowds"))
-    members = members.join(crowds, "key", "left").select("sig", "key", "size", "home", "component", "main", "strays", F.coalesce("crowds", F.lit(0)).alias("crowds"))
-    calm, crowded = members.filter(F.col("strays") <= CROWD).drop("strays"), members.filter(F.col("strays") > CROWD).drop("strays")
-    small = _across(calm, ["sig"], percent).filter("shared + crowds >= need")
-    # sets of few elements share one signature for sure, larger ones two
-    lone = _across(crowded.filter(F.col("size") <= SMALL), ["sig"], percent)
-    two = crowded.groupBy("key", "size", "home", "crowds", "component").agg(F.array_sort(F.collect_set("sig")).alias("s"))
-    pairs_of = F.flatten(F.transform("s", lambda x, i: F.transform(F.slice("s", i + 2, F.greatest(F.size("s") - i - 1, F.lit(0))), lambda y: F.struct(x.alias("sig"), y.alias("sig2")))))
-    # two signatures of one band
-    same = lambda p: F.shiftright(p["sig"], 1).bitwiseAND(F.lit(63)) == F.shiftright(p["sig2"], 1).bitwiseAND(F.lit(63))
-    two = two.select("key", "size", "home", "crowds", "component", F.explode(F.filter(pairs_of, same)).alias("p"))
-    two = two.select("key", "size", "home", "crowds", "component", "p.sig", "p.sig2")
-    two = two.join(_largest(two, ["sig", "sig2"]).drop("strays"), ["sig", "sig2"])
-    rest = small.unionByName(lone).unionByName(_across(two, ["sig", "sig2"], percent)).select("hub", "key").distinct()
+    members = written(_rarest(shared.join(_open_signatures(shared), "sig"), percent), "members")
+    rest = _across(members, percent)
     second = written(linked(rest, sets, percent), "links")
     links = first.unionByName(second)
     top = components(

@@ -100,9 +100,7 @@ def brute_components(rows):
     return sorted((i, len(s), least[root(k)]) for k, (i, s) in enumerate(sets))
 
 
-@pytest.mark.parametrize("crowd", [1024, 3])
-def test_jaccard_components(spark, monkeypatch, crowd):
-    monkeypatch.setattr(jaccard_join, "CROWD", crowd)
+def test_jaccard_components(spark):
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string, key long, hub string")
     got = sorted(tuple(r) for r in jaccard_join.join_components(df).collect())
