@@ -44,7 +44,7 @@ NODES = 1000
 #: Band mark of the signatures of small sets.
 NO_BAND = 63
 #: Characters of text per signature bucket.
-BUCKET_CHARS = 1 << 24
+BUCKET_CHARS = 1 << 23
 
 
 def band_table(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
