@@ -91,7 +91,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     path = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 1000), F.floor(F.col("doc_id") / 50), "doc_id")
     mostly = 3 * F.length(licenses.notice(F.col("text"))) >= F.length("text")
-    return licenses.scan(docs, path=path, licence_file=mostly)
+    return licenses.scan(docs, path=path, licence_file=mostly, share=1 / 3)
 
 
 @query("op5_sentence_pieces")
