@@ -277,23 +277,65 @@ def group_scores(alerts: DataFrame, idle_s: int = 3600, tie: str = "alert_id", k
     ).select(*[c for c in cols if not c.startswith("_")], F.col("_k").alias("group_rank"), "correlation_score")
 
 
+LINK_KEYS = {"flow": ["flow_key"], "pair": ["src_ip", "dst_ip"], "src": ["src_ip"], "dst": ["dst_ip"]}
+
+
+def _related(alerts: DataFrame, keys: list[str], window_s: int, min_score: float, tie: str) -> DataFrame:
+    """Pairs ``a, b, score`` of alerts with the same keys, b earlier in the window, that reach the score."""
+    span = max(window_s, 1) * MICRO
+    present = F.lit(True)
+    for key in keys:
+        present = present & (F.octet_length(key) > 0)
+    me = F.struct(*[F.col(f) for f in A.CORRELATION_FIELDS], F.col(tie).alias("id"))
+    rows = with_micros(alerts).filter(present).select(*[F.col(k).alias(f"_{k}") for k in keys], F.floor(F.col("ts_us") / span).alias("_slot"), me.alias("a"))
+    names = [f"_{k}" for k in keys] + ["_slot"]
+    earlier = rows.withColumn("_slot", F.explode(F.array(F.col("_slot"), F.col("_slot") + 1))).withColumnRenamed("a", "b")
+    at = lambda x: F.struct(F.col(f"{x}.ts_us"), F.col(f"{x}.id"))
+    pairs = rows.join(earlier, names).filter((at("b") < at("a")) & (F.col("a.ts_us") - F.col("b.ts_us") <= window_s * MICRO))
+    return pairs.select("a", "b", A.correlation_score(F.col("a"), F.col("b")).alias("score")).filter(F.col("score") >= min_score)
+
+
+def _scored_links(alerts: DataFrame, window_s: int, min_score: float, tie: str) -> DataFrame:
+    links = None
+    for keys in LINK_KEYS.values():
+        near = F.max(F.struct("b.ts_us", "b.id", "score"))
+        one = _related(alerts, keys, window_s, min_score, tie).groupBy(F.col("a.id").alias("alert"), F.col("a.ts_us").alias("ts_us")).agg(near.alias("n"))
+        links = one if links is None else links.unionByName(one)
+    return links.distinct().select(
+        "alert", F.col("n.id").alias("linked_to"), ((F.col("ts_us") - F.col("n.ts_us")) / F.lit(1e6)).alias("gap_s"), "n.score"
+    )
+
+
+def correlation_counts(alerts: DataFrame, window_s: int = 3600, min_score: float = 0.0, tie: str = "alert_id") -> DataFrame:
+    """``alert, n_related, best_score`` of each alert with earlier alerts of the same flow, source or target in the window.
+
+    Only those that score ``min_score`` count, each once. All pairs of a window are scored.
+    """
+    pairs = None
+    for keys in (["flow_key"], ["src_ip"], ["dst_ip"]):
+        one = _related(alerts, keys, window_s, min_score, tie)
+        # a pair that an earlier key finds as well is left to that key
+        for seen in {"flow_key": [], "src_ip": ["flow_key"], "dst_ip": ["flow_key", "src_ip"]}[keys[0]]:
+            same = (F.octet_length(f"a.{seen}") > 0) & (F.col(f"a.{seen}") == F.col(f"b.{seen}"))
+            one = one.filter(~F.coalesce(same, F.lit(False)))
+        pairs = one if pairs is None else pairs.unionByName(one)
+    return pairs.groupBy(F.col("a.id").alias("alert")).agg(F.count(F.lit(1)).alias("n_related"), F.max("score").alias("best_score"))
+
+
 def correlation_links(alerts: DataFrame, window_s: int = 3600, min_score: float = 0.0, tie: str = "alert_id") -> DataFrame:
-    """Each alert linked to its nearest earlier alert of the same flow, pair, source and target.
+    """Each alert linked to its nearest earlier alert of the same flow, pair, source and target that scores ``min_score``.
 
     Up to four links per alert, so the output stays linear in the input (all pairs of a hot
     source would not). With ``min_score`` 0 the links chain every related alert of the window
-    together; a higher one only leaves out links that score less, and looks for no others.
+    together and are found in linear time; a higher one has to score all pairs of a window.
     """
+    if min_score > 0:
+        return _scored_links(alerts, window_s, min_score, tie)
     df = with_micros(alerts)
     # columns a record lacks stay null and never match
     me = F.struct(*[F.col(f) for f in A.CORRELATION_FIELDS], F.col(tie).alias("id"))
     links = []
-    for name, keys in {
-        "flow": ["flow_key"],
-        "pair": ["src_ip", "dst_ip"],
-        "src": ["src_ip"],
-        "dst": ["dst_ip"],
-    }.items():
+    for name, keys in LINK_KEYS.items():
         # looked for on the bare alerts: ``df`` carries the links found so far
         hot = find_hot_keys(alerts, keys, hot_limit(alerts))
         step = Ordered(df, keys, ["ts_us", tie], hot=hot).prev(**{f"_{name}": me})
