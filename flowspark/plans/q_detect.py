@@ -215,27 +215,27 @@ def first_rule(spark, d):
 def fast_detect(spark, d):
     """Forest fitted on the flows themselves, then every flow scored."""
     flows = scored_flows(spark, d)
-    trees = T.iforest_fit(X.strict_vector(flows), "id", n_trees=50)
+    trees = T.iforest_fit(X.strict_vector(flows), "id")
     out = D.fast_detect(flows, trees, rules=rules(spark), threshold=0.6, mode="high")
     return D.detection_rows(out, "fast")
 
 
 @query("iforest_trees")
 def iforest_trees(spark, d):
-    return T.iforest_fit(X.strict_vector(scored_flows(spark, d)), "id", n_trees=20)
+    return T.iforest_fit(X.strict_vector(scored_flows(spark, d)), "id")
 
 
 @query("supervised_detect")
 def supervised_detect(spark, d):
     labelled = scored_flows(spark, d).withColumn("label", F.when(F.contains("flow_key", F.lit(":22/")) | F.contains("flow_key", F.lit(":22->")), "1").otherwise("0"))
-    fit = T.supervised_fit(labelled, "id", rounds=5, depth=4, flat_ok=True)
+    fit = T.supervised_fit(labelled, "id", flat_ok=True)
     return D.detection_rows(D.supervised_detect(labelled, fit.model, flat_ok=True), "supervised")
 
 
 @query("sequence_detect")
 def sequence_detect(spark, d):
     flows = vector_flows(spark, d)
-    params, _ = T.sequence_fit(X.strict_vector(flows), 10, k=8, tie="event_id")
+    params, _ = T.sequence_fit(X.strict_vector(flows), 10, tie="event_id")
     return D.detection_rows(D.sequence_detect(flows, params, tie="event_id"), "sequence")
 
 
