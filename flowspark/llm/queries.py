@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowspark.llm import backoff_lm, decontaminate, jaccard_join, language, licenses, quality_model, quality_rules, secrets, sentence_pieces, warc
+from flowspark.llm import (
+    backoff_lm, decontaminate, jaccard_join, language, lexical_search, licenses, norm_search, quality_model, quality_rules, secrets, sentence_pieces, warc, whitening,
+)
 from flowspark.llm.shared import shared_path
 from flowspark.llm.tokens import remainder
 
@@ -176,3 +178,45 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "failed",
         (~quality_rules.passes("base")).alias("base_failed"), quality_rules.passes("v2").alias("kept"),
     )
+
+
+_TERM = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+
+
+@query(
+    "op11_lexical_search",
+    f"""
+WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all({sql_lower("coalesce(text, '')")}, '{_TERM}') AS w FROM documents),
+c AS (SELECT count(*) AS n, sum(len(w)) AS l FROM d WHERE len(w) > 0),
+p AS MATERIALIZED (SELECT doc_id, len(w) AS n, t, count(*) AS tf FROM (SELECT doc_id, w, unnest(w) AS t FROM d) GROUP BY ALL),
+b AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({sql_lower("coalesce(text, '')")}, '{_TERM}')) AS t FROM benchmark),
+f AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(c.n) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, c GROUP BY t),
+s AS (
+    SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * p.n * c.n) // CAST(c.l AS BIGINT))))) AS BIGINT) AS score
+    FROM b JOIN f USING (t) JOIN p USING (t), c GROUP BY item_id, doc_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query(
+    "op13_norm_search",
+    """
+WITH v AS MATERIALIZED (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return norm_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)

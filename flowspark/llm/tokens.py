@@ -97,12 +97,12 @@ def lowered(f: Flat) -> Flat:
     return Flat(_LOWER[f.buf], f.offsets)
 
 
-def word_spans(f: Flat) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, text) of every word, in order."""
+def word_spans(f: Flat, separators: np.ndarray = _SEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, text) of every word, in order; ``separators`` tells for each byte whether it ends a word."""
     if not len(f.buf):
         none = np.zeros(0, np.int64)
         return none, none, none
-    sep = _SEP[f.buf]
+    sep = separators[f.buf]
     edge = np.zeros(len(sep) + 1, dtype=bool)
     edge[f.offsets] = True
     before = np.concatenate(([True], sep[:-1])) | edge[:-1]
