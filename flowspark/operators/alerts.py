@@ -6,15 +6,18 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from flowspark.functions import alerts as A
 from flowspark.functions import scores as S
 from flowspark.functions.keys import ip_prefix, ipv4_to_long, ipv6_groups
 from flowspark.functions.times import micros
-from flowspark.operators.ordered import Ordered, find_hot_keys, hot_limit
+from flowspark.operators.ordered import CHUNK, ROW, Ordered, chunk_of, earlier, in_runs, run_width, runs, with_carry
 from flowspark.schemas import IP_INFO, SEVERITIES
 
 MICRO = 1_000_000
+#: Width of a key's chunks in ordered passes: alerts are rare enough for an hour of one key to be a task's work.
+WIDTH_US = 3600 * MICRO
 
 
 def with_micros(df: DataFrame) -> DataFrame:
@@ -105,21 +108,22 @@ def enrich_ips(alerts: DataFrame, cidr_dim: DataFrame, domain_dim: DataFrame | N
 
 
 # --- W4, A21, J6 ----------------------------------------------------------------
-def dedup_runs(alerts: DataFrame, window_s: int = 300, tie: str = "alert_id", known_cold: bool = False) -> DataFrame:
-    """Add ``is_first`` and ``run_us``: a run goes on while each alert is within the window of the last."""
-    runs = Ordered(alerts, ["dedup_key"], ["ts_us", tie], known_cold=known_cold).prev(_prev="ts_us")
-    gap = F.col("ts_us") - F.col("_prev")
-    runs.df = runs.df.withColumn("is_first", F.col("_prev").isNull() | (gap > window_s * MICRO))
-    runs.running(run_us=("max", F.when(F.col("is_first"), F.col("ts_us"))))
-    return runs.result().drop("_prev")
+def dedup_runs(alerts: DataFrame, window_s: int = 300, tie: str = "alert_id") -> DataFrame:
+    """Add ``is_first`` and ``run_us``: a run goes on while each alert is within the window of the last.
 
+    Alerts of equal key, time and tie value can't be told apart: as first ones all of them are marked.
+    """
+    place = F.struct("ts_us", tie)
+    rows = in_runs(alerts, ["dedup_key"], "ts_us", window_s * MICRO, keep=["is_new", "_first"], _first=F.min(place))
+    return rows.withColumn("is_first", F.col("is_new") & (place == F.col("_first"))).withColumnRenamed("run_at", "run_us").drop("is_new", "_first")
 
-def dedup_alerts(alerts: DataFrame, window_s: int = 300, keep: str = "first", tie: str = "alert_id", known_cold: bool = False) -> DataFrame:
+
+def dedup_alerts(alerts: DataFrame, window_s: int = 300, keep: str = "first", tie: str = "alert_id") -> DataFrame:
     """The first alert of every run, alone or with the merged run beside it (``keep="merged"``)."""
-    runs = dedup_runs(alerts, window_s, tie, known_cold)
+    runs_ = dedup_runs(alerts, window_s, tie)
     if keep == "first":
-        return runs.filter("is_first").drop("is_first", "run_us")
-    return merge_duplicates(runs, ["dedup_key", "run_us"], tie)
+        return runs_.filter("is_first").dropDuplicates(["dedup_key", "run_us"]).drop("is_first", "run_us")
+    return merge_duplicates(runs_, ["dedup_key", "run_us"], tie)
 
 
 def merge_duplicates(alerts: DataFrame, by: Sequence[str], tie: str = "alert_id") -> DataFrame:
@@ -176,34 +180,37 @@ def correlation_id(alerts: DataFrame, by: Sequence[str]) -> DataFrame:
     return sets.select(*by, F.substring(F.sha2(text, 256), 1, 16).alias("group_id"))
 
 
-def _sessions(alerts: DataFrame, idle_s: int, tie: str, known_cold: bool) -> Ordered:
-    flows = Ordered(alerts, ["group_id"], ["ts_us", tie], known_cold=known_cold).prev(_prev="ts_us")
-    new = F.col("_prev").isNull() | (F.col("ts_us") - F.col("_prev") > idle_s * MICRO)
-    flows.df = flows.df.withColumn("_new", new)
-    flows.running(session_us=("max", F.when(F.col("_new"), F.col("ts_us"))))
-    flows.df = flows.df.drop("_prev", "_new")
-    return flows
-
-
 def correlation_sessions(alerts: DataFrame, idle_s: int = 3600, tie: str = "alert_id") -> DataFrame:
     """Add ``group_id`` and ``session_us``; a session closes after more than ``idle_s`` idle."""
     df = with_micros(alerts).withColumn("group_id", A.single_correlation_id())
-    return _sessions(df, idle_s, tie, False).result()
+    return in_runs(df, ["group_id"], "ts_us", idle_s * MICRO).withColumnRenamed("run_at", "session_us")
+
+
+def _ranked(df: DataFrame, idle_us: int, tie: str) -> DataFrame:
+    """Alerts with their session and their 0-based rank ``_k`` in it."""
+    width = run_width(idle_us, WIDTH_US)
+    spans = runs(df, ["group_id"], "ts_us", idle_us, width)
+    so_far = F.sum("n").over(earlier(["group_id", "run_at"]))
+    carry = spans.select("group_id", CHUNK, F.struct("run_at", F.coalesce(so_far, F.lit(0)).alias("n")).alias("_span"))
+    order = Window.partitionBy("group_id", CHUNK).orderBy(ROW, "ts_us", tie)
+    rows = with_carry(df.withColumn(CHUNK, chunk_of("ts_us", width)), carry).withColumns(
+        {"_span": F.first("_span").over(order.rowsBetween(Window.unboundedPreceding, 0)), "_k": F.row_number().over(order)}
+    )
+    rows = rows.filter(F.col(ROW) == 1).withColumns({"session_us": F.col("_span.run_at"), "_k": F.col("_k") - 2 + F.col("_span.n")})
+    return rows.drop(CHUNK, ROW, "_span")
 
 
-def group_scores(alerts: DataFrame, idle_s: int = 3600, tie: str = "alert_id", known_cold: bool = False) -> DataFrame:
+def group_scores(alerts: DataFrame, idle_s: int = 3600, tie: str = "alert_id") -> DataFrame:
     """Correlation score of the group at each arrival, in one linear pass per match class.
 
     The score of arrival k is the mean of score(a_i, a_k) over its earlier members, weighted
     k - i. Inside a group only port, protocol and time proximity vary, so that sum splits into
     classes (port match x protocol match x closer than an hour), and in each class it needs
     just the prefix sums of 1, i, t and i*t. No pair is ever formed, whatever the group size.
+    Prefix sums run inside chunks of an hour; each class has carry rows for what came before.
     """
     df = with_micros(alerts).withColumn("group_id", A.single_correlation_id())
-    sessions = _sessions(df, idle_s, tie, known_cold)
-    cold = not sessions.chunked
-    base = Ordered(sessions.result(), ["group_id", "session_us"], ["ts_us", tie], known_cold=cold).number("_k")
-    rows = base.result().withColumn("_t", (F.col("ts_us") - F.col("session_us")).cast("double"))
+    rows = _ranked(df, idle_s * MICRO, tie).withColumn("_t", (F.col("ts_us") - F.col("session_us")).cast("double"))
     cols = rows.columns
     # every member also arrives a second time when it turns one hour old (kind 0, before
     # a real arrival of that instant): prefix sums over those rows count the far members
@@ -211,7 +218,7 @@ def group_scores(alerts: DataFrame, idle_s: int = 3600, tie: str = "alert_id", k
     both = rows.withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(0)))).withColumn(
         "_at", F.col("ts_us") + F.when(F.col("_copy") == 0, F.lit(hour)).otherwise(F.lit(0))
     )
-    order = ["_at", "_copy", tie]
+    group = ["group_id", "session_us"]
     classes = {
         "a": [],
         "p": ["dst_port"],
@@ -221,13 +228,23 @@ def group_scores(alerts: DataFrame, idle_s: int = 3600, tie: str = "alert_id", k
     k, t = F.col("_k").cast("double"), F.col("_t")
     terms = {"c": F.lit(1.0), "i": k, "t": t, "it": k * t}
     real = F.col("_copy") == 1
+    # a member counts as near until its second arrival takes it away again; far ones have no time part
+    values = {f"_x_near_{s}": F.when(real, v).otherwise(-v) for s, v in terms.items()}
+    values |= {f"_x_far_{s}": F.when(~real, terms[s]).otherwise(0.0) for s in ("c", "i")}
+    both = both.withColumns({**values, CHUNK: chunk_of("_at", WIDTH_US)})
+    summary = both.groupBy(*group, CHUNK, *classes["b"]).agg(*[F.sum(n).alias(n) for n in values])
+    carries = None
+    for name, extra in classes.items():
+        one = summary if name == "b" else summary.groupBy(*group, CHUNK, *extra).agg(*[F.sum(n).alias(n) for n in values])
+        past = earlier([*group, *extra])
+        one = one.select(*group, CHUNK, *extra, F.lit(name).alias("_class"), *[F.sum(n).over(past).alias(n) for n in values]).filter("_x_far_c is not null")
+        carries = one if carries is None else carries.unionByName(one, allowMissingColumns=True)
+    both = with_carry(both, carries)
     for name, extra in classes.items():
-        prefix = Ordered(both, ["group_id", "session_us", *extra], order, known_cold=cold)
-        sums: dict[str, tuple[str, Column]] = {}
-        for s, v in terms.items():
-            sums[f"_{name}_all_{s}"] = ("sum", F.when(real, v).otherwise(0.0))
-            sums[f"_{name}_far_{s}"] = ("sum", F.when(~real, v).otherwise(0.0))
-        both = prefix.running(**sums).result()
+        upto = Window.partitionBy(*group, CHUNK, *extra).orderBy(ROW, "_at", "_copy", tie).rowsBetween(Window.unboundedPreceding, 0)
+        counts = (F.col(ROW) == 1) | (F.col("_class") == name)
+        both = both.withColumns({n.replace("_x", f"_{name}", 1): F.sum(F.when(counts, F.col(n))).over(upto) for n in values})
+    both = both.filter(F.col(ROW) == 1)
     scored = both.filter(real)
 
     def zero_unless(name: str, c: Column) -> Column:
@@ -239,14 +256,13 @@ def group_scores(alerts: DataFrame, idle_s: int = 3600, tie: str = "alert_id", k
         return F.when(ok, c).otherwise(0.0)
 
     def sums_of(kind: str) -> dict[str, dict[str, Column]]:
-        got = {}
+        got: dict[str, dict[str, Column]] = {}
+        used = list(terms) if kind == "near" else ["c", "i"]
         for name in classes:
-            for s in terms:
-                whole, far = F.col(f"_{name}_all_{s}"), F.col(f"_{name}_far_{s}")
-                value = far if kind == "far" else whole - far
-                got.setdefault(name, {})[s] = zero_unless(name, value)
-        exact = {}
-        for s in terms:
+            for s in used:
+                got.setdefault(name, {})[s] = zero_unless(name, F.col(f"_{name}_{kind}_{s}"))
+        exact: dict[tuple[int, int], dict[str, Column]] = {}
+        for s in used:
             a, p, q, b = (got[n][s] for n in "apqb")
             exact.setdefault((1, 1), {})[s] = b
             exact.setdefault((1, 0), {})[s] = p - b
@@ -331,15 +347,13 @@ def correlation_links(alerts: DataFrame, window_s: int = 3600, min_score: float
     """
     if min_score > 0:
         return _scored_links(alerts, window_s, min_score, tie)
-    df = with_micros(alerts)
+    df = bare = with_micros(alerts)
     # columns a record lacks stay null and never match
     me = F.struct(*[F.col(f) for f in A.CORRELATION_FIELDS], F.col(tie).alias("id"))
     links = []
     for name, keys in LINK_KEYS.items():
-        # looked for on the bare alerts: ``df`` carries the links found so far
-        hot = find_hot_keys(alerts, keys, hot_limit(alerts))
-        step = Ordered(df, keys, ["ts_us", tie], hot=hot).prev(**{f"_{name}": me})
-        df = step.result()
+        # summaries are made of the bare alerts: ``df`` carries the links found so far
+        df = Ordered(df, keys, ["ts_us", tie], WIDTH_US).prev(**{f"_{name}": me}).result(source=bare)
         present = F.lit(True)
         for key in keys:
             present = present & (F.octet_length(key) > 0)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from flowspark.functions import packets as P
 from flowspark.functions.keys import CANONICAL, canonical_flow, flow_id, is_forward
-from flowspark.operators.ordered import Ordered
+from flowspark.operators.ordered import CHUNK, ROW, WIDTH_US, Ordered, chunk_of, earlier, in_runs, run_width, runs, with_carry
 from flowspark.schemas import FEATURES, TCP_FLAGS
 
 KEY = list(CANONICAL)
@@ -28,16 +29,8 @@ def _count(cond: Column) -> Column:
     return F.count_if(cond)
 
 
-def _sessions(packets: DataFrame, timeout_s: float | None) -> Ordered:
-    """Canonical packets with ``gap_us`` and ``session_us`` (the session's first timestamp)."""
-    flows = Ordered(canonical_flow(packets), KEY, ORDER).prev(_prev="ts_us")
-    gap = F.col("ts_us") - F.col("_prev")
-    if timeout_s is None:
-        flows.df = flows.df.withColumns({"gap_us": gap, "_new": F.col("_prev").isNull()})
-    else:
-        new = F.col("_prev").isNull() | (gap > F.lit(int(timeout_s * MICRO)))
-        flows.df = flows.df.withColumns({"gap_us": F.when(~new, gap), "_new": new})
-    return flows.running(session_us=("max", F.when(F.col("_new"), F.col("ts_us"))))
+def _micros(seconds: float | None) -> int | None:
+    return None if seconds is None else int(seconds * MICRO)
 
 
 def _basic(df: DataFrame, group: list[str]) -> DataFrame:
@@ -158,7 +151,8 @@ def flow_features(packets: DataFrame, timeout_s: float | None = None) -> DataFra
 
 def flow_sessions(packets: DataFrame, timeout_s: float = 300) -> DataFrame:
     """As ``flow_features``, but a flow ends when it is idle for more than ``timeout_s``."""
-    return _basic(_sessions(packets, timeout_s).result(), [*KEY, "session_us"])
+    rows = in_runs(canonical_flow(packets), KEY, "ts_us", _micros(timeout_s))
+    return _basic(rows.withColumnRenamed("run_at", "session_us"), [*KEY, "session_us"])
 
 
 def flow_vector51(
@@ -169,33 +163,46 @@ def flow_vector51(
 ) -> DataFrame:
     """The 51 features per session; forward is the direction of the session's first packet.
 
-    One shuffle: every window below shares the flow key and order, and the final
-    aggregation groups by that key plus the session.
+    Sessions and active periods break between chunks only (see ``ordered``), so what a packet has to know of earlier ones
+    is in its chunk's carry row; one window over (flow, chunk) gives gaps and per-direction gaps.
     """
-    flows = _sessions(packets, timeout_s)
-    ts, gap = F.col("ts_us"), F.col("gap_us")
-    flows.df = flows.df.withColumns(
-        {
-            "_a": is_forward(),
-            "_plen": F.coalesce(F.col("payload_len"), F.octet_length("payload"), F.lit(0)),
-            "_wakes": F.col("_new") | (gap > F.lit(int(idle_gap_s * MICRO))),
-        }
+    gap_us, idle_us = _micros(timeout_s), _micros(idle_gap_s)
+    width = run_width(gap_us, min(idle_us, WIDTH_US))
+    packets = canonical_flow(packets).withColumns(
+        {"_a": is_forward(), "_plen": F.coalesce(F.col("payload_len"), F.octet_length("payload"), F.lit(0))}
     )
-    flows.running(_active_us=("max", F.when(F.col("_wakes"), ts)))
-    flows.running(
-        inclusive=False,
-        _last_a=("max", F.when(F.col("_a"), ts)),
-        _last_b=("max", F.when(~F.col("_a"), ts)),
-        _active_before=("max", F.when(F.col("_wakes"), ts)),
+    ts = F.col("ts_us")
+    spans = runs(packets, KEY, "ts_us", gap_us, width, last_a=F.max(F.when(F.col("_a"), ts)), last_b=F.max(F.when(~F.col("_a"), ts)))
+    before, upto = earlier(KEY), Window.partitionBy(*KEY).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, 0)
+    spans = spans.withColumn("wakes", F.col("is_new") | (F.col("from_at") - F.col("prev_at") > idle_us))
+    woken = F.when(F.col("wakes"), F.col("from_at"))
+    carry = spans.select(
+        *KEY, CHUNK, F.col("prev_at").alias("_at"), F.max("last_a").over(before).alias("_at_a"), F.max("last_b").over(before).alias("_at_b"),
+        F.struct("is_new", "wakes", F.col("run_at").alias("session_us"), F.max(woken).over(upto).alias("active_us"), F.max(woken).over(before).alias("active_before")).alias("_span"),
+    )
+    rows = packets.withColumns(
+        {CHUNK: chunk_of("ts_us", width), "_at": ts, "_at_a": F.when(F.col("_a"), ts), "_at_b": F.when(~F.col("_a"), ts)}
     )
+    order = Window.partitionBy(*KEY, CHUNK).orderBy(ROW, *ORDER)
+    past = order.rowsBetween(Window.unboundedPreceding, -1)
+    rows = with_carry(rows, carry).withColumns(
+        {
+            "_prev": F.lag("_at").over(order),
+            "_leads": F.row_number().over(order) == 2,
+            "_span": F.first("_span").over(order.rowsBetween(Window.unboundedPreceding, 0)),
+            "_last_a": F.max("_at_a").over(past),
+            "_last_b": F.max("_at_b").over(past),
+        }
+    ).filter(F.col(ROW) == 1)
+    rows = rows.withColumns({"_new": F.col("_leads") & F.col("_span.is_new"), "_wakes": F.col("_leads") & F.col("_span.wakes"), "session_us": F.col("_span.session_us"), "_active_us": F.col("_span.active_us")})
+    gap = F.when(~F.col("_new"), ts - F.col("_prev"))
     last = F.when(F.col("_a"), F.col("_last_a")).otherwise(F.col("_last_b"))
-    df = flows.result().withColumns(
+    resumed = ~F.col("_new") & F.col("_wakes")
+    df = rows.withColumns(
         {
             "_iat": F.when(last >= F.col("session_us"), _seconds(ts - last)),
-            "_idle": F.when(~F.col("_new") & F.col("_wakes"), _seconds(gap)),
-            "_active": F.when(
-                ~F.col("_new") & F.col("_wakes"), _seconds(F.col("_prev") - F.col("_active_before"))
-            ),
+            "_idle": F.when(resumed, _seconds(gap)),
+            "_active": F.when(resumed, _seconds(F.col("_prev") - F.col("_span.active_before"))),
         }
     )
     place = F.struct("ts_us", "packet_number")
@@ -305,14 +312,11 @@ def inter_arrival(packets: DataFrame) -> DataFrame:
 
 def active_idle(packets: DataFrame, idle_gap_s: float = 5.0) -> DataFrame:
     """Active periods of each flow (one row each) with the idle time before them."""
-    flows = _sessions(packets, None)
-    wakes = F.col("_new") | (F.col("gap_us") > F.lit(int(idle_gap_s * MICRO)))
-    flows.df = flows.df.withColumn("_wakes", wakes)
-    flows.running(period_us=("max", F.when(F.col("_wakes"), F.col("ts_us"))))
-    agg = flows.result().groupBy(*KEY, "period_us").agg(
-        F.max("ts_us").alias("_end"),
-        F.count(F.lit(1)).alias("packets"),
-        F.max(F.when(F.col("_wakes"), F.col("gap_us"))).alias("_idle"),
+    periods = runs(canonical_flow(packets), KEY, "ts_us", _micros(idle_gap_s))
+    agg = periods.groupBy(*KEY, F.col("run_at").alias("period_us")).agg(
+        F.max("to_at").alias("_end"),
+        F.sum("n").alias("packets"),
+        F.max(F.when(F.col("is_new"), F.col("from_at") - F.col("prev_at"))).alias("_idle"),
     )
     return agg.select(
         flow_id().alias("flow_id"),

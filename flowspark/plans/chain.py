@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 
 from flowspark.functions import alerts as A
 from flowspark.operators import alerts as O
-from flowspark.operators.ordered import find_hot_keys, hot_limit
 
 
 def alert_chain(
@@ -21,12 +20,10 @@ def alert_chain(
     """Detections to routed alerts: prepare, drop duplicates, correlate, enrich.
 
     Enrichment follows de-duplication: it does not touch the keys, so only alerts that are
-    emitted are looked up. A dedup key lies inside one correlation group, so one check for
-    hot groups settles both.
+    emitted are looked up.
     """
     alerts = O.prepare_alerts(detections)
-    cold = find_hot_keys(alerts, ["group_id"], hot_limit(alerts)).isEmpty()
-    fresh = O.dedup_alerts(alerts, window_s, tie=tie, known_cold=cold)
-    scored = O.group_scores(fresh, idle_s, tie=tie, known_cold=cold)
+    fresh = O.dedup_alerts(alerts, window_s, tie=tie)
+    scored = O.group_scores(fresh, idle_s, tie=tie)
     out = scored.withColumn("stix_indicator", A.stix_indicator(as_of_us))
     return out if cidr_dim is None else O.enrich_ips(out, cidr_dim, domain_dim, seen_in=detections)

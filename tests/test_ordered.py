@@ -1,4 +1,4 @@
-"""Hot keys split into chunks give the same results as one plain window."""
+"""Chunks of any width give the same results as one plain window."""
 
 import random
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from flowspark.operators import alerts as O
 from flowspark.operators import flows
-from flowspark.operators.ordered import Ordered
+from flowspark.operators.ordered import Ordered, in_runs, runs
 from flowspark.operators.ordinal import global_ordinal, global_prefix, group_quantiles, percentile_threshold, split_ordered
 from flowspark.plans import views as V
 
@@ -25,21 +25,70 @@ def skewed(spark):
 
 
 def both_ways(df, step):
-    plain = step(Ordered(df, ["key"], ["ts_us", "n"], hot_rows=10**9))
-    split = step(Ordered(df, ["key"], ["ts_us", "n"], hot_rows=20))
-    assert not plain.chunked and split.chunked
-    order = sorted(plain.result().columns)
-    rows = [sorted(map(tuple, o.result().select(*order).collect()), key=str) for o in (plain, split)]
+    plain = step(Ordered(df, ["key"], ["ts_us", "n"], width=10**9)).result()
+    order = sorted(plain.columns)
+    rows = [sorted(map(tuple, d.select(*order).collect()), key=str) for d in (plain, step(Ordered(df, ["key"], ["ts_us", "n"], width=900)).result())]
     assert rows[0] == rows[1]
     assert len(rows[0]) == df.count()
+    return [dict(zip(order, r)) for r in rows[0]]
+
+
+def in_order(rows):
+    """Rows of each key, sorted."""
+    by = {}
+    for r in sorted(rows, key=lambda r: (r["ts_us"], r["n"])):
+        by.setdefault(r["key"], []).append(r)
+    return by.values()
 
 
 def test_prev(skewed):
-    both_ways(skewed, lambda o: o.prev(p="v", q=F.col("ts_us")))
+    rows = both_ways(skewed, lambda o: o.prev(p="v", q=F.col("ts_us"), z=F.when(F.col("v") > 5, F.col("v"))))
+    for own in in_order(rows):
+        assert own[0]["p"] is None and own[0]["q"] is None
+        for a, b in zip(own, own[1:]):
+            assert (b["p"], b["q"], b["z"]) == (a["v"], a["ts_us"], a["v"] if a["v"] > 5 else None)
+
+
+@pytest.mark.parametrize("gap,width", [(700, None), (700, 50), (0, None), (None, None), (10**9, 5_000)])
+def test_runs(spark, skewed, gap, width):
+    nulls = skewed.limit(30).withColumn("key", F.lit(None).cast("string"))
+    df = skewed.unionByName(nulls)
+    got = [r.asDict() for r in in_runs(df, ["key"], "ts_us", gap, width, keep=["is_new"]).collect()]
+    assert len(got) == 930
+    for own in in_order(got):
+        start = last = None
+        for r in own:
+            if last is None or (gap is not None and r["ts_us"] - last > gap):
+                start = r["ts_us"]
+            last = r["ts_us"]
+            assert r["run_at"] == start
+    sizes = runs(df, ["key"], "ts_us", gap, width).agg(F.sum("n")).first()[0]
+    assert sizes == 930
+
+
+def test_plans_stay_small(spark, sf_dir):
+    """No job runs while a plan is built, and it doesn't grow with the data."""
+    alerts, packets = O.prepare_alerts(V.detections(spark, sf_dir)), V.packets(spark, sf_dir)  # footers are read by jobs
+    spark.sparkContext.setJobGroup("plans", "building")
+    try:
+        scored = O.group_scores(alerts, tie="event_id")
+        flows.flow_vector51(packets)
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("plans")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(scored._jdf.queryExecution().optimizedPlan().numberedTreeString().strip().split("\n")) < 300
 
 
 def test_running(skewed):
-    both_ways(skewed, lambda o: o.running(s=("sum", "v"), m=("max", F.when(F.col("v") > 6, F.col("ts_us")))))
+    rows = both_ways(skewed, lambda o: o.running(s=("sum", "v"), m=("max", F.when(F.col("v") > 6, F.col("ts_us")))))
+
+
+    for own in in_order(rows):
+        total, top = 0, None
+        for r in own:
+            total += r["v"]
+            top = max(filter(None, (top, r["ts_us"] if r["v"] > 6 else None)), default=None)
+            assert (r["s"], r["m"]) == (total, top)
 
 
 def test_running_exclusive(skewed):
@@ -47,10 +96,11 @@ def test_running_exclusive(skewed):
 
 
 def test_number(skewed):
-    both_ways(skewed, lambda o: o.number("pos"))
+    for own in in_order(both_ways(skewed, lambda o: o.number("pos"))):
+        assert [r["pos"] for r in own] == list(range(len(own)))
 
 
-def test_sessions_of_a_hot_flow(spark, sf_dir):
+def test_sessions_of_a_hot_flow(spark, sf_dir, monkeypatch):
     hot = V.packets(spark, sf_dir).withColumns(
         {
             "src_ip": F.when(F.col("packet_number") % 3 == 0, "10.9.9.9").otherwise(F.col("src_ip")),
@@ -60,31 +110,23 @@ def test_sessions_of_a_hot_flow(spark, sf_dir):
             "protocol": F.when(F.col("packet_number") % 3 == 0, 6).otherwise(F.col("protocol")),
         }
     )
-    plain = flows.flow_vector51(hot, 86_400).drop("features")
-    spark.conf.set("flowspark.hotRows", "25")
-    try:
-        split = flows.flow_vector51(hot, 86_400).drop("features")
-        rounded = [
-            sorted(str([round(x, 5) if isinstance(x, float) else x for x in r]) for r in df.collect())
-            for df in (plain, split)
-        ]
-    finally:
-        spark.conf.unset("flowspark.hotRows")
+    rounded = []
+    for width in (10**12, 200_000_000):  # as wide as the idle gap lets it be, and narrow
+        monkeypatch.setattr(flows, "WIDTH_US", width)
+        df = flows.flow_vector51(hot, 86_400, idle_gap_s=40_000).drop("features")
+        rounded.append(sorted(str([round(x, 5) if isinstance(x, float) else x for x in r]) for r in df.collect()))
     assert rounded[0] == rounded[1]
 
 
-def test_group_scores_of_a_hot_group(spark, sf_dir):
+def test_group_scores_of_a_hot_group(spark, sf_dir, monkeypatch):
     alerts = O.prepare_alerts(V.detections(spark, sf_dir)).withColumns(
         {"flow_key": F.when(F.col("event_id") % 3 == 0, "hot").otherwise(F.col("flow_key")),
          "src_ip": F.lit("a"), "dst_ip": F.lit("b")}
     )
     cols = ["event_id", "group_rank", F.round("correlation_score", 8).alias("s")]
     plain = sorted(map(tuple, O.group_scores(alerts, 86_400, tie="event_id").select(*cols).collect()))
-    spark.conf.set("flowspark.hotRows", "30")
-    try:
-        split = sorted(map(tuple, O.group_scores(alerts, 86_400, tie="event_id").select(*cols).collect()))
-    finally:
-        spark.conf.unset("flowspark.hotRows")
+    monkeypatch.setattr(O, "WIDTH_US", 120_000_000)
+    split = sorted(map(tuple, O.group_scores(alerts, 86_400, tie="event_id").select(*cols).collect()))
     assert plain == split
 
 

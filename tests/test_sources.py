@@ -175,15 +175,13 @@ def test_forest_fit_finds_the_outlier(spark):
     assert scored["id"] == 7
 
 
-@pytest.mark.parametrize("hot_rows", [10**9, 8])
-def test_sliding_windows(spark, hot_rows):
+@pytest.mark.parametrize("width", [60.0, 8.0])
+def test_sliding_windows(spark, monkeypatch, width):
+    monkeypatch.setattr(Q, "WIDTH_S", width)
+
     def windows(rows, length, stride=1):
         df = spark.createDataFrame([(k, float(t), i, [float(x) for x in v]) for i, (k, t, v) in enumerate(rows)], "flow_key string, timestamp double, id int, vec array<double>")
-        spark.conf.set("flowspark.hotRows", str(hot_rows))
-        try:
-            out = Q.sliding_sequences(df, length, stride, width=1, block=4).collect()
-        finally:
-            spark.conf.unset("flowspark.hotRows")
+        out = Q.sliding_sequences(df, length, stride, width=1, block=4).collect()
         return sorted((r["flow_key"], r["first_ts"], [v[0] for v in r["seq"]]) for r in out)
 
     assert len(windows([(k, t, [t]) for k in "ab" for t in range(5)], 3)) == 6
