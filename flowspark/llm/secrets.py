@@ -34,7 +34,10 @@ ASSIGN = (
 )
 _QUOTED = "|".join(rf"(?<={q})(?=[^{q}\s])[^{q}\s\\]*+(?:\\\S[^{q}\s\\]*+){{0,500}}" for q in "\"'`")
 _ASSIGNED = rf"(?:{_PEM}|{_QUOTED}|[^\s\"'`]*[^\s\"'`,;)\]}}])"
-CANDIDATE = rf"{ASSIGN}{_ASSIGNED}|{_PEM}|{_DOTTED}"
+_BARE = rf"{_PEM}|{_DOTTED}"
+CANDIDATE = rf"{ASSIGN}{_ASSIGNED}|{_BARE}"
+#: How keys of known services begin.
+KNOWN = r"^(AKIA|ASIA|gh[pousr]_|github_pat_|xox[abprs]-|sk_live_|rk_live_|AIza|glpat-|npm_|SG\.|eyJ[\w\-]+\.|-----BEGIN )"
 #: Characters of context on either side of a candidate.
 REACH = 120
 
@@ -73,7 +76,7 @@ def _features(value: Column, before: Column, after: Column, path: Column) -> dic
         "key_word": flag(F.lower(before).rlike(rf"({NAME})([^\n]{{0,12}}|[\w.\-]{{0,60}}[\"'`]?\s{{0,5}}[=:]+>?\s{{0,5}}[\"'`]?((bearer|basic|token)\s+)?)$")),
         "assigned": flag(F.lower(before).rlike(r"[=:]>?\s*[\"'`]?((bearer|basic|token)\s+)?$")),
         "quoted": flag(before.rlike("[\"'`]$") & after.rlike("^[\"'`]")),
-        "known_prefix": flag(value.rlike("^(AKIA|ASIA|gh[pousr]_|github_pat_|xox[abprs]-|sk_live_|rk_live_|AIza|glpat-|npm_|SG\\.|eyJ[\\w\\-]+\\.|-----BEGIN )")),
+        "known_prefix": flag(value.rlike(KNOWN)),
         "harmless_word": flag(F.lower(before).rlike(r"(commit|sha-?[0-9]*|md5|checksum|hash|digest|uuid|guid|href|src|integrity|etag|version|example)[^\n]{0,12}$")),
         "test_path": flag(F.lower(path).rlike(r"(^|[/_.-])(test|tests|example|examples|fixture|fixtures|mock|sample|docs?)([/_.-]|$)")),
         "path_depth": F.coalesce(F.size(F.split(path, "/")), F.lit(0)).cast("double"),
@@ -83,14 +86,19 @@ def _features(value: Column, before: Column, after: Column, path: Column) -> dic
     }
 
 
+def _looked_for(text: Column, use) -> Column:
+    """``use(pattern)``: only texts with a sign of assignment are searched for assignments, which is most of the work."""
+    return F.when(text.rlike("[=:]"), use(CANDIDATE)).otherwise(use(_BARE))
+
+
 def _found(text: Column) -> Column:
     """The candidates, each with the name and sign it is assigned by."""
-    return F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
+    return _looked_for(text, lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(0)))
 
 
 def _between(text: Column) -> Column:
     """The texts around what is found, one more than these."""
-    return F.split(text, CANDIDATE, -1)
+    return _looked_for(text, lambda p: F.split(text, p, -1))
 
 
 def _lead(found: Column) -> Column:
@@ -103,9 +111,10 @@ def _with(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def candidates(text: Column, path: Column) -> Column:
+def candidates(text: Column, path: Column | None) -> Column:
     """Array of structs (value, before, after, lead, features) of all candidates of a text, in order; null where there is none.
 
+    Without a path column the features are left out.
     ``before`` and ``after`` are the text on either side, over at least two other candidates; ``lead`` is the part of
     ``before`` that was found with the value.
     """
@@ -132,12 +141,14 @@ def candidates(text: Column, path: Column) -> Column:
         return F.transform(zipped, one)
 
     found = _with(F.struct(_found(text).alias("found"), _between(text).alias("gaps")), surrounded)
+    if path is None:
+        return F.when(_looked_for(text, text.rlike), found)
     full = F.transform(
         found,
         lambda x: F.struct(x["value"].alias("value"), x["before"].alias("before"), x["after"].alias("after"), x["lead"].alias("lead"),
                            *[c.alias(k) for k, c in _features(x["value"], x["before"], x["after"], path).items()]),
     )
-    return F.when(text.rlike(CANDIDATE), full)
+    return F.when(_looked_for(text, text.rlike), full)
 
 
 @dataclass(frozen=True)
@@ -236,15 +247,19 @@ def featured(findings: DataFrame) -> DataFrame:
 def train(docs: DataFrame, text_col: str = "text", path_col: str = "source", max_findings: int = 20_000, seed: int = 11, **options) -> SecretModel:
     """Fit on the made findings and on at most ``max_findings`` rule-labelled findings of the documents.
 
-    The bound takes the findings with the smallest hashes, each distinct (value, before) once.
+    The bound takes the findings with the smallest hashes, each distinct (value, before) once. Candidates that the rule
+    can't label by their kind are left out first, and features are made for the four times ``max_findings`` that come first.
     """
     path = F.col(path_col).cast("string")
     # an outer explode: the filter that is inferred for others would look for all candidates once more
-    found = docs.select(F.explode_outer(candidates(F.col(text_col).cast("string"), path)).alias("f")).filter("f is not null").select("f.*")
+    found = docs.select(path.alias("path"), F.explode_outer(candidates(F.col(text_col).cast("string"), None)).alias("f")).filter("f is not null").select("path", "f.*")
+    kind = (F.col("lead") != "") | F.col("value").rlike(rf"{KNOWN}|^\p{{L}}+$") | F.lower("before").rlike("[=:]")
+    order = F.xxhash64(F.lit(seed), "value", "before")
+    first = found.filter(kind).groupBy("value", "before").agg(F.min("after").alias("after"), F.min("path").alias("path"))
+    first = first.select("*", order.alias("_o")).orderBy("_o", "value", "before").limit(4 * max_findings)
     bounded = (
-        label_by_rule(found)
-        .dropDuplicates(["value", "before"])
-        .select("label", *FEATURES, F.xxhash64(F.lit(seed), "value", "before").alias("_o"), "value", "before")
+        label_by_rule(featured(first))
+        .select("label", *FEATURES, "_o", "value", "before")
         .orderBy("_o", "value", "before")
         .limit(max_findings)
     )
