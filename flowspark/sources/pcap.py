@@ -1,8 +1,4 @@
-"""Packet capture files.
-
-A capture has no split points (records are length-prefixed), so one file is one task; a
-file set is what spreads. Records leave the task in batches, never as a whole file.
-"""
+"""Packets of capture records, and of whole small captures that stand in a column."""
 
 from __future__ import annotations
 
@@ -11,7 +7,6 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from flowspark.schemas import PACKET
 
@@ -109,12 +104,12 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 
 
 def decode_pcap(files: DataFrame) -> DataFrame:
-    """Packets of capture files given as ``path, content``."""
+    """Packets of whole captures given as ``path, content``, one task's work each; ``read_pcap`` splits files."""
     return files.select("path", "content").mapInPandas(_read_files, PACKET)
 
 
 def read_pcap(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Packets of every capture file: TCP and UDP over IPv4 or IPv6; frames count from 1 per file."""
-    files = spark.read.format("binaryFile").load(paths)
-    # spread the files, which the reader packs by size, one partition step per file
-    return decode_pcap(files.select(F.col("path"), F.col("content")))
+    """Packets of every capture file of any size (see ``captures``)."""
+    from flowspark.sources.captures import read_captures
+
+    return read_captures(spark, paths)
