@@ -37,7 +37,7 @@ BLOCK = 64
 NEVER = float("-inf")
 _CACHE = 200_000
 #: Bytes of text whose words are solved together.
-WORD_BYTES = 4 << 20
+WORD_BYTES = 2 << 20
 
 
 @dataclass(frozen=True)
@@ -87,11 +87,7 @@ class Lattice:
     """Best paths through the pieces of marked text. Of equal paths the one whose last piece is longest wins, at every place."""
 
     def __init__(self, pieces: Pieces):
-        self.nodes: dict[str, tuple[float, int] | None] = {}
-        for surface, score, i in zip(pieces.surfaces, pieces.scores, pieces.ids):
-            for n in range(1, len(surface)):
-                self.nodes.setdefault(surface[:n], None)
-            self.nodes[surface] = (score, i)
+        self._nodes: dict[str, tuple[float, int] | None] = {}
         self.unknown = min(pieces.scores, default=0.0) - 10
         self.bytes_, self.unknown_id = pieces.bytes_, pieces.unknown
         self.surfaces, self.scores, self.ids = pieces.surfaces, np.append(pieces.scores, NEVER), np.append(pieces.ids, -1)
@@ -109,6 +105,16 @@ class Lattice:
         self.cut = None if joined else re.compile(f"(?<=[^{SPACE}])(?={SPACE})")
         self.known: dict[str, tuple[float, tuple[int, ...]]] = {}
 
+    @property
+    def nodes(self) -> dict[str, tuple[float, int] | None]:
+        """All prefixes of pieces; made where a giant or a long word needs them."""
+        if not self._nodes:
+            for surface, score, i in zip(self.surfaces, self.scores.tolist(), self.ids.tolist()):
+                for n in range(1, len(surface)):
+                    self._nodes.setdefault(surface[:n], None)
+                self._nodes[surface] = (score, i)
+        return self._nodes
+
     def _ids(self, piece: str, i: int) -> tuple[int, ...]:
         if i >= 0:
             return (i,)
@@ -315,6 +321,17 @@ def _batch(names: list[str], rows: list[tuple], kinds: list[pa.DataType]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
 
+#: The lattice of a worker process; its tasks share it.
+_LATTICE: list[tuple[object, Lattice]] = []
+
+
+def lattice_of(sent) -> Lattice:
+    plain = sent.value
+    if not _LATTICE or _LATTICE[0][0] is not plain:
+        _LATTICE[:] = [(plain, Lattice(Pieces(*plain)))]
+    return _LATTICE[0][1]
+
+
 def _giant_ids(texts: DataFrame, sent, size: int, reach: int) -> DataFrame:
     """(uid, ids) of the distinct texts (uid, text) by the scan over their chunks."""
 
@@ -334,7 +351,7 @@ def _giant_ids(texts: DataFrame, sent, size: int, reach: int) -> DataFrame:
     chunks = written(texts.mapInArrow(split, "uid string, chunk int, n int, s string").repartition("uid", "chunk"), "chunks")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(Pieces(*sent.value))
+        lattice = lattice_of(sent)
         for batch in batches:
             got = [lattice.matrix(s.as_py(), n.as_py()).tobytes() for s, n in zip(batch.column("s"), batch.column("n"))]
             yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("chunk"), pa.array(got, pa.binary())], names=["uid", "chunk", "m"])
@@ -379,7 +396,7 @@ def _giant_ids(texts: DataFrame, sent, size: int, reach: int) -> DataFrame:
     entering = written(entering, "entering")
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(Pieces(*sent.value))
+        lattice = lattice_of(sent)
         for batch in batches:
             got = [
                 lattice.solve(s.as_py(), n.as_py(), np.frombuffer(f.as_py())).entries(reach).tobytes()
@@ -417,7 +434,7 @@ def _giant_ids(texts: DataFrame, sent, size: int, reach: int) -> DataFrame:
     leaving = maps.join(ends, ["uid", "block"]).groupBy("uid", "block").applyInPandas(chunk_ends, "uid string, chunk int, leave int")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(Pieces(*sent.value))
+        lattice = lattice_of(sent)
         for batch in batches:
             got = [
                 lattice.solve(s.as_py(), n.as_py(), np.frombuffer(f.as_py())).ids(j.as_py())
@@ -448,7 +465,7 @@ def encode(
     kinds = dict(rows.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(Pieces(*sent.value))
+        lattice = lattice_of(sent)
         for batch in T.pieces(batches, limit=WORD_BYTES):
             ids, cuts = lattice.encode_all(T.flat(batch.column("text")))
             values = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids))

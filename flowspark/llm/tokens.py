@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 SLICE = 1 << 15
 _RATIO = 0x9E3779B97F4A7C15
 
