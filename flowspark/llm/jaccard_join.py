@@ -226,6 +226,7 @@ def shared_signatures(df: DataFrame, text_col: str, n: int, percent: int) -> Dat
         start = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))) if len(sig) else np.zeros(0, np.int64)
         count = np.diff(np.append(start, len(sig)))
         two = np.repeat(count, count) > 1
+        T.give_back()
         return pd.DataFrame({"sig": sig.view(np.int64), "key": key, "size": size.astype(np.int64)})[two]
 
     packed = rows.mapInArrow(sign, "bucket int, n int, sigs binary, at binary, keys binary, sizes binary")
@@ -287,6 +288,8 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     hubs.append(hub)
                     keys.append(key)
             yield pa.RecordBatch.from_arrays([pa.array(hubs, pa.int64()), pa.array(keys, pa.int64())], names=["hub", "key"])
+        own = {}
+        T.give_back()
 
     return rows.mapInArrow(run, "hub long, key long")
 

@@ -6,6 +6,7 @@ rows. Hashes are 64-bit and depend only on the bytes, so they agree between task
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -193,6 +194,14 @@ def shingles(f: Flat, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return distinct_pairs(owner, value)
 
 
+def give_back() -> None:
+    """Return free memory to the system at a task's end: worker processes stay, and stand idle while other stages run."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim is not None:
+        trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about ``limit`` bytes of text (one row at least)."""
     for batch in batches:
@@ -203,6 +212,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = B
             stop = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(at, stop - at)
             at = stop
+    give_back()
 
 
 def lists(owner: np.ndarray, value: np.ndarray, n: int, kind: pa.DataType) -> pa.ListArray:
