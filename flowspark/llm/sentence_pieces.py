@@ -35,7 +35,8 @@ CHUNK = 1 << 15
 #: Chunks per block of the scan.
 BLOCK = 64
 NEVER = float("-inf")
-_CACHE = 200_000
+#: Words whose cut a worker process remembers.
+_CACHE = 50_000
 #: Bytes of text whose words are solved together.
 WORD_BYTES = 2 << 20
 
@@ -447,6 +448,10 @@ def _giant_ids(texts: DataFrame, sent, size: int, reach: int) -> DataFrame:
     return parts.groupBy("uid").agg(F.flatten(F.transform(ordered, lambda x: x["ids"])).alias("ids"))
 
 
+def _spelt(surface: tuple[bytes, ...], ids: list[int]) -> str:
+    return b"".join([surface[i] for i in ids]).decode("utf-8", "replace").removeprefix(" ")
+
+
 def encode(
     df: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None, size: int = CHUNK,
 ) -> DataFrame:
@@ -455,10 +460,20 @@ def encode(
     Texts of 2 * ``size`` characters or more are cut into chunks (of ``size``, at least the longest piece) and scanned;
     equal ones are scanned once. Characters that no piece covers become byte pieces, or the unknown id without these.
     """
+    single, scanned = _encoded(df, pieces, id_col, text_col, extra, size)
+    return single.unionByName(scanned)
+
+
+def _encoded(
+    df: DataFrame, pieces: Pieces, id_col: str, text_col: str, extra: dict[str, Column] | None, size: int, spell: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``encode`` from texts of one chunk and from scanned ones; with ``spell`` the first also hold the text
+    decoded from the ids, made in the same pass, so that no second Python worker stands beside the first."""
     T.bound_batches(df.sparkSession)
     reach = max(map(len, pieces.surfaces), default=1)
     size = max(size, reach)
     sent, extra = df.sparkSession.sparkContext.broadcast(pieces.plain()), extra or {}
+    surface = df.sparkSession.sparkContext.broadcast(pieces.surface_of) if spell else None
     carried = list(extra)
     rows = df.select(F.col(id_col).alias("doc_id"), *[c.alias(k) for k, c in extra.items()], F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     giant = F.length("text") + 1 >= 2 * size
@@ -468,15 +483,17 @@ def encode(
         lattice = lattice_of(sent)
         for batch in T.pieces(batches, limit=WORD_BYTES):
             ids, cuts = lattice.encode_all(T.flat(batch.column("text")))
-            values = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ["doc_id", *carried]), values], names=["doc_id", *carried, "ids"])
+            made = {"ids": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids))}
+            if spell:
+                made["text"] = pa.array([_spelt(surface.value, ids[a:b].tolist()) for a, b in zip(cuts, cuts[1:])], pa.string())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ["doc_id", *carried]), *made.values()], names=["doc_id", *carried, *made])
 
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in ["doc_id", *carried]), "ids array<int>"])
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in ["doc_id", *carried]), "ids array<int>", *(["text string"] if spell else [])])
     single = rows.filter(~giant).mapInArrow(run, schema)
     large = rows.filter(giant).withColumn("uid", F.sha2("text", 256))
     found = _giant_ids(large.select("uid", "text").dropDuplicates(["uid"]), sent, size, reach)
     whole = salted_join(large.drop("text"), found, ["uid"], F.col("doc_id"), "inner")
-    return single.unionByName(whole.select("doc_id", *carried, "ids"))
+    return single, whole.select("doc_id", *carried, "ids")
 
 
 def decode(df: DataFrame, pieces: Pieces, id_col: str = "doc_id", ids_col: str = "ids", extra: list[str] | None = None) -> DataFrame:
@@ -489,7 +506,7 @@ def decode(df: DataFrame, pieces: Pieces, id_col: str = "doc_id", ids_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         surface = sent.value
         for batch in batches:
-            texts = [b"".join([surface[i] for i in ids or ()]).decode("utf-8", "replace").removeprefix(" ") for ids in batch.column("ids").to_pylist()]
+            texts = [_spelt(surface, ids.as_py() or []) for ids in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ["doc_id", *carried]), pa.array(texts, pa.string())], names=["doc_id", *carried, "text"])
 
     return rows.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in ["doc_id", *carried]), "text string"]))
@@ -498,8 +515,10 @@ def decode(df: DataFrame, pieces: Pieces, id_col: str = "doc_id", ids_col: str =
 def round_trip(df: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_digest, text_digest, round_trip): ids and the text decoded from them as digests, and whether
     that text equals the input (null counts as empty)."""
-    ids = encode(df, pieces, id_col, text_col, extra={"digest": F.sha1(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
-    counted = ids.select("doc_id", "digest", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_digest"), "ids")
-    back = decode(counted, pieces, extra=["digest", "n_tokens", "ids_digest"])
+    digest = F.sha1(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    single, scanned = _encoded(df, pieces, id_col, text_col, {"digest": digest}, CHUNK, spell=True)
+    counts = ["doc_id", "digest", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_digest")]
+    back = decode(scanned.select(*counts, "ids"), pieces, extra=["digest", "n_tokens", "ids_digest"])
+    back = single.select(*counts, "text").unionByName(back)
     decoded = F.sha1("text")
     return back.select("doc_id", "n_tokens", "ids_digest", decoded.alias("text_digest"), (decoded == F.col("digest")).alias("round_trip"))
