@@ -16,6 +16,7 @@ from flowspark.functions import scores as S
 from flowspark.functions import vectors as X
 from flowspark.functions.keys import directed_key
 from flowspark.operators.sequences import tumbling_sequences
+from flowspark.operators.autoencoder import AutoencoderParams
 from flowspark.operators.training import SequenceParams, reconstruction_udf
 
 EULER = 0.5772156649  # fixed value
@@ -166,10 +167,11 @@ def supervised_detect(flows: DataFrame, model, threshold: float = 0.5, version:
     )
 
 
-def score_windows(windows: DataFrame, params: SequenceParams) -> DataFrame:
+def score_windows(windows: DataFrame, params: SequenceParams | AutoencoderParams) -> DataFrame:
     """Add ``reconstruction_error, anomaly_score, is_anomaly`` to windows of vectors."""
     flat = F.flatten(X.zscore_sequence("seq", X.literal_vector(params.means), X.literal_vector(params.scales)))
-    err = windows.withColumn("reconstruction_error", reconstruction_udf(params.components)(flat))
+    error = params.error(flat) if isinstance(params, AutoencoderParams) else reconstruction_udf(params.components)(flat)
+    err = windows.withColumn("reconstruction_error", error)
     return err.withColumns(
         {
             "anomaly_score": S.normalize_score("reconstruction_error", params.threshold),
@@ -180,7 +182,7 @@ def score_windows(windows: DataFrame, params: SequenceParams) -> DataFrame:
     )
 
 
-def sequence_detect(flows: DataFrame, params: SequenceParams | None, tie: str = "id") -> DataFrame:
+def sequence_detect(flows: DataFrame, params: SequenceParams | AutoencoderParams | None, tie: str = "id") -> DataFrame:
     """Count windows of complete vectors scored by reconstruction error. No parameters, no output."""
     windows = tumbling_sequences(X.strict_vector(flows), params.length if params else 10, tie)
     if params is None:

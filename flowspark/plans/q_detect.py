@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from flowspark.functions import scores as S
 from flowspark.functions import vectors as X
+from flowspark.operators import autoencoder as E
 from flowspark.operators import detect as D
 from flowspark.operators import flows as O
 from flowspark.operators import sequences as Q
@@ -239,6 +240,18 @@ def sequence_detect(spark, d):
     return D.detection_rows(D.sequence_detect(flows, params, tie="event_id"), "sequence")
 
 
+@query(
+    "autoencoder_fit",
+    f"""WITH {_VEC_SQL}, k AS (SELECT greatest(count(*) - 9, 0) AS n FROM vf WHERE NOT lacking AND NOT garbled GROUP BY flow_key),
+a AS (SELECT CAST(sum(n) AS BIGINT) AS n FROM k), p AS (SELECT unnest(range(n)) / CAST(greatest(n - 1, 1) AS DOUBLE) AS pos FROM a)
+SELECT CASE WHEN pos < 0.8 THEN 'train' WHEN pos < 0.9 THEN 'val' ELSE 'test' END AS split, count(*) AS n, true AS learned FROM p GROUP BY 1""",
+)
+def autoencoder_fit(spark, d):
+    """Windows per split, and whether training brought the validation error below that of the starting weights."""
+    _, loss, history = E.autoencoder_fit(X.strict_vector(vector_flows(spark, d)), 10, tie="event_id")
+    return loss.select("split", "n", F.lit(min(v for _, v in history) < history[0][1]).alias("learned"))
+
+
 @query(
     "join_scores",
     f"""WITH {_SEQ_SQL}, w AS (SELECT flow_key, pos // 10 AS k, max("timestamp") AS "timestamp", sum(value) AS reconstruction_error, count(*) AS n FROM ok GROUP BY ALL)
