@@ -34,6 +34,37 @@ def windowed_quantiles(df: DataFrame, col: str, probs: Sequence[float] = (0.5, 0
     )
 
 
+#: Entries per level of a quantile sketch, and the rank error that it keeps to (with 99 % confidence for one quantile).
+SKETCH_K = 1000
+SKETCH_ERROR = 0.005
+
+
+def quantile_sketches(df: DataFrame, col: str, window: str = "1 minute", by: Sequence[str] = (), ts: str = "ts", k: int = SKETCH_K) -> DataFrame:
+    """(window_start, by, n, sketch): a KLL sketch of the values of each window, to be stored and merged later.
+
+    Null and NaN values and rows without a time don't count; windows without values give no row.
+    """
+    value = F.col(col).cast("double")
+    timed = df.filter(value.isNotNull() & ~F.isnan(value)).select(F.window(ts, window)["start"].alias("window_start"), *by, value.alias("_v"))
+    return timed.groupBy("window_start", *by).agg(F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_double("_v", k).alias("sketch"))
+
+
+def merge_sketches(sketches: DataFrame, window: str = "5 minutes", by: Sequence[str] = (), k: int = SKETCH_K) -> DataFrame:
+    """Sketches of longer windows from those of shorter ones, and of several streams or keys (``by`` names those kept apart).
+
+    ``window`` should be a multiple of the windows merged; a merge reads sketches of a fixed size, never values.
+    """
+    start = F.window("window_start", window)["start"]
+    timed = sketches.select(start.alias("_start"), *by, "n", "sketch")
+    return timed.groupBy(F.col("_start").alias("window_start"), *by).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", k).alias("sketch"))
+
+
+def sketch_quantiles(sketches: DataFrame, probs: Sequence[float] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """Quantiles of every sketch, as p50, p95 and so on in place of ``sketch``."""
+    got = [F.kll_sketch_get_quantile_double("sketch", F.lit(float(p))).alias(f"p{round(p * 100)}") for p in probs]
+    return sketches.select(*[c for c in sketches.columns if c != "sketch"], *got)
+
+
 def top_sources(alerts: DataFrame, k: int = 10, window: str = "5 minutes", ts: str = "ts", source: str = "src_ip") -> DataFrame:
     """The ``k`` busiest sources of each window; ties go to the smaller address."""
     rates = windowed_rate(alerts, [source], window, ts=ts)

@@ -152,6 +152,25 @@ def windowed_quantiles_approx(spark, d):
     return M.windowed_quantiles(_timed(spark, d), "inference_time_ms", window="1 hour")
 
 
+@query(
+    "quantile_sketches",
+    f"""WITH {ALERTS_SQL} SELECT ts_us // 3600000000 * 3600 AS window_start, count(inference_time_ms) AS n, true AS p50, true AS p95, true AS p99
+FROM alerts GROUP BY 1 HAVING count(inference_time_ms) > 0""",
+)
+def quantile_sketches(spark, d):
+    """Hours merged from five-minute sketches, these from minutes; whether each quantile's exact rank is within twice the stated error."""
+    df, value = _timed(spark, d), "inference_time_ms"
+    minutes = M.quantile_sketches(df, value)
+    hours = M.sketch_quantiles(M.merge_sketches(M.merge_sketches(minutes), "1 hour"))
+    rows = df.select(F.window("ts", "1 hour")["start"].alias("window_start"), F.col(value).alias("v")).filter("v is not null")
+    names = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    sums = [F.count(F.when(test, 1)).alias(f"{p}_{s}") for p in names for s, test in (("lt", F.col("v") < F.col(p)), ("le", F.col("v") <= F.col(p)))]
+    counted = rows.join(hours, "window_start").groupBy("window_start", "n").agg(*sums)
+    off = 2 * M.SKETCH_ERROR
+    near = [((F.col(f"{p}_lt") <= (at + off) * F.col("n")) & (F.col(f"{p}_le") >= (at - off) * F.col("n"))).alias(p) for p, at in names.items()]
+    return counted.select(F.unix_seconds("window_start").alias("window_start"), "n", *near)
+
+
 @query(
     "top_sources",
     f"""WITH {ALERTS_SQL}, c AS (SELECT src_ip, ts_us // 86400000000 * 86400 AS window_start, count(*) AS n FROM alerts GROUP BY ALL)
