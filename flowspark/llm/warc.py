@@ -1,7 +1,6 @@
 """WARC archives through a chunked record table.
 
-A payload streams as rows (record, chunk number, bytes) with the digest and length carried from chunk to chunk, so no task
-builds a whole record. Chunks beyond the first are written as WARC continuation segments. Archives are written and read by
+Digest and length are carried over the chunks of a payload, of which a writing task holds one whole copy at a time. Chunks beyond the first are written as WARC continuation segments. Archives are written and read by
 Spark's text source, so they can lie in any store that Spark reaches; the writer starts a new segment inside each record
 separator that a payload holds, so a separator in an archive always ends a record.
 """
