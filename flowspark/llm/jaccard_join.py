@@ -1,25 +1,29 @@
 """N-gram Jaccard self-join with PartEnum signatures.
 
 Sets whose Jaccard similarity reaches the threshold differ in at most k elements (Hamming distance), where k follows from
-the upper end of their size band. The feature domain is hashed into more than k partitions, so similar sets agree in some
-whole partition and share the signature of its content. A few partitions more than needed, and those expected to be empty,
-are added: similar sets then share at least ``need`` (two or more) signatures of partitions that hold something, and a set
-with more empty partitions than foreseen also signs its empty ones. Sets of few elements sign subsets of their elements
-instead and need one.
-
-Equal sets are one node. Signatures travel packed, one row per task batch and bucket. The sizes of two sets tell how many
-signatures of their band they must share: as many as there are partitions, less the foreseen empty ones and the elements in
-which they may differ. Nodes that share too few with all others are left out. Nodes that share much with the best connected
-node of a signature are compared with it first, which joins groups of copies in linear work. What is left is compared only
-across the components found so far, where two nodes share enough; inside signatures that very many nodes share, pairs are
-formed only where two of them agree. Exact verification decides every link, and no candidate is dropped.
+the upper end of their size band. The feature domain is hashed into n1 first-level partitions of n2 second-level parts each.
+Of n1 partitions, more than enough hold k2 = n2 - r of the differing elements at most, so in each of those some r parts are
+untouched: similar sets agree in the content of r parts of one partition. A signature is the content of one such choice of r
+parts, and every choice of every partition is signed. The three numbers are chosen per size band, so that a signature holds
+five elements or more where sets are large enough, and unlike sets hardly ever share one.
+
+Parts may hold nothing, and nothing is signed for a choice of empty parts. A set counts the partitions in which that can
+hide a match (r empty parts or more); if a partner could lie hidden in all partitions that must agree, the set signs once
+more with other hash functions, and its partner does the same by the same count. The last of these rounds signs the empty
+choices too, so no link is lost. Sets of few elements sign subsets of their elements instead.
+
+Equal sets are one node. Signatures travel packed, one row per task batch and bucket. Nodes that share much with the best
+connected node of a signature are compared with it first, which joins groups of copies in linear work. What is left is
+compared only across the components found so far. Exact verification decides every link, and no candidate is dropped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
-from math import ceil, sqrt
+from math import ceil, comb, exp, lgamma, log
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -36,9 +40,9 @@ from flowspark.llm.shared import written
 #: Sets up to this size sign subsets of their elements.
 SMALL = 14
 #: Upper over lower end of a size band.
-BAND = 1.5
-#: Nodes outside a signature's largest component from which pairs need a second shared signature.
-CROWD = 1024
+BAND = 1.25
+#: Rounds of signatures with hash functions of their own, and the share of sets that may need the next round.
+ROUNDS, AGAIN = 6, 0.15
 #: Nodes whose sets stand in memory together, twice, while their pairs are verified.
 NODES = 1000
 #: Band mark of the signatures of small sets.
@@ -47,25 +51,65 @@ NO_BAND = 63
 BUCKET_CHARS = 1 << 23
 
 
-def band_table(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(upper end, partitions, foreseen empty partitions, signatures that similar sets share) of the bands above SMALL."""
-    upper, parts, empty, need = [], [], [], []
-    low = SMALL + 1
-    while low < 1 << 33:  # some 50 bands; the number must fit six bits
-        high = int(low * BAND)
-        k = 2 * high * (100 - percent) // (100 + percent)
-        least = low * percent // 100
-        sure, spare = 2 + k // 25, 0
-        for _ in range(8):
-            n = k + sure + spare
-            mean = n * (1 - 1 / n) ** least
-            spare = min(ceil(mean + 3 * sqrt(mean)), k)
-        upper.append(high)
-        parts.append(k + sure + spare)
-        empty.append(spare)
-        need.append(sure)
-        low = high + 1
-    return np.array(upper), np.array(parts), np.array(empty), np.array(need)
+class Band(NamedTuple):
+    """Sets of up to ``upper`` elements: n1 partitions of n2 parts, r of which make a signature."""
+
+    upper: int
+    n1: int
+    n2: int
+    r: int
+
+    def spare(self, size: int | np.ndarray, percent: int) -> int | np.ndarray:
+        """Partitions that can be hidden by empty parts while one that must agree is still seen."""
+        return self.n1 - most_different(size, self.upper, percent) // (self.n2 - self.r + 1) - 1
+
+
+def most_different(size: int | np.ndarray, upper: int, percent: int) -> int | np.ndarray:
+    """Elements in which a set and a similar one of at most ``upper`` elements may differ."""
+    return (size + np.minimum(upper, size * 100 // percent)) * (100 - percent) // (100 + percent)
+
+
+def _beyond(mean: float, m: int) -> float:
+    """Chance that a Poisson variable exceeds m."""
+    if mean <= 0:
+        return 0.0
+    return max(0.0, 1 - sum(exp(i * log(mean) - mean - lgamma(i + 1)) for i in range(m + 1)))
+
+
+def _band(low: int, upper: int, percent: int) -> Band:
+    """The partitions with the fewest signatures that unlike sets share by chance, of about two signatures per difference."""
+    k = most_different(upper, upper, percent)
+    best, chance = None, 0.0
+    for k2 in range(6):
+        for r in range(1, 6):
+            n1, n2 = k // (k2 + 1) + 1, k2 + r
+            while n1 * comb(n2, r) <= 2 * k + 24:
+                band = Band(upper, n1, n2, r)
+                again = 0.0
+                for size in (ceil(low * percent / 100), low, upper):
+                    gone = (1 - 1 / (n1 * n2)) ** size
+                    hidden = sum(comb(n2, e) * gone**e * (1 - gone) ** (n2 - e) for e in range(r, n2 + 1))
+                    again = max(again, _beyond(n1 * hidden, band.spare(size, percent)))
+                if again <= AGAIN:
+                    # sets of the band's lower end with half of their union in common
+                    same = n1 * comb(n2, r) * (1 - r / (n1 * n2)) ** (2 * low / 3)
+                    if best is None or same < chance:
+                        best, chance = band, same
+                    break
+                n1 += max(1, n1 // 40)
+    # no choice within reach: single parts, one more than there are differences
+    return best or Band(upper, k + 1, 1, 1)
+
+
+@lru_cache
+def band_table(percent: int) -> tuple[Band, ...]:
+    """Size bands above SMALL, in steps of BAND and wider ones beyond a million elements; their number must fit six bits."""
+    bands, low = [], SMALL + 1
+    while len(bands) < NO_BAND:
+        upper = int(low * BAND) if low < 1 << 20 else low * 8
+        bands.append(_band(low, upper, percent))
+        low = upper + 1
+    return tuple(bands)
 
 
 def _least_common(s: int, t: int, percent: int) -> int:
@@ -86,6 +130,38 @@ def small_signatures(value: np.ndarray, percent: int, seed: np.uint64) -> Iterat
             yield np.arange(len(value)), (T.mix64(rest ^ T.mix64(kind * seed)) & ~np.uint64(127)) | np.uint64(NO_BAND << 1) | bit
 
 
+def _band_signatures(
+    rows: np.ndarray, size: np.ndarray, start: np.ndarray, value: np.ndarray, mixed: np.ndarray, band: Band, number: int, turn: int, percent: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set, signature) of the sets ``rows`` in one band and round, and the sets that need another round."""
+    upper, n1, n2, r = band
+    seed = np.uint64(0x9E3779B97F4A7C15)
+    salt = T.mix64(np.uint64([number + 64 * turn + 77]))[0]
+    n = size[rows]
+    at = np.repeat(np.arange(len(rows)), n)
+    where = np.arange(len(at)) + np.repeat(start[rows] - (np.cumsum(n) - n), n)
+    cell = at * (n1 * n2) + (T.mix64(value[where] ^ salt) % np.uint64(n1 * n2)).astype(np.int64)
+    content = np.zeros(len(rows) * n1 * n2, np.uint64)
+    np.add.at(content, cell, mixed[where])
+    content = content.reshape(len(rows), n1, n2)
+    full = (np.bincount(cell, minlength=content.size) > 0).reshape(content.shape)
+    hidden = ((n2 - full.sum(axis=2)) >= r).sum(axis=1)
+    again = hidden > band.spare(n, percent)
+    owners, found = [], []
+    for c, chosen in enumerate(combinations(range(n2), r)):
+        total, sign = content[:, :, chosen[0]].copy(), full[:, :, chosen[0]].copy()
+        for part in chosen[1:]:
+            total += content[:, :, part]
+            sign |= full[:, :, part]
+        if turn == ROUNDS - 1:
+            sign |= again[:, None]
+        of, place = np.nonzero(sign)
+        tag = T.mix64(salt + (place * 1024 + c + 1).astype(np.uint64) * seed)
+        owners.append(rows[of])
+        found.append((T.mix64(total[of, place] ^ tag) & ~np.uint64(127)) | np.uint64(number << 1))
+    return np.concatenate(owners), np.concatenate(found), rows[again]
+
+
 def signatures(owner: np.ndarray, value: np.ndarray, n: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(set, signature) of n sets given as sorted (set, element hash) rows; bits 1 to 6 of a signature tell its band."""
     seed = np.uint64(0x9E3779B97F4A7C15)
@@ -101,37 +177,22 @@ def signatures(owner: np.ndarray, value: np.ndarray, n: int, percent: int) -> tu
                 for at, sig in small_signatures(matrix, percent, seed):
                     owners.append(rows[at])
                     found.append(sig)
-        upper, parts, empty, _ = band_table(percent)
+        bands = band_table(percent)
+        upper = np.array([b.upper for b in bands])
         own = np.searchsorted(upper, size)
         # bands of all partners that are at least as large
         last = np.searchsorted(upper, size * 100 // percent)
-        reach = size * 100 // percent > SMALL
-        band = np.where(size > SMALL, own, 0)
-        while True:
-            rows = np.flatnonzero(reach & (size > 0) & (band <= last))
-            if not len(rows):
-                break
-            b = band[rows]
-            cells = np.cumsum(parts[b]) - parts[b]
-            n_cells = int(parts[b].sum())
-            index = np.full(n, -1)
-            index[rows] = np.arange(len(rows))
-            inside = index[owner] >= 0
-            at, h = index[owner[inside]], value[inside]
-            salt = T.mix64(b.astype(np.uint64) + np.uint64(77))
-            part = T.mix64(h ^ salt[at]) % parts[b][at].astype(np.uint64)
-            cell = cells[at] + part.astype(np.int64)
-            content = np.zeros(n_cells, np.uint64)
-            np.add.at(content, cell, mixed[inside])
-            full = np.bincount(cell, minlength=n_cells) > 0
-            of = np.repeat(np.arange(len(rows)), parts[b])
-            place = np.arange(n_cells) - cells[of]
-            n_empty = parts[b] - np.bincount(of[full], minlength=len(rows))
-            sign = full | (n_empty > empty[b])[of]
-            tag = T.mix64(salt[of[sign]] + place[sign].astype(np.uint64) * seed)
-            owners.append(rows[of[sign]])
-            found.append((T.mix64(content[sign] ^ tag) & ~np.uint64(127)) | (b[of[sign]].astype(np.uint64) << np.uint64(1)))
-            band = band + 1
+        reach = (size > 0) & (size * 100 // percent > SMALL)
+        first = np.where(size > SMALL, own, 0)
+        for b in range(int(first[reach].min()), int(last[reach].max()) + 1) if reach.any() else ():
+            rows = np.flatnonzero(reach & (first <= b) & (b <= last))
+            for turn in range(ROUNDS):
+                if not len(rows):
+                    break
+                sets, sig, again = _band_signatures(rows, size, start, value, mixed, bands[b], b, turn, percent)
+                owners.append(sets)
+                found.append(sig)
+                rows = again
     if not owners:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return np.concatenate(owners), np.concatenate(found)
@@ -301,57 +362,44 @@ def _close(a: str, b: str, percent: int) -> Column:
 def _home(size: str, percent: int) -> Column:
     """Band of a size, -1 for small sets."""
     out = F.when(F.col(size) <= SMALL, -1)
-    for b, upper in enumerate(band_table(percent)[0].tolist()):
-        out = out.when(F.col(size) <= upper, b)
+    for b, band in enumerate(band_table(percent)):
+        out = out.when(F.col(size) <= band.upper, b)
     return out
 
 
-def _need(home: Column, both: Column, percent: int) -> Column:
-    """Signatures of band ``home`` that similar sets share at least, whose sizes add up to ``both``."""
-    _, parts, empty, _ = band_table(percent)
-    cells = F.element_at(F.array(*[F.lit(int(n)) for n in parts - empty]), F.greatest(home, F.lit(0)) + 1)
-    return F.when(home < 0, 1).otherwise(cells - F.floor(both * (100 - percent) / F.lit(100 + percent)))
+def _across(members: DataFrame, percent: int) -> DataFrame:
+    """(hub, key): pairs of nodes that share a signature and lie in different components.
 
-
-def _across(members: DataFrame, by: list[str], percent: int) -> DataFrame:
-    """Pairs of nodes that share ``by`` and lie in different components: (hub, key, shared, need, crowds), with the rows they
-    share, the signatures that a link needs, and the crowded signatures that they can share besides.
-
-    Every such pair has a node outside the largest component (column ``main``) of what it shares, so only those nodes look
-    for partners: a group of copies and a stray make as many pairs as the group has members. Signatures count in the band of
-    the larger set.
+    Every such pair has a node outside the largest component (column ``main``) of a signature, so only those nodes look for
+    partners: a group of copies and a stray make as many pairs as the group has members. Signatures count in the band of the
+    larger set.
     """
     strays = members.filter(F.col("component") != F.col("main")).select(
-        *by, F.col("key").alias("a"), F.col("size").alias("n"), F.col("home").alias("h"), F.col("crowds").alias("w"), F.col("component").alias("c")
+        "sig", F.col("key").alias("a"), F.col("size").alias("n"), F.col("home").alias("h"), F.col("component").alias("c")
     )
     band = F.shiftright("sig", 1).bitwiseAND(F.lit(63))
     odd = F.col("sig").bitwiseAND(F.lit(1)) == 1
-    pairs = strays.join(members, by).filter((F.col("c") != F.col("component")) & _close("n", "size", percent))
+    pairs = strays.join(members, "sig").filter((F.col("c") != F.col("component")) & _close("n", "size", percent))
     once = (F.col("component") == F.col("main")) | (F.col("a") < F.col("key"))
     home = F.greatest("h", "home")
     pairs = pairs.filter(once & (~odd | (F.col("n") != F.col("size"))) & ((band == NO_BAND) | (band == home)))
-    return pairs.groupBy(F.least("a", "key").alias("hub"), F.greatest("a", "key").alias("key")).agg(
-        F.count("*").alias("shared"), F.max(_need(home, F.col("n") + F.col("size"), percent)).alias("need"), F.max(F.least("w", "crowds")).alias("crowds")
-    )
+    return pairs.select(F.least("a", "key").alias("hub"), F.greatest("a", "key").alias("key")).distinct()
 
 
-def _largest(members: DataFrame, by: list[str]) -> DataFrame:
-    """(by, main, strays): the largest component of what nodes share, and how many nodes lie outside; none where it is the only one."""
-    sizes = members.groupBy(*by, "component").agg(F.count("*").alias("n"))
+def _largest(members: DataFrame) -> DataFrame:
+    """(sig, main): the largest component among a signature's nodes; no row where it is the only one."""
+    sizes = members.groupBy("sig", "component").agg(F.count("*").alias("n"))
     top = F.max(F.struct("n", "component")).alias("top")
-    return sizes.groupBy(*by).agg(F.sum("n").alias("n"), top).select(
-        *by, F.col("top.component").alias("main"), (F.col("n") - F.col("top.n")).alias("strays")
-    ).filter("strays > 0")
+    found = sizes.groupBy("sig").agg(F.count("*").alias("n"), top).filter("n > 1")
+    return found.select("sig", F.col("top.component").alias("main"))
 
 
 def links_and_components(df: DataFrame, text_col: str = "text", n: int = 5, percent: int = 80, bits: int = 24) -> tuple[DataFrame, DataFrame]:
     """(links, membership): verified links (hub, key) between nodes that join every component, and (key, component) of all
     nodes with a link. Two nodes are in one component exactly if a chain of similar sets leads from one to the other."""
     every = written(shared_signatures(df, text_col, n, percent), "signatures")
-    # a node that shares fewer signatures with all others together than with one similar set has no link
-    most = F.floor(F.col("size") * (100 + percent) / F.lit(percent))  # its size and the largest partner's
     nodes = every.groupBy("key", "size").agg(F.count("*").alias("n")).withColumn("home", _home("size", percent))
-    nodes = written(nodes.filter(F.col("n") >= F.greatest(F.lit(1), _need(F.col("home"), most, percent))), "nodes")
+    nodes = written(nodes, "nodes")
     sets = written(node_sets(df, text_col, nodes, n, bits), "sets")
     # which pairs are tried first changes the work, not the result: those that share much, by a quarter of the signatures
     few = every.filter((F.pmod(F.shiftright("sig", 8), F.lit(4)) == 0) | (F.col("size") <= 64)).select("sig", "key").join(nodes, "key")
@@ -363,21 +411,8 @@ def links_and_components(df: DataFrame, text_col: str = "text", n: int = 5, perc
     named = nodes.join(found.select(F.col("node").alias("key"), "component"), "key", "left")
     named = named.select("key", "size", "home", F.coalesce("component", "key").alias("component"))
     shared = every.select("sig", "key").join(named, "key")
-    members = written(shared.join(_largest(shared, ["sig"]), "sig"), "members")
-    crowds = members.filter(F.col("strays") > CROWD).groupBy("key").agg(F.count("*").alias("crowds"))
-    members = members.join(crowds, "key", "left").select("sig", "key", "size", "home", "component", "main", "strays", F.coalesce("crowds", F.lit(0)).alias("crowds"))
-    calm, crowded = members.filter(F.col("strays") <= CROWD).drop("strays"), members.filter(F.col("strays") > CROWD).drop("strays")
-    small = _across(calm, ["sig"], percent).filter("shared + crowds >= need")
-    # sets of few elements share one signature for sure, larger ones two
-    lone = _across(crowded.filter(F.col("size") <= SMALL), ["sig"], percent)
-    two = crowded.groupBy("key", "size", "home", "crowds", "component").agg(F.array_sort(F.collect_set("sig")).alias("s"))
-    pairs_of = F.flatten(F.transform("s", lambda x, i: F.transform(F.slice("s", i + 2, F.greatest(F.size("s") - i - 1, F.lit(0))), lambda y: F.struct(x.alias("sig"), y.alias("sig2")))))
-    # two signatures of one band
-    same = lambda p: F.shiftright(p["sig"], 1).bitwiseAND(F.lit(63)) == F.shiftright(p["sig2"], 1).bitwiseAND(F.lit(63))
-    two = two.select("key", "size", "home", "crowds", "component", F.explode(F.filter(pairs_of, same)).alias("p"))
-    two = two.select("key", "size", "home", "crowds", "component", "p.sig", "p.sig2")
-    two = two.join(_largest(two, ["sig", "sig2"]).drop("strays"), ["sig", "sig2"])
-    rest = small.unionByName(lone).unionByName(_across(two, ["sig", "sig2"], percent)).select("hub", "key").distinct()
+    members = written(shared.join(_largest(shared), "sig"), "members")
+    rest = _across(members, percent)
     second = written(linked(rest, sets, percent), "links")
     links = first.unionByName(second)
     top = components(
