@@ -1,18 +1,23 @@
 """NetFlow v5, v9, IPFIX and sFlow v5 datagrams to flow exports.
 
-Variable-length parts are walked with array expressions, so decoding stays in the JVM and
-runs unchanged on streams.
+Variable-length parts are walked in Arrow batches, all datagrams of a batch at once, so decoding costs a few array
+operations per section and runs unchanged on streams.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from flowspark.functions.keys import be_ipv4, be_uint, long_to_ipv4, strip_mapped_ipv4
+from flowspark.functions.keys import be_ipv4, be_uint, long_to_ipv4
 from flowspark.operators.ordered import Ordered
-from flowspark.sources.frames import frame_tuple
+from flowspark.sources.binary import int32, packed, sections, slices, uint, uint_or
 
 MICRO = 1_000_000
 EXPORT = (
@@ -80,102 +85,74 @@ def decode_netflow_v5(df: DataFrame, datagram: str = "datagram", exporter: str =
 
 
 # --- sets and templates ----------------------------------------------------------------
-def _sections(data: Column, start: int, head: int, steps: Column, id_at: int, len_at: int, len_counts_head: bool) -> Column:
-    """Consecutive (id, length, body) sections from byte ``start``; stops at the first cut one."""
-    size = F.octet_length(data)
-    width = 2 if head == 4 else 4
-    empty = F.array().cast("array<struct<id:bigint,body:binary>>")
-    state = F.struct(F.lit(start).cast("bigint").alias("at"), empty.alias("got"))
-
-    def step(acc: Column, _: Column) -> Column:
-        at = acc["at"]
-        pos = at.cast("int") + 1
-        sid, length = be_uint(data, pos + id_at, width), be_uint(data, pos + len_at, width)
-        whole = length if len_counts_head else length + head
-        ok = (at + head <= size) & (whole >= head) & (at + whole <= size)
-        body = F.substring(data, pos + head, (whole - head).cast("int"))
-        item = F.array(F.struct(sid.alias("id"), body.alias("body")))
-        return F.when(
-            F.coalesce(ok, F.lit(False)),
-            F.struct((at + whole).alias("at"), F.concat(acc["got"], item).alias("got")),
-        ).otherwise(F.struct((size + F.lit(1).cast("bigint")).alias("at"), acc["got"].alias("got")))
-
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(steps, F.lit(1))), state, step)["got"]
-
-
-def _export_sets(df: DataFrame, datagram: str, version: int) -> DataFrame:
-    """Flow sets of v9 (16-byte use of the header) or sets of IPFIX messages."""
-    data = F.col(datagram)
-    n = F.octet_length(data)
-    ok = (n >= 16) & (be_uint(data, 1, 2) == version)
-    start = 20 if version == 9 else 16
-    # a section takes at least its 4-byte head, which bounds the walk
-    steps = F.floor((n - start) / 4).cast("int")
-    return df.filter(ok).withColumn("_set", F.explode(_sections(data, start, 4, steps, 0, 2, True)))
-
-
-def _templates_of(body: Column, ipfix: bool) -> Column:
-    """Templates of a template set, read word by word (every entry is 4-byte aligned)."""
-    words = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.floor(F.octet_length(body) / 4).cast("int") - 1, F.lit(0))),
-        lambda i: F.struct(be_uint(body, i * 4 + 1, 2).alias("hi"), be_uint(body, i * 4 + 3, 2).alias("lo")),
-    )
-    spec_t = "array<struct<ftype:int,flen:int>>"
-    state_t = f"struct<tid:int,left:int,skip:boolean,spec:{spec_t},done:array<struct<tid:int,spec:{spec_t}>>>"
-    state = F.struct(
-        F.lit(-1).alias("tid"), F.lit(0).alias("left"), F.lit(False).alias("skip"),
-        F.array().cast(spec_t).alias("spec"),
-        F.array().cast(f"array<struct<tid:int,spec:{spec_t}>>").alias("done"),
-    ).cast(state_t)
-
-    def closed(acc: Column) -> Column:
-        last = F.array(F.struct(acc["tid"].alias("tid"), acc["spec"].alias("spec")))
-        return F.when(acc["tid"] >= 0, F.concat(acc["done"], last)).otherwise(acc["done"])
-
-    def step(acc: Column, w: Column) -> Column:
-        hi, lo = w["hi"].cast("int"), w["lo"].cast("int")
-        skipped = F.struct(acc["tid"], acc["left"], F.lit(False), acc["spec"], acc["done"]).cast(state_t)
-        ignored = F.struct(acc["tid"], acc["left"], acc["skip"], acc["spec"], acc["done"]).cast(state_t)
-        opened = F.struct(hi, lo, F.lit(False), F.array().cast(spec_t), closed(acc)).cast(state_t)
-        ftype = hi.bitwiseAND(F.lit(0x7FFF)) if ipfix else hi
-        private = (hi >= 0x8000) if ipfix else F.lit(False)
-        field = F.array(F.struct(ftype.alias("ftype"), lo.alias("flen")).cast("struct<ftype:int,flen:int>"))
-        added = F.struct(acc["tid"], acc["left"] - 1, private, F.concat(acc["spec"], field), acc["done"]).cast(state_t)
-        return (
-            F.when(hi.isNull() | lo.isNull(), ignored)
-            .when(acc["skip"], skipped)
-            .when(acc["left"] > 0, added)
-            .when(hi < 256, ignored)
-            .otherwise(opened)
-        )
-
-    return F.aggregate(words, state, step, closed)
-
-
-def _template_rows(df: DataFrame, datagram: str, exporter: str, seen_us: Column, version: int) -> DataFrame:
-    set_id = 0 if version == 9 else 2
-    sets = _export_sets(df, datagram, version).filter(F.col("_set.id") == set_id)
-    found = sets.withColumn("_t", F.explode(_templates_of(F.col("_set.body"), version == 10)))
-    return found.select(
-        F.col(exporter).alias("exporter"),
-        F.col("_t.tid").alias("template_id"),
-        F.col("_t.spec").alias("spec"),
-        seen_us.alias("seen_us"),
-    )
+def _export_sets(data: pa.Array, version: int) -> tuple[np.ndarray, ...]:
+    """(bytes, datagram start, row, id, from, to) of the flow sets of v9 or the sets of IPFIX messages in a batch."""
+    buf, start, end = packed(data)
+    head = 20 if version == 9 else 16
+    mine = (end - start >= 16) & (uint_or(buf, start, end, 2) == version)
+    row, number, a, b = sections(buf, np.where(mine, start + head, end), end, 4)
+    return buf, start, row, number, a, b
+
 
+def _templates_of(body: bytes, ipfix: bool) -> list[tuple[int, list[tuple[int, int]]]]:
+    """(id, [(field, length)]) of a template set, read word by word (every entry is 4-byte aligned).
 
-def _sent_us(datagram: str, version: int) -> Column:
-    return be_uint(F.col(datagram), 9 if version == 9 else 5, 4) * MICRO
+    Enterprise numbers are skipped and the enterprise bit is masked. A cut last template counts as it stands.
+    """
+    found: list[tuple[int, list[tuple[int, int]]]] = []
+    left, skip = 0, False
+    for at in range(0, len(body) - 3, 4):
+        hi, lo = int.from_bytes(body[at : at + 2], "big"), int.from_bytes(body[at + 2 : at + 4], "big")
+        if skip:
+            skip = False
+        elif left > 0:
+            found[-1][1].append((hi & 0x7FFF if ipfix else hi, lo))
+            left, skip = left - 1, ipfix and hi >= 0x8000
+        elif hi >= 256:
+            found.append((hi, []))
+            left = lo
+    return found
+
+
+def _template_rows(df: DataFrame, datagram: str, exporter: str, version: int) -> DataFrame:
+    set_id = 0 if version == 9 else 2
+    kinds = pa.struct([("ftype", pa.int32()), ("flen", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, start, row, number, a, b = _export_sets(batch.column(1), version)
+            mine = number == set_id
+            row, a, b = row[mine], a[mine], b[mine]
+            sent = uint(buf, start[row] + (8 if version == 9 else 4), 4) * MICRO
+            # most datagrams repeat the templates of others
+            bodies = slices(buf, a, b).dictionary_encode()
+            read = [_templates_of(body, version == 10) for body in bodies.dictionary.to_pylist()]
+            each = np.array([len(t) for t in read], np.int64)
+            first = np.concatenate(([0], np.cumsum(each)))
+            which = bodies.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            n = each[which] if len(which) else np.zeros(0, np.int64)
+            of = np.repeat(np.arange(len(which)), n)
+            at = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + first[which[of]]
+            every = [t for ts in read for t in ts]
+            ids = np.array([t for t, _ in every], np.int32)
+            specs = pa.array([[{"ftype": f, "flen": size} for f, size in spec] for _, spec in every], pa.list_(kinds))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(row[of])), pa.array(ids[at], pa.int32()), specs.take(pa.array(at)), pa.array(sent[of])],
+                names=["exporter", "template_id", "spec", "seen_us"],
+            )
+
+    rows = df.filter(F.col(datagram).isNotNull()).select(F.col(exporter).cast("string").alias("exporter"), F.col(datagram).cast("binary").alias("datagram"))
+    return rows.mapInArrow(run, "exporter string, template_id int, spec array<struct<ftype:int,flen:int>>, seen_us long")
 
 
 def netflow_v9_templates(df: DataFrame, datagram: str = "datagram", exporter: str = "exporter") -> DataFrame:
     """``exporter, template_id, spec, seen_us`` of every v9 template."""
-    return _template_rows(df, datagram, exporter, _sent_us(datagram, 9), 9)
+    return _template_rows(df, datagram, exporter, 9)
 
 
 def netflow_ipfix_templates(df: DataFrame, datagram: str = "datagram", exporter: str = "exporter") -> DataFrame:
     """The same for IPFIX: enterprise numbers are skipped and the enterprise bit is masked."""
-    return _template_rows(df, datagram, exporter, _sent_us(datagram, 10), 10)
+    return _template_rows(df, datagram, exporter, 10)
 
 
 # --- as-of templates ------------------------------------------------------------------
@@ -198,9 +175,10 @@ def template_spans(templates: DataFrame, timeout_s: int = 3600) -> DataFrame:
     following = Window.partitionBy(*key).orderBy("from_us")
     ended = F.lead(F.struct("from_us", "_us")).over(following)
     spans = starts.withColumn("_next", ended).drop("_us")
-    latest = one.groupBy(*key).agg(F.max("seen_us").alias("_latest"))
+    # the same columns as above, so that the templates are read and shuffled once
+    latest = one.groupBy(*key).agg(F.max(F.struct("seen_us", "spec")).alias("_latest"))
     spans = spans.join(latest, key)
-    last = F.coalesce(F.col("_next._us"), F.col("_latest"))
+    last = F.coalesce(F.col("_next._us"), F.col("_latest.seen_us"))
     upto = F.least(last + timeout_s * MICRO, F.col("_next.from_us") - 1)
     return spans.select(*key, "from_us", upto.alias("upto_us"), "spec")
 
@@ -227,81 +205,99 @@ FIELDS = {
 }
 
 
-def _data_rows(df: DataFrame, templates: DataFrame, datagram: str, exporter: str, timeout_s: int, version: int) -> DataFrame:
-    data = F.col(datagram)
-    if version == 9:
-        source = be_uint(data, 17, 4)
-        extra = {"_uptime": be_uint(data, 5, 4), "_secs": be_uint(data, 9, 4)}
-    else:
-        source = be_uint(data, 13, 4)
-        extra = {"_uptime": F.lit(None).cast("bigint"), "_secs": be_uint(data, 5, 4)}
-    extra["_source"] = source
-    sets = _export_sets(df, datagram, version).filter(F.col("_set.id") >= 256)
-    sets = sets.withColumns({**extra, "ts_us": _sent_us(datagram, version)})
-    sets = sets.select(
-        *[c for c in _others(df, datagram, exporter) if c != "ts_us"],
-        *extra,
-        "ts_us",
-        F.col(exporter).alias("exporter"),
-        F.col("_set.id").cast("int").alias("template_id"),
-        F.col("_set.body").alias("_body"),
-    )
-    rows = asof_templates(sets, templates, timeout_s)
-    rows = rows.withColumn("_size", F.aggregate("spec", F.lit(0), lambda s, f: s + f["flen"]))
-    rows = rows.filter((F.col("_size") > 0) & (F.octet_length("_body") >= F.col("_size")))
-    # Where each wanted field lies, worked out once per set before it becomes records.
-    # A repeated field number keeps its last place.
-    starts = F.transform(
-        "spec",
-        lambda f, i: F.struct(
-            f["ftype"].alias("ftype"),
-            f["flen"].alias("flen"),
-            F.aggregate(F.slice("spec", F.lit(1), i), F.lit(1), lambda s, g: s + g["flen"]).alias("pos"),
-        ),
-    )
+CLOCKS = ("first", "last")
 
-    def last_of(fs: Column, number: int) -> Column:
-        return F.try_element_at(F.filter(fs, lambda f: f["ftype"] == number), F.lit(-1))
 
-    places = F.transform(
-        F.array(starts), lambda fs: F.struct(*[last_of(fs, n).alias(name) for name, n in FIELDS.items()])
-    )
-    count = F.floor(F.octet_length("_body") / F.col("_size")).cast("int")
-    rows = rows.withColumn("_at", F.get(places, F.lit(0))).withColumn(
-        "_i", F.explode(F.sequence(F.lit(0), count - 1))
-    )
-    rows = rows.withColumn("_r", F.substring("_body", F.col("_i") * F.col("_size") + 1, F.col("_size")))
+def _data_sets(df: DataFrame, others: list[str], datagram: str, exporter: str, version: int) -> DataFrame:
+    """Data sets with their message's times and source."""
 
-    def value(name: str) -> Column:
-        return F.substring("_r", F.col(f"_at.{name}.pos"), F.col(f"_at.{name}.flen"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, start, row, number, a, b = _export_sets(batch.column(batch.num_columns - 1), version)
+            mine = number >= 256
+            row, number, a, b = row[mine], number[mine], a[mine], b[mine]
+            at = start[row]
+            secs = uint(buf, at + (8 if version == 9 else 4), 4)
+            uptime = pa.array(uint(buf, at + 4, 4)) if version == 9 else pa.nulls(len(row), pa.int64())
+            taken = [c.take(pa.array(row)) for c in batch.columns[:-1]]
+            own = [uptime, pa.array(secs), pa.array(uint(buf, at + (16 if version == 9 else 12), 4)), pa.array(secs * MICRO)]
+            yield pa.RecordBatch.from_arrays(
+                [*taken, *own, pa.array(number, pa.int32()), slices(buf, a, b)],
+                names=[*batch.schema.names[:-1], "_uptime", "_secs", "_source", "ts_us", "template_id", "_body"],
+            )
 
-    def number(name: str) -> Column:
-        v = value(name)
-        known = F.octet_length(v).isin(1, 2, 4)
-        return F.when(known, F.conv(F.hex(v), 16, 10).cast("long")).otherwise(F.lit(0).cast("long"))
+    rows = df.filter(F.col(datagram).isNotNull()).select(*others, F.col(exporter).cast("string").alias("exporter"), F.col(datagram).cast("binary").alias("_datagram"))
+    kept = T.StructType([*rows.schema.fields[:-1], *T.StructType.fromDDL("_uptime long, _secs long, _source long, ts_us long, template_id int, _body binary").fields])
+    return rows.mapInArrow(run, kept)
 
-    def address(name: str) -> Column:
-        v = value(name)
-        return F.when(F.octet_length(v) == 4, strip_mapped_ipv4(long_to_ipv4(F.conv(F.hex(v), 16, 10).cast("long")))).otherwise(
-            "0.0.0.0"
-        )
 
-    def clock(name: str) -> Column:
-        given = F.col(f"_at.{name}").isNotNull()
-        back = (F.col("_uptime") - number(name)) / F.lit(1000.0)
-        return F.when(given & F.col("_uptime").isNotNull(), F.col("_secs") - back).otherwise(F.col("_secs").cast("double"))
+def _records(bodies: pa.Array, spec_keys: np.ndarray, specs: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray], np.ndarray]:
+    """(row, field values, which clocks are given) of every record in the bodies, row by row.
 
-    return rows.select(
-        *[c for c in _others(df, datagram, exporter) if c != "ts_us"],
-        clock("first").alias("flow_start"),
-        clock("last").alias("flow_end"),
-        address("src_ip").alias("src_ip"),
-        address("dst_ip").alias("dst_ip"),
-        number("src_port").cast("int").alias("src_port"),
-        number("dst_port").cast("int").alias("dst_port"),
-        number("protocol").cast("int").alias("protocol"),
-        *[number(n).alias(n) for n in ("packets", "bytes", "input_snmp", "output_snmp", "src_as", "dst_as")],
-        number("tcp_flags").cast("int").alias("tcp_flags"),
+    A repeated field number keeps its last place; fields of other than 1, 2 or 4 bytes, and missing ones, count as 0.
+    """
+    buf, start, end = packed(bodies)
+    _, firsts, group = np.unique(spec_keys, return_index=True, return_inverse=True)
+    rows, values, given = [], {name: [] for name in FIELDS}, []
+    for g, first in enumerate(firsts):
+        places, size = {}, 0
+        for field in specs[int(first)].as_py():
+            places[field["ftype"]] = (size, field["flen"])
+            size += field["flen"]
+        mine = np.flatnonzero(group == g)
+        if size <= 0:
+            continue
+        n = (end[mine] - start[mine]) // size
+        of = np.repeat(mine, n)
+        at = start[of] + (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)) * size
+        rows.append(of)
+        for name, number in FIELDS.items():
+            pos, flen = places.get(number, (0, 0))
+            known = flen in ((4,) if name in ("src_ip", "dst_ip") else (1, 2, 4))
+            values[name].append(uint(buf, at + pos, flen) if known else np.zeros(len(of), np.int64))
+        given.append(np.tile([[FIELDS[c] in places for c in CLOCKS]], (len(of), 1)))
+    if not rows:
+        return np.zeros(0, np.int64), {name: np.zeros(0, np.int64) for name in FIELDS}, np.zeros((0, 2), bool)
+    row = np.concatenate(rows)
+    order = np.argsort(row, kind="stable")
+    return row[order], {name: np.concatenate(v)[order] for name, v in values.items()}, np.concatenate(given)[order]
+
+
+def _data_rows(df: DataFrame, templates: DataFrame, datagram: str, exporter: str, timeout_s: int, version: int) -> DataFrame:
+    others = [c for c in _others(df, datagram, exporter) if c != "ts_us"]
+    sets = _data_sets(df, others, datagram, exporter, version)
+    rows = asof_templates(sets, templates, timeout_s)
+    rows = rows.select(*others, "exporter", "_uptime", "_secs", "_source", "_body", F.xxhash64("spec").alias("_key"), "spec")
+    numbers = list(FIELDS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            body, key, spec = (batch.column(batch.num_columns - i) for i in (3, 2, 1))
+            row, values, given = _records(body, key.to_numpy(zero_copy_only=False), spec)
+            uptime, secs = batch.column(len(others) + 1), batch.column(len(others) + 2).to_numpy(zero_copy_only=False)[row]
+            times = []
+            for i, name in enumerate(CLOCKS):
+                # without a device uptime both times are the export time
+                back = 0.0 if uptime.null_count else np.where(given[:, i], (uptime.to_numpy()[row] - values[name]) / 1000.0, 0.0)
+                times.append(pa.array(secs - back if len(row) else np.zeros(0), pa.float64()))
+            taken = [batch.column(i).take(pa.array(row)) for i in (*range(len(others) + 1), len(others) + 3)]
+            yield pa.RecordBatch.from_arrays(
+                [*taken, *times, *[pa.array(values[n]) for n in numbers]], names=[*others, "exporter", "_source", "flow_start", "flow_end", *[f"_{n}" for n in numbers]]
+            )
+
+    names = ", ".join(["_source long", "flow_start double", "flow_end double", *[f"_{n} long" for n in numbers]])
+    out = T.StructType([*[rows.schema[c] for c in (*others, "exporter")], *T.StructType.fromDDL(names).fields])
+    found = rows.mapInArrow(run, out)
+    value = lambda name: F.col(f"_{name}")
+    return found.select(
+        *others,
+        "flow_start",
+        "flow_end",
+        long_to_ipv4(value("src_ip")).alias("src_ip"),
+        long_to_ipv4(value("dst_ip")).alias("dst_ip"),
+        *[value(n).cast("int").alias(n) for n in ("src_port", "dst_port", "protocol")],
+        *[value(n).alias(n) for n in ("packets", "bytes", "input_snmp", "output_snmp", "src_as", "dst_as")],
+        value("tcp_flags").cast("int").alias("tcp_flags"),
         F.col("exporter").alias("exporter_ip"),
         F.shiftright("_source", 16).cast("int").alias("engine_type"),
         F.col("_source").bitwiseAND(F.lit(0xFFFF)).cast("int").alias("engine_id"),
@@ -325,49 +321,74 @@ def decode_ipfix(df: DataFrame, templates: DataFrame | None = None, timeout_s: i
 RAW_HEADER = (0x00000001, 0x00010001)  # fixed values: record formats of a sampled raw header
 
 
+def _sampled(data: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """(row, numbers) of every sampled IPv4 TCP/UDP header in a batch of sFlow v5 datagrams."""
+    buf, start, end = packed(data)
+    mine = (end - start >= 28) & (uint_or(buf, start, end, 4) == 5)
+    shift = np.where(uint_or(buf, start + 4, end, 4) == 2, 12, 0)
+    claimed = uint_or(buf, start + 24 + shift, end, 4, 0)
+    rest = start + 28 + shift
+    steps = np.minimum(int32(claimed), (end - rest) // 8)
+    row, number, a, b = sections(buf, np.where(mine & (claimed > 0), rest, end), end, 8, steps)
+    kept = (number == 1) & (b - a >= 32)
+    row, a, b = row[kept], a[kept], b[kept]
+    steps = np.minimum(int32(uint(buf, a + 28, 4)), (b - a) // 8)
+    came, went = uint(buf, a + 20, 4), uint(buf, a + 24, 4)
+    of, number, a, b = sections(buf, a + 32, b, 8, steps)
+    kept = np.isin(number, RAW_HEADER) & (b - a >= 16)
+    of, a, b = of[kept], a[kept], b[kept]
+    size, frame = uint(buf, a + 4, 4), a + 16
+    end = np.minimum(b, frame + np.maximum(int32(uint(buf, a + 12, 4)), 0))
+    # Ethernet II, IPv4, TCP or UDP, with the ports inside
+    kept = end - frame >= 34
+    of, size, frame, end = of[kept], size[kept], frame[kept], end[kept]
+    first, protocol = uint(buf, frame + 14, 1), uint(buf, frame + 23, 1)
+    ports = frame + 14 + (first & 15) * 4
+    kept = (uint(buf, frame + 12, 2) == 0x0800) & (first >> 4 == 4) & np.isin(protocol, (6, 17)) & (ports + 4 <= end)
+    of, size, frame, ports, protocol = of[kept], size[kept], frame[kept], ports[kept], protocol[kept]
+    return row[of], {
+        "_src": uint(buf, frame + 26, 4), "_dst": uint(buf, frame + 30, 4), "_sport": uint(buf, ports, 2),
+        "_dport": uint(buf, ports + 2, 2), "_proto": protocol, "_bytes": size, "_in": came[of], "_out": went[of],
+    }
+
+
 def decode_sflow(df: DataFrame, datagram: str = "datagram", exporter: str = "exporter", received_us: str | None = None) -> DataFrame:
     """One row per sampled IPv4 TCP/UDP header of sFlow v5 flow samples."""
     data = F.col(datagram)
-    v6_agent = be_uint(data, 5, 4) == 2
-    ok = (be_uint(data, 1, 4) == 5) & (F.octet_length(data) >= 28)
-    shift = F.when(v6_agent, 12).otherwise(0)
-    agent = F.when(v6_agent, F.lower(F.hex(F.substring(data, 9, 16)))).otherwise(be_ipv4(data, 9))
-    # samples start after the fixed head; dropping it keeps the walk at offset zero
-    rest = F.substring(data, F.lit(29) + shift, F.octet_length(data))
-    heads = df.filter(ok).withColumns({"_agent": agent, "_samples": be_uint(data, F.lit(25) + shift, 4), "_rest": rest})
+    others = _others(df, datagram, exporter, received_us or "")
+    agent = F.when(be_uint(data, 5, 4) == 2, F.lower(F.hex(F.substring(data, 9, 16)))).otherwise(be_ipv4(data, 9))
     now = F.col(received_us) if received_us else F.unix_micros(F.current_timestamp())
-    limit = F.floor(F.octet_length("_rest") / 8).cast("int")
-    steps = F.least(F.col("_samples").cast("int"), limit)
-    samples = heads.filter(F.col("_samples") > 0).withColumn(
-        "_s", F.explode(_sections(F.col("_rest"), 0, 8, steps, 0, 4, False))
+    heads = df.filter(data.isNotNull()).select(
+        *others, F.col(exporter).alias("_exporter"), agent.alias("_agent"), (now / F.lit(1e6)).alias("_when"), data.cast("binary").alias("_datagram")
     )
-    samples = samples.filter((F.col("_s.id") == 1) & (F.octet_length("_s.body") >= 32)).withColumn("_b", F.col("_s.body"))
-    body = F.col("_b")
-    count = F.least(be_uint(body, 29, 4).cast("int"), F.floor(F.octet_length(body) / 8).cast("int"))
-    records = samples.withColumns({"_in": be_uint(body, 21, 4), "_out": be_uint(body, 25, 4)}).withColumn(
-        "_rec", F.explode(_sections(body, 32, 8, count, 0, 4, False))
-    )
-    raw = records.filter(F.col("_rec.id").isin(*RAW_HEADER)).withColumn("_h", F.col("_rec.body"))
-    h = F.col("_h")
-    header = F.substring(h, F.lit(17), be_uint(h, 13, 4).cast("int"))
-    tuples = F.filter(F.transform(F.array(header), frame_tuple), lambda t: t.isNotNull())
-    rows = raw.withColumn("_t", F.explode(tuples))
-    when = now / F.lit(1e6)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, values = _sampled(batch.column(batch.num_columns - 1))
+            taken = [c.take(pa.array(row)) for c in batch.columns[:-1]]
+            yield pa.RecordBatch.from_arrays([*taken, *[pa.array(v) for v in values.values()]], names=[*batch.schema.names[:-1], *values])
+
+    numbers = T.StructType.fromDDL("_src long, _dst long, _sport long, _dport long, _proto long, _bytes long, _in long, _out long")
+    rows = heads.mapInArrow(run, T.StructType([*heads.schema.fields[:-1], *numbers.fields]))
     zero = F.lit(0).cast("long")
     return rows.select(
-        *_others(df, datagram, exporter, received_us or ""),
-        when.alias("flow_start"),
-        when.alias("flow_end"),
-        "_t.src_ip", "_t.dst_ip", "_t.src_port", "_t.dst_port", "_t.protocol",
+        *others,
+        F.col("_when").alias("flow_start"),
+        F.col("_when").alias("flow_end"),
+        long_to_ipv4(F.col("_src")).alias("src_ip"),
+        long_to_ipv4(F.col("_dst")).alias("dst_ip"),
+        F.col("_sport").cast("int").alias("src_port"),
+        F.col("_dport").cast("int").alias("dst_port"),
+        F.col("_proto").cast("int").alias("protocol"),
         F.lit(1).cast("long").alias("packets"),
-        be_uint(h, 5, 4).alias("bytes"),
+        F.col("_bytes").alias("bytes"),
         F.col("_in").alias("input_snmp"),
         F.col("_out").alias("output_snmp"),
         zero.alias("src_as"),
         zero.alias("dst_as"),
         F.lit(0).alias("tcp_flags"),
-        F.col(exporter).alias("exporter_ip"),
+        F.col("_exporter").alias("exporter_ip"),
         F.lit(0).alias("engine_type"),
         F.lit(0).alias("engine_id"),
         F.create_map(F.lit("sflow_agent"), F.col("_agent")).alias("vendor_props"),
-    )
+    )

@@ -103,6 +103,47 @@ def test_cut_datagrams(spark):
     assert netflow.decode_sflow(df).count() == 0
 
 
+def test_templates_change_fields_repeat_and_sections_are_cut(spark):
+    """Two templates in one set, one replaced later, a repeated field, a field of three bytes, a cut data set."""
+
+    def v9(secs, *sets):
+        head = struct.pack(">HHIIIHH", 9, len(sets), 5000, secs, 0, 3, 4)
+        return head + b"".join(struct.pack(">HH", i, len(b) + 4) + b for i, b in sets)
+
+    def template(tid, *fields):
+        return struct.pack(">HH", tid, len(fields)) + b"".join(struct.pack(">HH", *f) for f in fields)
+
+    one = template(256, (7, 2), (7, 2), (8, 4), (2, 3))
+    two = template(300, (11, 1), (22, 4))
+    rows = [
+        (0, v9(100, (0, one + two), (256, bytes([0, 1, 0, 9, 10, 0, 0, 1, 0, 0, 7]) * 2 + b"xx"), (300, b"\x05" + struct.pack(">I", 4000)))),
+        (1, v9(200, (0, template(256, (11, 2))), (256, b"\0\x50\0\x51"))),
+        (2, v9(300, (256, b"\1\0"))[:-1]),
+        (3, v9(400, (256, b"\1\1"))),
+        (4, None),
+    ]
+    df = spark.createDataFrame(rows, "n int, datagram binary").withColumn("exporter", F.lit("e"))
+    got = netflow.decode_netflow_v9(df).select("n", "src_port", "dst_port", "src_ip", "packets", "flow_start", "flow_end", "engine_type", "engine_id")
+    assert sorted(tuple(r) for r in got.collect()) == [
+        (0, 0, 5, "0.0.0.0", 0, 99.0, 100.0, 3, 4),
+        (0, 9, 0, "10.0.0.1", 0, 100.0, 100.0, 3, 4),
+        (0, 9, 0, "10.0.0.1", 0, 100.0, 100.0, 3, 4),
+        (1, 0, 80, "0.0.0.0", 0, 200.0, 200.0, 3, 4),
+        (1, 0, 81, "0.0.0.0", 0, 200.0, 200.0, 3, 4),
+        (3, 0, 257, "0.0.0.0", 0, 400.0, 400.0, 3, 4),
+    ]
+    assert netflow.netflow_v9_templates(df).count() == 3
+
+
+def test_flow_exports_are_walked_in_batches(spark, sf_dir):
+    """Array expressions that step through every datagram took most of the time; no such walk is left in the plans."""
+    from flowspark.plans import q_sources
+
+    for name in ("decode_netflow_v9", "decode_ipfix", "netflow_templates", "decode_sflow"):
+        plan = getattr(q_sources, name)(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "aggregate(sequence" not in plan
+
+
 def test_rules(spark, tmp_path):
     (tmp_path / "x").mkdir()
     (tmp_path / "x" / "b.yml").write_text("id: r1\ntitle: T\ndetection:\n  selection: {a: 1}\n")
