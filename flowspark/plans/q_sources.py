@@ -219,11 +219,11 @@ FROM li""",
 )
 def zeek_records(spark, d):
     df = zeek.normalize_zeek(zeek.parse_zeek_lines(zeek_lines(spark, d)))
-    f = F.col("fields")
+    f = zeek.zeek_field
     return df.select(
         "id", "log_type", "timestamp", zeek.zeek_uid().alias("uid"), zeek.zeek_flow_key().alias("flow_key"),
-        f["id.orig_p"]["i"].alias("orig_p"), f["duration"]["d"].alias("duration"), f["orig_bytes"]["i"].alias("orig_bytes"),
-        f["local_orig"]["b"].alias("local_orig"), F.array_join(f["tags"]["arr"], "|").alias("tags"), f["history"]["s"].alias("history"),
+        f("id.orig_p")["i"].alias("orig_p"), f("duration")["d"].alias("duration"), f("orig_bytes")["i"].alias("orig_bytes"),
+        f("local_orig")["b"].alias("local_orig"), F.array_join(f("tags")["arr"], "|").alias("tags"), f("history")["s"].alias("history"),
     )
 
 
@@ -280,7 +280,7 @@ def decode_frames(spark, d):
 def _datagrams(spark, d, record: Column, build):
     """One datagram per order with the order's line items as records."""
     df = _lines(spark, d).select("l_orderkey", record.alias("r"))
-    packed = df.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("r")).alias("rs"))
+    packed = df.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("r")).alias("rs"))
     exporter = F.concat(F.lit("192.0.2."), F.col("l_orderkey") % 5)
     return packed.select(
         "l_orderkey", exporter.alias("exporter"), F.unhex(build(F.col("l_orderkey"), F.col("rs"))).alias("datagram")

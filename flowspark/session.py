@@ -14,6 +14,9 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # The JVM never compiles methods above 8 000 bytes of code, it interprets them. Stages whose generated method is larger
+    # are run operator by operator instead, whose expressions Spark cuts into small methods.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -29,6 +32,14 @@ def build_session(app: str = "flowspark", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def compiled(spark: SparkSession) -> SparkSession:
+    """The session, also one made elsewhere, with the limit on generated methods."""
+    name = "spark.sql.codegen.hugeMethodLimit"
+    if spark.conf.get(name) != SETTINGS[name]:
+        spark.conf.set(name, SETTINGS[name])
+    return spark
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``); a temporary one only where the session names none (tests)."""
     sc = spark.sparkContext

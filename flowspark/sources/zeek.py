@@ -142,6 +142,12 @@ def zeek_value(value: Column, name: Column) -> Column:
     )
 
 
+def zeek_field(name: str, fields_raw: str | Column = "fields_raw") -> Column:
+    """Typed form of the one field ``name``, as ``fields`` holds it; the other fields of the record stay text."""
+    value = col(fields_raw)[name]
+    return F.when(value.isNotNull(), zeek_value(value, F.lit(name)))
+
+
 def normalize_zeek(df: DataFrame) -> DataFrame:
     """Add ``fields`` (typed values) and ``timestamp`` (0 when ``ts`` is not a number)."""
     raw_ts = F.col("fields_raw")["ts"]
