@@ -1,6 +1,7 @@
 """Readers over small files and hand-made binary, and the writers."""
 
 import gzip
+import random
 import struct
 
 import pytest
@@ -12,6 +13,7 @@ from flowspark.operators import training as T
 from flowspark.operators.alerts import prepare_alerts
 from flowspark.plans import views as V
 from flowspark.sinks import tables as K
+from flowspark.operators import training as TR
 from flowspark.sources import cloud, netflow, pcap, tables, zeek
 
 
@@ -144,6 +146,48 @@ def test_flow_exports_are_walked_in_batches(spark, sf_dir):
         assert "MapInArrow" in plan and "aggregate(sequence" not in plan
 
 
+def test_queries_keep_generated_methods_small(spark, sf_dir):
+    """Stages with larger methods were interpreted by the JVM, in sessions made elsewhere too."""
+    from flowspark.plans import q_sources
+
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "65535")
+    q_sources.zeek_records(spark, sf_dir)
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+
+
+def test_zeek_field_is_that_of_all_fields(spark):
+    raw = {"ts": "1,5", "a": "-", "b": "T", "c": "1,2", "d": "0.5", "e": "7", "f": "x"}
+    df = zeek.normalize_zeek(spark.createDataFrame([(raw,)], "fields_raw map<string,string>"))
+    row = df.select("fields", *[zeek.zeek_field(n).alias(f"_{n}") for n in (*raw, "none")]).collect()[0]
+    assert all(row[f"_{n}"] == row["fields"][n] for n in raw) and row["_none"] is None
+
+
+def test_window_rows_hold_what_the_windows_hold(spark):
+    from collections import Counter
+
+    rng = random.Random(5)
+    rows = [(f"f{rng.randrange(3)}", float(t), t, [float(t)] * (2 if rng.random() < 0.1 else 1)) for t in range(80)]
+    df = spark.createDataFrame(rows, "flow_key string, timestamp double, id int, vec array<double>")
+    for length, block in ((1, 1), (3, 4), (5, 5), (4, 100)):
+        want = Counter(v[0] for w in Q.sliding_sequences(df, length, width=1, block=block).collect() for v in w["seq"])
+        held = Q.window_rows(df, length, width=1, block=block)
+        assert {r["vec"][0]: r["weight"] for r in held.collect()} == dict(want)
+        fit = TR.fit_normalization(held.withColumn("seq", F.array("vec")), width=1, weight="weight").collect()[0]
+        every = list(want.elements())
+        mean = sum(every) / len(every)
+        assert fit["means"] == [pytest.approx(mean)]
+        assert fit["scales"] == [pytest.approx((sum((v - mean) ** 2 for v in every) / len(every)) ** 0.5)]
+    gaps = spark.createDataFrame([([[1.0, None], [3.0, 5.0], [7.0]],), (None,)], "seq array<array<double>>")
+    fit = TR.fit_normalization(gaps, "variance", width=3).collect()[0]
+    assert fit["means"] == [pytest.approx(11 / 3), 5.0, 0.0] and fit["scales"] == [pytest.approx(56 / 9), 1.0, 1.0]
+
+
+def test_split_sequences_gathers_no_vectors(spark):
+    df = spark.createDataFrame([("f", 1.0, 1, [1.0])], "flow_key string, timestamp double, id int, vec array<double>")
+    light = Q.sliding_sequences(df, 2, width=1).select("flow_key", "first_ts", "start_pos")
+    assert "collect_list" not in light._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_rules(spark, tmp_path):
     (tmp_path / "x").mkdir()
     (tmp_path / "x" / "b.yml").write_text("id: r1\ntitle: T\ndetection:\n  selection: {a: 1}\n")
