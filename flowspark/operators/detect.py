@@ -184,7 +184,12 @@ def score_windows(windows: DataFrame, params: SequenceParams | AutoencoderParams
 
 def sequence_detect(flows: DataFrame, params: SequenceParams | AutoencoderParams | None, tie: str = "id") -> DataFrame:
     """Count windows of complete vectors scored by reconstruction error. No parameters, no output."""
-    windows = tumbling_sequences(X.strict_vector(flows), params.length if params else 10, tie)
+    return vectors_detect(X.strict_vector(flows), params, tie)
+
+
+def vectors_detect(rows: DataFrame, params: SequenceParams | AutoencoderParams | None, tie: str = "id") -> DataFrame:
+    """``sequence_detect`` of rows that hold their vector (``vec``)."""
+    windows = tumbling_sequences(rows, params.length if params else 10, tie)
     if params is None:
         return windows.filter(F.lit(False))
     return score_windows(windows, params).drop("seq")
