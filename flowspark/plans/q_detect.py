@@ -260,7 +260,7 @@ def autoencoder_fit(spark, d):
 SELECT vf.event_id, {sql_q4('w.reconstruction_error')} AS reconstruction_error FROM vf LEFT JOIN w ON vf.flow_key = w.flow_key AND vf."timestamp" = w."timestamp" AND w.n = 10""",
 )
 def join_scores(spark, d):
-    w = Q.tumbling_sequences(sequence_rows(spark, d), 10, tie="event_id")
+    w = Q.tumbling_sequences(stored(sequence_rows(spark, d), "vectors"), 10, tie="event_id")
     total = F.aggregate("seq", F.lit(0.0), lambda s, v: s + F.get(v, F.lit(0)))
     out = D.join_scores(vector_flows(spark, d), w.withColumn("reconstruction_error", total))
     return out.select("event_id", q4("reconstruction_error").alias("reconstruction_error"))

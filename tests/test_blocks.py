@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from flowspark.operators import training as T
 from flowspark.operators.ordinal import split_ordered
 from flowspark.operators.sequences import sliding_sequences, window_blocks
+from flowspark.plans import q_detect as Q
 from flowspark.schemas import FEATURES
 
 WIDTH = len(FEATURES)
@@ -52,3 +53,12 @@ def test_components_of_blocks(flows):
     assert {r["split"]: r["loss"] for r in losses.collect()} == pytest.approx({s: e.mean() for s, e in error.items()})
     ordered = np.sort(error["val"])
     assert params.threshold == pytest.approx(ordered[min(int(len(ordered) * 0.95), len(ordered) - 1)])
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_join_scores_reads_stored_vectors(spark, sf_dir):
+    # the 51 texts of a row were made once for the summaries of its chunk and once for its window
+    assert "map_from_arrays" not in _plan(Q.join_scores(spark, sf_dir))
