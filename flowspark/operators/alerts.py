@@ -14,10 +14,13 @@ from flowspark.functions.keys import ip_prefix, ipv4_to_long, ipv6_groups
 from flowspark.functions.times import micros
 from flowspark.operators.ordered import CHUNK, ROW, Ordered, chunk_of, earlier, in_runs, run_width, runs, with_carry
 from flowspark.schemas import IP_INFO, SEVERITIES
+from flowspark.session import stored
 
 MICRO = 1_000_000
 #: Width of a key's chunks in ordered passes: alerts are rare enough for an hour of one key to be a task's work.
 WIDTH_US = 3600 * MICRO
+#: Alerts that a task scores, but for those of one key and chunk.
+PART = 25_000
 
 
 def with_micros(df: DataFrame) -> DataFrame:
@@ -210,7 +213,10 @@ def group_scores(alerts: DataFrame, idle_s: int = 3600, tie: str = "alert_id") -
     Prefix sums run inside chunks of an hour; each class has carry rows for what came before.
     """
     df = with_micros(alerts).withColumn("group_id", A.single_correlation_id())
-    rows = _ranked(df, idle_s * MICRO, tie).withColumn("_t", (F.col("ts_us") - F.col("session_us")).cast("double"))
+    # ranks are made once, for the summaries and the rows
+    rows = stored(_ranked(df, idle_s * MICRO, tie).withColumn("_t", (F.col("ts_us") - F.col("session_us")).cast("double")), "ranked")
+    # a task sorts four times and holds what it sorts: about PART alerts of it, however many there are
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // PART)
     cols = rows.columns
     # every member also arrives a second time when it turns one hour old (kind 0, before
     # a real arrival of that instant): prefix sums over those rows count the far members
@@ -232,14 +238,14 @@ def group_scores(alerts: DataFrame, idle_s: int = 3600, tie: str = "alert_id") -
     values = {f"_x_near_{s}": F.when(real, v).otherwise(-v) for s, v in terms.items()}
     values |= {f"_x_far_{s}": F.when(~real, terms[s]).otherwise(0.0) for s in ("c", "i")}
     both = both.withColumns({**values, CHUNK: chunk_of("_at", WIDTH_US)})
-    summary = both.groupBy(*group, CHUNK, *classes["b"]).agg(*[F.sum(n).alias(n) for n in values])
+    summary = stored(both.groupBy(*group, CHUNK, *classes["b"]).agg(*[F.sum(n).alias(n) for n in values]), "summary")
     carries = None
     for name, extra in classes.items():
         one = summary if name == "b" else summary.groupBy(*group, CHUNK, *extra).agg(*[F.sum(n).alias(n) for n in values])
         past = earlier([*group, *extra])
         one = one.select(*group, CHUNK, *extra, F.lit(name).alias("_class"), *[F.sum(n).over(past).alias(n) for n in values]).filter("_x_far_c is not null")
         carries = one if carries is None else carries.unionByName(one, allowMissingColumns=True)
-    both = with_carry(both, carries)
+    both = with_carry(both, carries).repartition(parts, *group, CHUNK)
     for name, extra in classes.items():
         upto = Window.partitionBy(*group, CHUNK, *extra).orderBy(ROW, "_at", "_copy", tie).rowsBetween(Window.unboundedPreceding, 0)
         counts = (F.col(ROW) == 1) | (F.col("_class") == name)

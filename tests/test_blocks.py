@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from flowspark.operators import training as T
 from flowspark.operators.ordinal import split_ordered
 from flowspark.operators.sequences import sliding_sequences, window_blocks
+from flowspark.plans import q_alerts as QA
 from flowspark.plans import q_detect as Q
 from flowspark.schemas import FEATURES
 
@@ -62,3 +63,12 @@ def _plan(df):
 def test_join_scores_reads_stored_vectors(spark, sf_dir):
     # the 51 texts of a row were made once for the summaries of its chunk and once for its window
     assert "map_from_arrays" not in _plan(Q.join_scores(spark, sf_dir))
+
+
+def _reads(df, name):
+    return any(name in f for f in df.inputFiles())
+
+
+def test_group_scores_reads_stored_ranks(spark, sf_dir):
+    # the alerts were prepared, hashed and ranked again for every summary
+    assert not _reads(QA.group_scores(spark, sf_dir), "events.parquet")
