@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 
 from flowspark.functions import alerts as A
 from flowspark.operators import alerts as O
+from flowspark.session import stored
 
 
 def alert_chain(
@@ -23,7 +24,8 @@ def alert_chain(
     emitted are looked up.
     """
     alerts = O.prepare_alerts(detections)
-    fresh = O.dedup_alerts(alerts, window_s, tie=tie)
+    # first alerts are found once; ranking them reads them twice
+    fresh = stored(O.dedup_alerts(alerts, window_s, tie=tie), "fresh")
     scored = O.group_scores(fresh, idle_s, tie=tie)
     out = scored.withColumn("stix_indicator", A.stix_indicator(as_of_us))
     return out if cidr_dim is None else O.enrich_ips(out, cidr_dim, domain_dim, seen_in=detections)
