@@ -216,7 +216,8 @@ def first_rule(spark, d):
 @query("fast_detect")
 def fast_detect(spark, d):
     """Forest fitted on the flows themselves, then every flow scored."""
-    flows = scored_flows(spark, d)
+    # sessions are made once, for the count, the samples and the scores
+    flows = stored(scored_flows(spark, d), "flows")
     trees = T.iforest_fit(X.strict_vector(flows), "id")
     out = D.fast_detect(flows, trees, rules=rules(spark), threshold=0.6, mode="high")
     return D.detection_rows(out, "fast")
@@ -224,7 +225,7 @@ def fast_detect(spark, d):
 
 @query("iforest_trees")
 def iforest_trees(spark, d):
-    return T.iforest_fit(X.strict_vector(scored_flows(spark, d)), "id")
+    return T.iforest_fit(X.strict_vector(stored(scored_flows(spark, d), "flows")), "id")
 
 
 @query("supervised_detect")

@@ -72,3 +72,8 @@ def _reads(df, name):
 def test_group_scores_reads_stored_ranks(spark, sf_dir):
     # the alerts were prepared, hashed and ranked again for every summary
     assert not _reads(QA.group_scores(spark, sf_dir), "events.parquet")
+
+
+def test_fast_detect_reads_stored_flows(spark, sf_dir):
+    # sessions were made again for the count, the samples and the scores
+    assert not _reads(Q.fast_detect(spark, sf_dir), "events.parquet")
