@@ -231,6 +231,7 @@ def iforest_trees(spark, d):
 @query("supervised_detect")
 def supervised_detect(spark, d):
     labelled = scored_flows(spark, d).withColumn("label", F.when(F.contains("flow_key", F.lit(":22/")) | F.contains("flow_key", F.lit(":22->")), "1").otherwise("0"))
+    labelled = stored(labelled, "flows")
     fit = T.supervised_fit(labelled, "id", flat_ok=True)
     return D.detection_rows(D.supervised_detect(labelled, fit.model, flat_ok=True), "supervised")
 
