@@ -7,12 +7,13 @@ are added: similar sets then share at least ``need`` (two or more) signatures of
 with more empty partitions than foreseen also signs its empty ones. Sets of few elements sign subsets of their elements
 instead and need one.
 
-Equal sets are one node. Signatures travel packed, one row per task batch and bucket. The sizes of two sets tell how many
-signatures of their band they must share: as many as there are partitions, less the foreseen empty ones and the elements in
-which they may differ. Nodes that share too few with all others are left out. Nodes that share much with the best connected
-node of a signature are compared with it first, which joins groups of copies in linear work. What is left is compared only
-across the components found so far, where two nodes share enough; inside signatures that very many nodes share, pairs are
-formed only where two of them agree. Exact verification decides every link, and no candidate is dropped.
+Equal sets are one node. Signatures travel packed, one row per task batch and bucket. Two similar sets agree in all
+partitions that one of them fills, but for as many as there are elements in which they may differ. A node that shares fewer
+signatures of a band with all others together is left out of that band. Nodes that share much with the best connected node of
+a signature are compared with it first, which joins groups of copies in linear work. What is left is compared only across
+the components found so far, where two nodes share enough; inside signatures that many nodes share, pairs are formed only
+where their sketches allow a link. A sketch holds the parity of the elements per bit, so each bit in which two sketches differ
+stands for an element in which the sets differ. Exact verification decides every link, and no candidate is dropped.
 """
 
 from __future__ import annotations
@@ -37,8 +38,10 @@ from flowspark.llm.shared import written
 SMALL = 14
 #: Upper over lower end of a size band.
 BAND = 1.5
-#: Nodes outside a signature's largest component from which pairs need a second shared signature.
-CROWD = 1024
+#: Nodes outside a signature's largest component from which pairs are formed by sketches.
+CROWD = 4
+#: 64-bit words of the shortest and longest sketches, and elements per word between.
+WORDS, MOST_WORDS, PER_WORD = 4, 32, 48
 #: Nodes whose sets stand in memory together, twice, while their pairs are verified.
 NODES = 1000
 #: Band mark of the signatures of small sets.
@@ -68,6 +71,24 @@ def band_table(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return np.array(upper), np.array(parts), np.array(empty), np.array(need)
 
 
+def sketch_words(percent: int) -> np.ndarray:
+    """Words of the sketches of each band, a power of two."""
+    words = 2 ** np.ceil(np.log2(band_table(percent)[0] / PER_WORD))
+    return np.clip(words, WORDS, MOST_WORDS).astype(np.int64)
+
+
+def sketches(owner: np.ndarray, value: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(end, sketch) of sets given as sorted (set, element hash) rows: the parity of the elements at each of ``words`` times 64
+    places. The halves of a sketch, one xor the other, are the sketch of half the words."""
+    end = np.cumsum(words)
+    with np.errstate(over="ignore"):
+        place = T.mix64(value ^ np.uint64(0xA0761D6478BD642F))
+    word = (place >> np.uint64(6)) & (words[owner] - 1).astype(np.uint64)
+    out = np.zeros(end[-1] if len(end) else 0, np.uint64)
+    np.bitwise_xor.at(out, (end - words)[owner] + word.astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
+    return end, out
+
+
 def _least_common(s: int, t: int, percent: int) -> int:
     return -(-percent * (s + t) // (100 + percent))
 
@@ -86,12 +107,14 @@ def small_signatures(value: np.ndarray, percent: int, seed: np.uint64) -> Iterat
             yield np.arange(len(value)), (T.mix64(rest ^ T.mix64(kind * seed)) & ~np.uint64(127)) | np.uint64(NO_BAND << 1) | bit
 
 
-def signatures(owner: np.ndarray, value: np.ndarray, n: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(set, signature) of n sets given as sorted (set, element hash) rows; bits 1 to 6 of a signature tell its band."""
+def signatures(owner: np.ndarray, value: np.ndarray, n: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set, signature) of n sets given as sorted (set, element hash) rows; bits 1 to 6 of a signature tell its band. The
+    third result is, per set, the share of the partitions that it fills of its own and the next band, in 255ths, cut."""
     seed = np.uint64(0x9E3779B97F4A7C15)
     size = np.bincount(owner, minlength=n)
     start = np.cumsum(size) - size
     owners, found = [], []
+    filled = np.zeros((n, 2), np.uint8)
     with np.errstate(over="ignore"):
         mixed = T.mix64(value + seed)
         for s in range(1, SMALL + 1):
@@ -126,15 +149,19 @@ def signatures(owner: np.ndarray, value: np.ndarray, n: int, percent: int) -> tu
             full = np.bincount(cell, minlength=n_cells) > 0
             of = np.repeat(np.arange(len(rows)), parts[b])
             place = np.arange(n_cells) - cells[of]
-            n_empty = parts[b] - np.bincount(of[full], minlength=len(rows))
+            n_full = np.bincount(of[full], minlength=len(rows))
+            n_empty = parts[b] - n_full
+            step = b - np.where(size[rows] > SMALL, own[rows], 0)
+            known = step < 2  # a share of 0 says nothing of the others
+            filled[rows[known], step[known]] = (255 * n_full // parts[b])[known]
             sign = full | (n_empty > empty[b])[of]
             tag = T.mix64(salt[of[sign]] + place[sign].astype(np.uint64) * seed)
             owners.append(rows[of[sign]])
             found.append((T.mix64(content[sign] ^ tag) & ~np.uint64(127)) | (b[of[sign]].astype(np.uint64) << np.uint64(1)))
             band = band + 1
     if not owners:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(owners), np.concatenate(found)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), filled
+    return np.concatenate(owners), np.concatenate(found), filled
 
 
 def set_keys(owner: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
@@ -176,7 +203,8 @@ def _distinct_sets(batch: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarra
 
 
 def shared_signatures(df: DataFrame, text_col: str, n: int, percent: int) -> DataFrame:
-    """(sig, key, size) for every signature of two nodes or more."""
+    """(sig, key, size, filled) for every signature of two nodes or more; ``filled`` partitions of the signature's band hold
+    elements of the node, or some more."""
     rows = T.id_text(df, text_col, text_col).select("text")
     chars = rows.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     buckets = max(64, chars // BUCKET_CHARS)
@@ -185,7 +213,7 @@ def shared_signatures(df: DataFrame, text_col: str, n: int, percent: int) -> Dat
         for batch in T.pieces(batches):
             keys, owner, value = _distinct_sets(batch, n)
             size = np.bincount(owner, minlength=len(keys)).astype(np.uint32)
-            at, sig = signatures(owner, value, len(keys), percent)
+            at, sig, filled = signatures(owner, value, len(keys), percent)
             order = np.argsort(sig)
             at, sig = at[order], sig[order]
             with np.errstate(over="ignore"):
@@ -198,43 +226,53 @@ def shared_signatures(df: DataFrame, text_col: str, n: int, percent: int) -> Dat
                 kind = np.uint16 if len(used) < 1 << 16 else np.uint32
                 # big-endian byte planes: the leading bytes of sorted values compress away
                 planes = sig[part].astype(">u8").view(np.uint8).reshape(-1, 8).T.tobytes()
-                out.append((int(b), int(part.stop - part.start), planes, where.astype(kind).tobytes(), keys[used].tobytes(), size[used].tobytes()))
+                out.append((int(b), int(part.stop - part.start), planes, where.astype(kind).tobytes(), keys[used].tobytes(), size[used].tobytes(), filled[used].tobytes()))
             if out:
-                kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-                names = ["bucket", "n", "sigs", "at", "keys", "sizes"]
+                kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+                names = ["bucket", "n", "sigs", "at", "keys", "sizes", "filled"]
                 yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=names)
 
     def match(group: pd.DataFrame) -> pd.DataFrame:
-        sigs, keys, sizes = [], [], []
-        for n_sigs, planes, at, own, size in zip(*(group[c] for c in ("n", "sigs", "at", "keys", "sizes"))):
+        sigs, keys, sizes, shares = [], [], [], []
+        upper, parts, _, _ = band_table(percent)
+        for n_sigs, planes, at, own, size, filled in zip(*(group[c] for c in ("n", "sigs", "at", "keys", "sizes", "filled"))):
             sigs.append(np.frombuffer(planes, np.uint8).reshape(8, n_sigs).T.copy().view(">u8").ravel().astype(np.uint64))
             where = np.frombuffer(at, np.uint16 if len(at) == 2 * n_sigs else np.uint32)
             keys.append(np.frombuffer(own, np.int64)[where])
-            sizes.append(np.frombuffer(size, np.uint32)[where])
-        sig, key, size = np.concatenate(sigs), np.concatenate(keys), np.concatenate(sizes)
+            size = np.frombuffer(size, np.uint32)
+            sizes.append(size[where])
+            home = np.where(size > SMALL, np.searchsorted(upper, size), 0)[where]
+            step = ((sigs[-1] >> np.uint64(1)) & np.uint64(63)).astype(np.int64) - home
+            share = np.frombuffer(filled, np.uint8).reshape(-1, 2)[where, np.minimum(step, 1)]
+            shares.append(np.where(step < 2, share, 0).astype(np.uint8))
+        sig, key, size, share = np.concatenate(sigs), np.concatenate(keys), np.concatenate(sizes), np.concatenate(shares)
         order = np.argsort(sig, kind="stable")
-        sig, key, size = sig[order], key[order], size[order]
+        sig, key, size, share = sig[order], key[order], size[order], share[order]
         new = np.concatenate(([True], sig[1:] != sig[:-1]))
         many = np.diff(np.append(np.flatnonzero(new), len(sig))) > 1
         keep = many[np.cumsum(new) - 1]
-        sig, key, size = sig[keep], key[keep], size[keep]
+        sig, key, size, share = sig[keep], key[keep], size[keep], share[keep]
         order = np.lexsort((key, sig))
-        sig, key, size = sig[order], key[order], size[order]
+        sig, key, size, share = sig[order], key[order], size[order], share[order]
         first = np.ones(len(sig), bool)
         first[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
-        sig, key, size = sig[first], key[first], size[first]
+        sig, key, size, share = sig[first], key[first], size[first], share[first]
         start = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))) if len(sig) else np.zeros(0, np.int64)
         count = np.diff(np.append(start, len(sig)))
         two = np.repeat(count, count) > 1
         T.give_back()
-        return pd.DataFrame({"sig": sig.view(np.int64), "key": key, "size": size.astype(np.int64)})[two]
+        band = ((sig >> np.uint64(1)) & np.uint64(63)).astype(np.int64)
+        cells = np.where(band < len(parts), parts[np.minimum(band, len(parts) - 1)], 0)
+        filled = share.astype(np.int64) * cells // 255
+        return pd.DataFrame({"sig": sig.view(np.int64), "key": key, "size": size.astype(np.int64), "filled": filled})[two]
 
-    packed = rows.mapInArrow(sign, "bucket int, n int, sigs binary, at binary, keys binary, sizes binary")
-    return packed.groupBy("bucket").applyInPandas(match, "sig long, key long, size long")
+    packed = rows.mapInArrow(sign, "bucket int, n int, sigs binary, at binary, keys binary, sizes binary, filled binary")
+    return packed.groupBy("bucket").applyInPandas(match, "sig long, key long, size long, filled long")
 
 
-def node_sets(df: DataFrame, text_col: str, wanted: DataFrame, n: int, bits: int) -> DataFrame:
-    """(key, elements) of the nodes in ``wanted`` (column key): sorted element hashes as bytes.
+def node_sets(df: DataFrame, text_col: str, wanted: DataFrame, n: int, bits: int, percent: int) -> DataFrame:
+    """(key, elements, sketch) of the nodes in ``wanted`` (column key): sorted element hashes as bytes, and the sketch for the
+    highest band that the node signs.
 
     A bitmap of fixed size keeps most other sets from being sent; the join after it is exact.
     """
@@ -243,15 +281,22 @@ def node_sets(df: DataFrame, text_col: str, wanted: DataFrame, n: int, bits: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
+        upper, words = band_table(percent)[0], sketch_words(percent)
         for batch in T.pieces(batches):
             keys, owner, value = _distinct_sets(batch, n)
             cuts = np.searchsorted(owner, np.arange(len(keys) + 1))
             rows = np.flatnonzero(held(known, keys, bits))
             got = [value[cuts[i] : cuts[i + 1]].tobytes() for i in rows]
-            yield pa.RecordBatch.from_arrays([pa.array(keys[rows].view(np.int64)), pa.array(got, pa.binary())], names=["key", "elements"])
+            index = np.full(len(keys), -1)
+            index[rows] = np.arange(len(rows))
+            inside = index[owner] >= 0
+            last = np.searchsorted(upper, np.diff(cuts)[rows] * 100 // percent)
+            end, sketch = sketches(index[owner[inside]], value[inside], words[last])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], end)), pa.int32()), pa.array(sketch.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[rows].view(np.int64)), pa.array(got, pa.binary()), lists], names=["key", "elements", "sketch"])
 
-    sets = T.id_text(df, text_col, text_col).select("text").mapInArrow(run, "key long, elements binary")
-    return sets.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("elements").alias("elements"))
+    sets = T.id_text(df, text_col, text_col).select("text").mapInArrow(run, "key long, elements binary, sketch array<long>")
+    return sets.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("elements").alias("elements"), F.first("sketch").alias("sketch"))
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -264,7 +309,7 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     dealt = pairs.select("hub", "key", F.pmod(F.hash("hub"), F.lit(blocks)).alias("x"), F.pmod(F.hash("key"), F.lit(blocks)).alias("y"))
     wanted = dealt.select("x", "y", F.explode(F.array("hub", "key")).alias("key")).distinct()
     none = F.lit(None)
-    rows = wanted.join(sets, "key").select("x", "y", none.cast("long").alias("hub"), "key", "elements")
+    rows = wanted.join(sets.select("key", "elements"), "key").select("x", "y", none.cast("long").alias("hub"), "key", "elements")
     rows = rows.unionByName(dealt.select("x", "y", "hub", "key", none.cast("binary").alias("elements")))
     rows = rows.repartition("x", "y").sortWithinPartitions("x", "y", F.col("hub").asc_nulls_first())
 
@@ -306,33 +351,61 @@ def _home(size: str, percent: int) -> Column:
     return out
 
 
-def _need(home: Column, both: Column, percent: int) -> Column:
-    """Signatures of band ``home`` that similar sets share at least, whose sizes add up to ``both``."""
-    _, parts, empty, _ = band_table(percent)
-    cells = F.element_at(F.array(*[F.lit(int(n)) for n in parts - empty]), F.greatest(home, F.lit(0)) + 1)
-    return F.when(home < 0, 1).otherwise(cells - F.floor(both * (100 - percent) / F.lit(100 + percent)))
+def _of_band(band: Column, values: np.ndarray, small: int) -> Column:
+    """The value of each band, ``small`` for the mark of small sets."""
+    return F.when(band == NO_BAND, small).otherwise(F.get(F.array(*[F.lit(int(v)) for v in values]), band))
+
+
+def _band() -> Column:
+    return F.shiftright("sig", 1).bitwiseAND(F.lit(63)).cast("int")
 
 
-def _across(members: DataFrame, by: list[str], percent: int) -> DataFrame:
-    """Pairs of nodes that share ``by`` and lie in different components: (hub, key, shared, need, crowds), with the rows they
-    share, the signatures that a link needs, and the crowded signatures that they can share besides.
+def _apart(both: Column, percent: int) -> Column:
+    """Elements in which similar sets may differ whose sizes add up to ``both``."""
+    return F.floor(both * (100 - percent) / F.lit(100 + percent))
+
+
+def _folded(sketch: Column, words: Column) -> Column:
+    """The sketch of fewer words."""
+    for w in (words * 2, words):
+        half = F.zip_with(F.slice(sketch, F.lit(1), w), F.slice(sketch, w + 1, w), lambda x, y: x.bitwiseXOR(y))
+        sketch = F.when(F.size(sketch) == 2 * w, half).otherwise(sketch)
+    return sketch
+
+
+def _may_link(apart: Column) -> Column:
+    """Whether two sketches (columns s, sketch) differ in ``apart`` bits at most, or one is missing. The first words decide
+    for most pairs."""
+    first = [F.coalesce(F.bit_count(F.get("s", F.lit(i)).bitwiseXOR(F.get("sketch", F.lit(i)))), F.lit(0)) for i in range(2 * WORDS)]
+    bits = F.zip_with("s", "sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    whole = F.aggregate(bits, F.lit(0), lambda x, y: x + y)
+    return F.coalesce(F.size("s") != F.size("sketch"), F.lit(True)) | ((sum(first[1:], first[0]) <= apart) & (whole <= apart))
+
+
+def _formed(members: DataFrame, percent: int) -> DataFrame:
+    """A row (a, key, f, filled, apart) for each signature that two nodes of different components share.
 
     Every such pair has a node outside the largest component (column ``main``) of what it shares, so only those nodes look
     for partners: a group of copies and a stray make as many pairs as the group has members. Signatures count in the band of
-    the larger set.
+    the larger set. Sketches decide before a pair is formed.
     """
     strays = members.filter(F.col("component") != F.col("main")).select(
-        *by, F.col("key").alias("a"), F.col("size").alias("n"), F.col("home").alias("h"), F.col("crowds").alias("w"), F.col("component").alias("c")
-    )
-    band = F.shiftright("sig", 1).bitwiseAND(F.lit(63))
+        "sig", F.col("key").alias("a"), F.col("size").alias("n"), F.col("home").alias("h"), F.col("filled").alias("f"), F.col("component").alias("c"),
+        F.col("sketch").alias("s"),
+    )
     odd = F.col("sig").bitwiseAND(F.lit(1)) == 1
-    pairs = strays.join(members, by).filter((F.col("c") != F.col("component")) & _close("n", "size", percent))
+    apart = _apart(F.col("n") + F.col("size"), percent)
+    pairs = strays.join(members, "sig").filter((F.col("c") != F.col("component")) & _close("n", "size", percent))
     once = (F.col("component") == F.col("main")) | (F.col("a") < F.col("key"))
-    home = F.greatest("h", "home")
-    pairs = pairs.filter(once & (~odd | (F.col("n") != F.col("size"))) & ((band == NO_BAND) | (band == home)))
-    return pairs.groupBy(F.least("a", "key").alias("hub"), F.greatest("a", "key").alias("key")).agg(
-        F.count("*").alias("shared"), F.max(_need(home, F.col("n") + F.col("size"), percent)).alias("need"), F.max(F.least("w", "crowds")).alias("crowds")
-    )
+    pairs = pairs.filter(once & (~odd | (F.col("n") != F.col("size"))) & ((_band() == NO_BAND) | (_band() == F.greatest("h", "home"))))
+    return pairs.filter(_may_link(apart)).select("a", "key", "f", "filled", apart.alias("apart"))
+
+
+def _across(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (hub, key) of nodes that share enough signatures and lie in different components."""
+    need = F.greatest(F.greatest("f", "filled") - F.col("apart"), F.lit(1))
+    pairs = _formed(members, percent).groupBy(F.least("a", "key").alias("hub"), F.greatest("a", "key").alias("key"))
+    return pairs.agg(F.count("*").alias("shared"), F.max(need).alias("need")).filter("shared >= need").select("hub", "key")
 
 
 def _largest(members: DataFrame, by: list[str]) -> DataFrame:
@@ -347,37 +420,30 @@ def _largest(members: DataFrame, by: list[str]) -> DataFrame:
 def links_and_components(df: DataFrame, text_col: str = "text", n: int = 5, percent: int = 80, bits: int = 24) -> tuple[DataFrame, DataFrame]:
     """(links, membership): verified links (hub, key) between nodes that join every component, and (key, component) of all
     nodes with a link. Two nodes are in one component exactly if a chain of similar sets leads from one to the other."""
-    every = written(shared_signatures(df, text_col, n, percent), "signatures")
-    # a node that shares fewer signatures with all others together than with one similar set has no link
-    most = F.floor(F.col("size") * (100 + percent) / F.lit(percent))  # its size and the largest partner's
-    nodes = every.groupBy("key", "size").agg(F.count("*").alias("n")).withColumn("home", _home("size", percent))
-    nodes = written(nodes.filter(F.col("n") >= F.greatest(F.lit(1), _need(F.col("home"), most, percent))), "nodes")
-    sets = written(node_sets(df, text_col, nodes, n, bits), "sets")
+    every = written(shared_signatures(df, text_col, n, percent), "signatures").withColumn("band", _band())
+    # a node that shares fewer signatures of a band with all others together than with one similar set has no link there
+    most = F.least(F.floor(F.col("size") * 100 / F.lit(percent)), _of_band(F.col("band"), band_table(percent)[0], SMALL))
+    need = F.greatest(F.lit(1), F.col("filled") - _apart(F.col("size") + most, percent))
+    nodes = every.groupBy("key", "band", "size", "filled").agg(F.count("*").alias("n")).filter(F.col("n") >= need)
+    nodes = written(nodes.withColumn("home", _home("size", percent)), "nodes")
+    sets = written(node_sets(df, text_col, nodes.select("key").distinct(), n, bits, percent), "sets")
     # which pairs are tried first changes the work, not the result: those that share much, by a quarter of the signatures
-    few = every.filter((F.pmod(F.shiftright("sig", 8), F.lit(4)) == 0) | (F.col("size") <= 64)).select("sig", "key").join(nodes, "key")
+    few = every.filter((F.pmod(F.shiftright("sig", 8), F.lit(4)) == 0) | (F.col("size") <= 64)).select("sig", "key", "band")
+    few = few.join(nodes, ["key", "band"]).select("sig", "key", "n", "size")
     best = few.groupBy("sig").agg(F.max(F.struct("n", "key", "size")).alias("best")).select("sig", F.col("best.key").alias("hub"), F.col("best.size").alias("m"))
     stars = few.join(best, "sig").filter((F.col("key") != F.col("hub")) & _close("m", "size", percent))
     stars = stars.groupBy("hub", "key", "size").agg(F.count("*").alias("shared")).filter("80 * shared >= size").select("hub", "key")
     first = written(linked(stars, sets, percent), "links")
     found = written(components(first, "hub", "key"), "components")
     named = nodes.join(found.select(F.col("node").alias("key"), "component"), "key", "left")
-    named = named.select("key", "size", "home", F.coalesce("component", "key").alias("component"))
-    shared = every.select("sig", "key").join(named, "key")
+    named = named.select("key", "band", "size", "filled", "home", F.coalesce("component", "key").alias("component"))
+    shared = every.select("sig", "key", "band").join(named, ["key", "band"])
     members = written(shared.join(_largest(shared, ["sig"]), "sig"), "members")
-    crowds = members.filter(F.col("strays") > CROWD).groupBy("key").agg(F.count("*").alias("crowds"))
-    members = members.join(crowds, "key", "left").select("sig", "key", "size", "home", "component", "main", "strays", F.coalesce("crowds", F.lit(0)).alias("crowds"))
-    calm, crowded = members.filter(F.col("strays") <= CROWD).drop("strays"), members.filter(F.col("strays") > CROWD).drop("strays")
-    small = _across(calm, ["sig"], percent).filter("shared + crowds >= need")
-    # sets of few elements share one signature for sure, larger ones two
-    lone = _across(crowded.filter(F.col("size") <= SMALL), ["sig"], percent)
-    two = crowded.groupBy("key", "size", "home", "crowds", "component").agg(F.array_sort(F.collect_set("sig")).alias("s"))
-    pairs_of = F.flatten(F.transform("s", lambda x, i: F.transform(F.slice("s", i + 2, F.greatest(F.size("s") - i - 1, F.lit(0))), lambda y: F.struct(x.alias("sig"), y.alias("sig2")))))
-    # two signatures of one band
-    same = lambda p: F.shiftright(p["sig"], 1).bitwiseAND(F.lit(63)) == F.shiftright(p["sig2"], 1).bitwiseAND(F.lit(63))
-    two = two.select("key", "size", "home", "crowds", "component", F.explode(F.filter(pairs_of, same)).alias("p"))
-    two = two.select("key", "size", "home", "crowds", "component", "p.sig", "p.sig2")
-    two = two.join(_largest(two, ["sig", "sig2"]).drop("strays"), ["sig", "sig2"])
-    rest = small.unionByName(lone).unionByName(_across(two, ["sig", "sig2"], percent)).select("hub", "key").distinct()
+    crowded = members.filter(F.col("strays") > CROWD).join(sets.select("key", "sketch"), "key")
+    words = _of_band(F.col("band"), sketch_words(percent), WORDS)
+    crowded = written(crowded.withColumn("sketch", _folded(F.col("sketch"), words)), "crowded")
+    calm = members.filter(F.col("strays") <= CROWD).withColumn("sketch", F.lit(None).cast("array<long>"))
+    rest = _across(calm.unionByName(crowded), percent)
     second = written(linked(rest, sets, percent), "links")
     links = first.unionByName(second)
     top = components(

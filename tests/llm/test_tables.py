@@ -6,6 +6,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,6 +110,51 @@ def test_jaccard_components(spark, monkeypatch, crowd):
     assert got == brute_components(rows)
 
 
+def test_jaccard_pairs_of_heavily_edited_copies(spark, monkeypatch):
+    """Copies of one text that differ too much make no pairs, and texts that share a passage only aren't nodes."""
+    rng = random.Random(11)
+    base, passage = prose(150, rng), prose(40, rng)
+
+    def changed(text, n):
+        w = text.split(" ")
+        for i in rng.sample(range(2, len(w), 6), n):
+            w[i] = f"new{rng.random()}"
+        return " ".join(w)
+
+    texts = [base] + [changed(base, rng.choice((1, 2, 3, 6, 7, 8))) for _ in range(120)] + [f"{passage} {prose(120, rng)}" for _ in range(60)]
+    rows = [(i, t, i, "clash") for i, t in enumerate(texts)]
+    counts = {"nodes": [], "pairs": []}
+
+    def counted(name, what):
+        inner = getattr(jaccard_join, name)
+
+        def run(*args):
+            counts[what].append(args[2].distinct().count() if what == "nodes" else inner(*args).count())
+            return inner(*args)
+
+        monkeypatch.setattr(jaccard_join, name, run)
+
+    counted("node_sets", "nodes")
+    counted("_formed", "pairs")
+    df = spark.createDataFrame(rows, "doc_id long, text string, key long, hub string")
+    got = sorted(tuple(r) for r in jaccard_join.join_components(df).collect())
+    assert got == brute_components(rows)
+    assert counts["nodes"][0] <= 121 and counts["pairs"][0] <= 1000
+
+
+def test_sketches_differ_in_no_more_bits_than_the_sets():
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 1 << 63, 200).astype(np.uint64)
+    sets = [np.sort(a), np.sort(np.concatenate((a[20:], rng.integers(0, 1 << 63, 30).astype(np.uint64)))), a[:0]]
+    owner = np.repeat(np.arange(3), [len(s) for s in sets])
+    end, bits = jaccard_join.sketches(owner, np.concatenate(sets), np.array([8, 8, 4]))
+    x, y = bits[:8], bits[8:16]
+    assert end.tolist() == [8, 16, 20] and not bits[16:].any()
+    assert 25 < np.bitwise_count(x ^ y).sum() <= 50
+    _, half = jaccard_join.sketches(owner, np.concatenate(sets), np.array([4, 4, 4]))
+    assert (half[:4] == x[:4] ^ x[4:]).all()
+
+
 def test_keep_first_keeps_one_of_each_group(spark):
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string, key long, hub string")
