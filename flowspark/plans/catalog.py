@@ -29,6 +29,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return compiled(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, *key: str) -> DataFrame:
+    """Rows dealt over all tasks by ``key``, for work that follows a scan without a shuffle. A file is split at its row groups
+    only: a table of one large group (as the given ones are) would be worked on by one task. The number of tasks is named, so
+    that they aren't joined again for their few bytes: the work is in what is made of them."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+
+
 def q4(c: Column | str) -> Column:
     """Round to 4 places for comparison; the offset keeps exact halves away from the cut."""
     value = F.col(c) if isinstance(c, str) else c

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from flowspark.functions.keys import directed_key, strip_mapped_ipv4
 from flowspark.functions.times import epoch_from_rfc3339, zeek_ts
 from flowspark.plans import views as V
-from flowspark.plans.catalog import query, table
+from flowspark.plans.catalog import dealt, query, table
 from flowspark.sources import cloud, frames, netflow, tables, zeek
 
 _LINE_SQL = f"""
@@ -29,7 +29,7 @@ li AS (
 def _lines(spark, d):
     supp, part, no = F.col("l_suppkey"), F.col("l_partkey"), F.col("l_linenumber")
     key = F.col("l_orderkey") * 8 + no
-    return table(spark, d, "lineitem").select(
+    return dealt(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber").select(
         "*",
         key.alias("id"),
         F.unix_seconds(F.col("l_shipdate").cast("timestamp")).alias("secs"),

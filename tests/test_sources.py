@@ -277,3 +277,12 @@ def test_sliding_windows(spark, monkeypatch, width):
     assert windows([("", t, [t]) for t in range(6)], 3) == []
     long = windows([("a", t, [t]) for t in range(40)], 5)
     assert [w[2] for w in long] == [[float(s + i) for i in range(5)] for s in range(36)]
+
+
+@pytest.mark.parametrize("lines", ["aws_lines", "gcp_lines", "azure_docs"])
+def test_lines_of_one_row_group_are_parsed_by_many_tasks(spark, sf_dir, lines):
+    from flowspark.plans import q_sources
+
+    df = getattr(q_sources, lines)(spark, sf_dir)
+    assert spark.read.parquet(f"{sf_dir}/lineitem.parquet").rdd.getNumPartitions() == 1
+    assert df.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
