@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowspark.functions.keys import directed_key
-from flowspark.plans.catalog import table
+from flowspark.plans.catalog import dealt, table
 
 CRLF = "\r\n"
 
@@ -130,7 +130,7 @@ canon AS (
 
 def bulk_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One packet per line item between a supplier host and a part host."""
-    line = table(spark, sf_dir, "lineitem")
+    line = dealt(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
     supp, part = F.col("l_suppkey"), F.col("l_partkey")
     host, peer = _ip("10.", supp), _ip("172.", part % 97)
     outward = F.col("l_returnflag") != "R"

@@ -286,3 +286,9 @@ def test_lines_of_one_row_group_are_parsed_by_many_tasks(spark, sf_dir, lines):
     df = getattr(q_sources, lines)(spark, sf_dir)
     assert spark.read.parquet(f"{sf_dir}/lineitem.parquet").rdd.getNumPartitions() == 1
     assert df.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_bulk_packets_of_one_row_group_are_made_by_many_tasks(spark, sf_dir):
+    from flowspark.plans import views
+
+    assert views.bulk_packets(spark, sf_dir).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
