@@ -14,12 +14,11 @@ from flowspark.functions.keys import ip_prefix, ipv4_to_long, ipv6_groups
 from flowspark.functions.times import micros
 from flowspark.operators.ordered import CHUNK, ROW, Ordered, chunk_of, earlier, in_runs, run_width, runs, with_carry
 from flowspark.schemas import IP_INFO, SEVERITIES
-from flowspark.session import stored
 
 MICRO = 1_000_000
 #: Width of a key's chunks in ordered passes: alerts are rare enough for an hour of one key to be a task's work.
 WIDTH_US = 3600 * MICRO
-#: Alerts that a task scores, but for those of one key and chunk.
+#: Groups of up to this many alerts are scored whole by one task; those of larger ones in chunks.
 PART = 25_000
 
 
@@ -123,9 +122,12 @@ def dedup_runs(alerts: DataFrame, window_s: int = 300, tie: str = "alert_id") ->
 
 def dedup_alerts(alerts: DataFrame, window_s: int = 300, keep: str = "first", tie: str = "alert_id") -> DataFrame:
     """The first alert of every run, alone or with the merged run beside it (``keep="merged"``)."""
-    runs_ = dedup_runs(alerts, window_s, tie)
     if keep == "first":
-        return runs_.filter("is_first").dropDuplicates(["dedup_key", "run_us"]).drop("is_first", "run_us")
+        # a run starts with a chunk's first alert: that one, not each alert, is what the chunks' summaries carry
+        rest = [c for c in alerts.columns if c != "dedup_key"]
+        spans = runs(alerts, ["dedup_key"], "ts_us", window_s * MICRO, _row=F.min_by(F.struct(*rest), F.struct("ts_us", tie)))
+        return spans.filter("is_new").select(*[c if c == "dedup_key" else F.col("_row")[c].alias(c) for c in alerts.columns])
+    runs_ = dedup_runs(alerts, window_s, tie)
     return merge_duplicates(runs_, ["dedup_key", "run_us"], tie)
 
 
@@ -203,68 +205,100 @@ def _ranked(df: DataFrame, idle_us: int, tie: str) -> DataFrame:
     return rows.drop(CHUNK, ROW, "_span")
 
 
-def group_scores(alerts: DataFrame, idle_s: int = 3600, tie: str = "alert_id") -> DataFrame:
-    """Correlation score of the group at each arrival, in one linear pass per match class.
+def _ranked_whole(df: DataFrame, idle_us: int, tie: str) -> DataFrame:
+    """As ``_ranked``, for groups that fit a task."""
+    order = Window.partitionBy("group_id").orderBy("ts_us", tie)
+    ts, before = F.col("ts_us"), F.lag("ts_us").over(order)
+    df = df.withColumn("_new", before.isNull() | (ts - before > idle_us))
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("session_us", F.max(F.when(F.col("_new"), ts)).over(upto))
+    place = F.row_number().over(Window.partitionBy("group_id", "session_us").orderBy("ts_us", tie))
+    return df.withColumn("_k", (place - 1).cast("long")).drop("_new")
 
-    The score of arrival k is the mean of score(a_i, a_k) over its earlier members, weighted
-    k - i. Inside a group only port, protocol and time proximity vary, so that sum splits into
-    classes (port match x protocol match x closer than an hour), and in each class it needs
-    just the prefix sums of 1, i, t and i*t. No pair is ever formed, whatever the group size.
-    Prefix sums run inside chunks of an hour; each class has carry rows for what came before.
-    """
-    df = with_micros(alerts).withColumn("group_id", A.single_correlation_id())
-    # ranks are made once, for the summaries and the rows
-    rows = stored(_ranked(df, idle_s * MICRO, tie).withColumn("_t", (F.col("ts_us") - F.col("session_us")).cast("double")), "ranked")
-    # a task sorts four times and holds what it sorts: about PART alerts of it, however many there are
-    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // PART)
-    cols = rows.columns
-    # every member also arrives a second time when it turns one hour old (kind 0, before
-    # a real arrival of that instant): prefix sums over those rows count the far members
-    hour = 3600 * MICRO
+
+#: What has to match in a class of members.
+CLASSES = {"a": [], "p": ["dst_port"], "q": ["protocol"], "b": ["dst_port", "protocol"]}
+GROUP = ["group_id", "session_us"]
+HOUR_US = 3600 * MICRO
+
+
+def _arrivals(ranked: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Every member, and the same once more when it turns one hour old (kind 0, before a real arrival of that instant), and
+    the columns to be summed: prefix sums over those rows count the far members."""
+    rows = ranked.withColumn("_t", (F.col("ts_us") - F.col("session_us")).cast("double"))
     both = rows.withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(0)))).withColumn(
-        "_at", F.col("ts_us") + F.when(F.col("_copy") == 0, F.lit(hour)).otherwise(F.lit(0))
+        "_at", F.col("ts_us") + F.when(F.col("_copy") == 0, F.lit(HOUR_US)).otherwise(F.lit(0))
     )
-    group = ["group_id", "session_us"]
-    classes = {
-        "a": [],
-        "p": ["dst_port"],
-        "q": ["protocol"],
-        "b": ["dst_port", "protocol"],
-    }
     k, t = F.col("_k").cast("double"), F.col("_t")
     terms = {"c": F.lit(1.0), "i": k, "t": t, "it": k * t}
     real = F.col("_copy") == 1
     # a member counts as near until its second arrival takes it away again; far ones have no time part
     values = {f"_x_near_{s}": F.when(real, v).otherwise(-v) for s, v in terms.items()}
     values |= {f"_x_far_{s}": F.when(~real, terms[s]).otherwise(0.0) for s in ("c", "i")}
-    both = both.withColumns({**values, CHUNK: chunk_of("_at", WIDTH_US)})
-    summary = stored(both.groupBy(*group, CHUNK, *classes["b"]).agg(*[F.sum(n).alias(n) for n in values]), "summary")
+    return both.withColumns(values), list(values)
+
+
+def _summed_whole(both: DataFrame, values: list[str], tie: str) -> DataFrame:
+    """The class sums up to each arrival, for groups that fit a task."""
+    for name, extra in CLASSES.items():
+        upto = Window.partitionBy(*GROUP, *extra).orderBy("_at", "_copy", tie).rowsBetween(Window.unboundedPreceding, 0)
+        both = both.withColumns({n.replace("_x", f"_{name}", 1): F.sum(n).over(upto) for n in values})
+    return both.drop(*values)
+
+
+def _summed_chunks(both: DataFrame, values: list[str], tie: str) -> DataFrame:
+    """The class sums up to each arrival: inside chunks of an hour, each class has carry rows for what came before."""
+    both = both.withColumn(CHUNK, chunk_of("_at", WIDTH_US))
+    summary = both.groupBy(*GROUP, CHUNK, *CLASSES["b"]).agg(*[F.sum(n).alias(n) for n in values])
     carries = None
-    for name, extra in classes.items():
-        one = summary if name == "b" else summary.groupBy(*group, CHUNK, *extra).agg(*[F.sum(n).alias(n) for n in values])
-        past = earlier([*group, *extra])
-        one = one.select(*group, CHUNK, *extra, F.lit(name).alias("_class"), *[F.sum(n).over(past).alias(n) for n in values]).filter("_x_far_c is not null")
+    for name, extra in CLASSES.items():
+        one = summary if name == "b" else summary.groupBy(*GROUP, CHUNK, *extra).agg(*[F.sum(n).alias(n) for n in values])
+        past = earlier([*GROUP, *extra])
+        one = one.select(*GROUP, CHUNK, *extra, F.lit(name).alias("_class"), *[F.sum(n).over(past).alias(n) for n in values]).filter("_x_far_c is not null")
         carries = one if carries is None else carries.unionByName(one, allowMissingColumns=True)
-    both = with_carry(both, carries).repartition(parts, *group, CHUNK)
-    for name, extra in classes.items():
-        upto = Window.partitionBy(*group, CHUNK, *extra).orderBy(ROW, "_at", "_copy", tie).rowsBetween(Window.unboundedPreceding, 0)
+    parts = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = with_carry(both, carries).repartition(parts, *GROUP, CHUNK)
+    for name, extra in CLASSES.items():
+        upto = Window.partitionBy(*GROUP, CHUNK, *extra).orderBy(ROW, "_at", "_copy", tie).rowsBetween(Window.unboundedPreceding, 0)
         counts = (F.col(ROW) == 1) | (F.col("_class") == name)
         both = both.withColumns({n.replace("_x", f"_{name}", 1): F.sum(F.when(counts, F.col(n))).over(upto) for n in values})
-    both = both.filter(F.col(ROW) == 1)
-    scored = both.filter(real)
+    return both.filter(F.col(ROW) == 1).drop(CHUNK, ROW, "_class", *values)
+
+
+def group_scores(alerts: DataFrame, idle_s: int = 3600, tie: str = "alert_id") -> DataFrame:
+    """Correlation score of the group at each arrival, in one linear pass per match class.
+
+    The score of arrival k is the mean of score(a_i, a_k) over its earlier members, weighted
+    k - i. Inside a group only port, protocol and time proximity vary, so that sum splits into
+    classes (port match x protocol match x closer than an hour), and in each class it needs
+    just the prefix sums of 1, i, t and i*t. No pair is ever formed, whatever the group size.
+    Rows are shuffled once, by their group; groups of more than PART alerts, in which no task
+    holds more than an hour, pass through summaries and carry rows besides.
+    """
+    df = with_micros(alerts).withColumn("group_id", A.single_correlation_id())
+    cols, idle_us = [*df.columns, *([] if "session_us" in df.columns else ["session_us"])], idle_s * MICRO
+    # at most one row per PART alerts
+    large = F.broadcast(df.groupBy("group_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > PART).select("group_id"))
+    # the number of tasks is named: they hold the copies and sums too, far more than is shuffled for them
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    whole, values = _arrivals(_ranked_whole(df.join(large, "group_id", "left_anti").repartition(parts, "group_id"), idle_us, tie))
+    hot, _ = _arrivals(_ranked(df.join(large, "group_id", "left_semi"), idle_us, tie))
+    both = _summed_whole(whole, values, tie).unionByName(_summed_chunks(hot, values, tie))
+    scored = both.filter(F.col("_copy") == 1)
 
     def zero_unless(name: str, c: Column) -> Column:
         """A null or zero port (protocol) never matches."""
-        guards = {"a": [], "p": ["dst_port"], "q": ["protocol"], "b": ["dst_port", "protocol"]}[name]
         ok = F.lit(True)
-        for g in guards:
+        for g in CLASSES[name]:
             ok = ok & F.coalesce(F.col(g) != 0, F.lit(False))
         return F.when(ok, c).otherwise(0.0)
 
+    k, t = F.col("_k").cast("double"), F.col("_t")
+
     def sums_of(kind: str) -> dict[str, dict[str, Column]]:
         got: dict[str, dict[str, Column]] = {}
-        used = list(terms) if kind == "near" else ["c", "i"]
-        for name in classes:
+        used = ["c", "i", "t", "it"] if kind == "near" else ["c", "i"]
+        for name in CLASSES:
             for s in used:
                 got.setdefault(name, {})[s] = zero_unless(name, F.col(f"_{name}_{kind}_{s}"))
         exact: dict[tuple[int, int], dict[str, Column]] = {}
@@ -291,7 +325,7 @@ def group_scores(alerts: DataFrame, idle_s: int = 3600, tie: str = "alert_id") -
             value = fixed * weight
             if kind == "near":
                 lag = k * t * s["c"] - k * s["t"] - t * s["i"] + s["it"]
-                value = value + A.POINTS["time"] * (weight - lag / float(hour))
+                value = value + A.POINTS["time"] * (weight - lag / float(HOUR_US))
             total = total + value / F.greatest(n, F.lit(1))
     pairs = k * (k + 1) / 2
     return scored.withColumn(

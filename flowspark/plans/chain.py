@@ -24,8 +24,14 @@ def alert_chain(
     emitted are looked up.
     """
     alerts = O.prepare_alerts(detections)
-    # first alerts are found once; ranking them reads them twice
-    fresh = stored(O.dedup_alerts(alerts, window_s, tie=tie), "fresh")
-    scored = O.group_scores(fresh, idle_s, tie=tie)
-    out = scored.withColumn("stix_indicator", A.stix_indicator(as_of_us))
-    return out if cidr_dim is None else O.enrich_ips(out, cidr_dim, domain_dim, seen_in=detections)
+    # what can be told from a detection is made again of the alerts that are left, instead of being moved along
+    bare = alerts.select(*dict.fromkeys([*detections.columns, "ts_us", "dedup_key"]))
+    # first alerts are found once; counting and scoring their groups reads them several times
+    fresh = stored(O.dedup_alerts(bare, window_s, tie=tie), "fresh")
+    out = O.group_scores(fresh, idle_s, tie=tie)
+    names = [*alerts.columns, *[c for c in out.columns if c not in alerts.columns], "stix_indicator"]
+    if cidr_dim is not None:
+        out = O.enrich_ips(out, cidr_dim, domain_dim, seen_in=fresh)
+        ends = ["dst_ip", "src_ip"]
+        names = [*ends, *[c for c in names if c not in ends], *[c for c in out.columns if c.endswith("_enrichment")]]
+    return O.prepare_alerts(out).withColumn("stix_indicator", A.stix_indicator(as_of_us)).select(*names)

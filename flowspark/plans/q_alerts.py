@@ -12,6 +12,7 @@ from flowspark.operators import board as B
 from flowspark.plans import views as V
 from flowspark.plans.catalog import q4, query, sql_q4, table
 from flowspark.plans.chain import alert_chain
+from flowspark.session import stored
 
 _SEVERITY = """CASE WHEN contains(alert_type, 'fast_path') THEN 'warning' WHEN contains(alert_type, 'deep_path') THEN 'error'
     WHEN contains(alert_type, 'xgboost_supervised') THEN 'critical' ELSE 'warning' END"""
@@ -250,7 +251,8 @@ def group_scores(spark, d):
             "dst_ip": F.lit("b"),
         }
     )
-    out = O.group_scores(df, 86_400, tie="event_id")
+    # counted by group, and then scored
+    out = O.group_scores(stored(df, "alerts"), 86_400, tie="event_id")
     return out.select(
         "event_id", "group_id", "session_us", F.col("group_rank").cast("long").alias("group_rank"),
         q4("correlation_score").alias("correlation_score"),

@@ -79,7 +79,11 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
-    """The rows as a Parquet table in the shared folder: computed once, and each later use reads only the columns it needs."""
+    """The rows as a Parquet table in the shared folder: computed once, and each later use reads only the columns it needs.
+
+    What was shuffled for it is deleted with the table's last task, not when the driver happens to collect its garbage.
+    """
     path = f"{checkpoint_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with set_for(df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

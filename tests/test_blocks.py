@@ -1,5 +1,8 @@
 """Windows kept in blocks: the same windows, splits, means and components as windows written out; vectors are built once."""
 
+import os
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +13,7 @@ from flowspark.operators.sequences import sliding_sequences, window_blocks
 from flowspark.plans import q_alerts as QA
 from flowspark.plans import q_detect as Q
 from flowspark.schemas import FEATURES
+from flowspark.session import stored
 
 WIDTH = len(FEATURES)
 
@@ -77,3 +81,20 @@ def test_group_scores_reads_stored_ranks(spark, sf_dir):
 def test_fast_detect_reads_stored_flows(spark, sf_dir):
     # sessions were made again for the count, the samples and the scores
     assert not _reads(Q.fast_detect(spark, sf_dir), "events.parquet")
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    # they stayed until the driver collected its garbage
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+
+    def files():
+        return {f for d in folders for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_")}
+
+    before = files()
+    stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before
+    spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().write.format("noop").mode("overwrite").save()
+    assert files() - before

@@ -130,6 +130,18 @@ def test_group_scores_of_a_hot_group(spark, sf_dir, monkeypatch):
     assert plain == split
 
 
+def test_group_scores_of_large_and_small_groups(spark, sf_dir, monkeypatch):
+    alerts = O.prepare_alerts(V.detections(spark, sf_dir)).withColumns(
+        {"flow_key": F.concat(F.lit("f"), F.floor(F.sqrt(F.col("event_id")))), "src_ip": F.lit("a"), "dst_ip": F.lit("b")}
+    ).withColumn("ts_us", F.when(F.col("event_id") % 50 != 0, F.col("ts_us")))
+    cols = ["event_id", "session_us", "group_rank", F.round("correlation_score", 8).alias("s")]
+    found = []
+    for part in (25_000, 30, 0):  # all groups whole, some of them, none
+        monkeypatch.setattr(O, "PART", part)
+        found.append(sorted(map(str, O.group_scores(alerts, 86_400, tie="event_id").select(*cols).collect())))
+    assert found[0] == found[1] == found[2]
+
+
 def test_ordinals(spark, skewed):
     got = global_ordinal(skewed, ["ts_us", "n"]).orderBy("ordinal").collect()
     assert [r["ordinal"] for r in got] == list(range(900))
