@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from flowspark.functions import packets as P
 from flowspark.functions.keys import CANONICAL, canonical_flow, flow_id, is_forward
-from flowspark.operators.ordered import CHUNK, ROW, WIDTH_US, Ordered, chunk_of, earlier, in_runs, run_width, runs, with_carry
+from flowspark.operators.ordered import CHUNK, ROW, WIDTH_US, Ordered, chunk_of, earlier, run_width, runs, with_carry
 from flowspark.schemas import FEATURES, TCP_FLAGS
 
 KEY = list(CANONICAL)
@@ -33,12 +35,8 @@ def _micros(seconds: float | None) -> int | None:
     return None if seconds is None else int(seconds * MICRO)
 
 
-def _basic(df: DataFrame, group: list[str]) -> DataFrame:
-    """The 37-column features per group, in two partial-aggregated steps.
-
-    The first step groups by (flow, tag), so the distinct counts of the second step are
-    plain counts of its rows and hot flows collapse before anything is shuffled.
-    """
+def _by_tag(df: DataFrame, group: list[str]) -> DataFrame:
+    """What packets add up to per (group, tag): hot flows collapse before anything is shuffled."""
     # A payload cannot be both a DNS query and an HTTP request (bytes 3-4 differ): one tag.
     tag = F.coalesce(
         F.concat(F.lit("d"), F.hex(P.dns_query())), F.concat(F.lit("h"), P.http_host())
@@ -61,7 +59,7 @@ def _basic(df: DataFrame, group: list[str]) -> DataFrame:
         return F.sum(F.when(cond, value).otherwise(0))
 
     flags = {f"_{n}": _count(_flag(n)) for n, _ in TCP_FLAGS[:6]}
-    by_tag = rows.groupBy(*group, "_tag").agg(
+    return rows.groupBy(*group, "_tag").agg(
         F.min("ts_us").alias("_first"),
         F.max("ts_us").alias("_last"),
         _count(F.col("_fwd")).alias("_pf"),
@@ -78,11 +76,31 @@ def _basic(df: DataFrame, group: list[str]) -> DataFrame:
         F.min(F.when(F.col("_sample").isNotNull(), place)).alias("_sample_at"),
         *[c.alias(n) for n, c in flags.items()],
     )
+
+
+_SUMS = ("_pf", "_pr", "_bf", "_br", "_sq", "_tls", *[f"_{n}" for n, _ in TCP_FLAGS[:6]])
+
+
+def _merged(by_tag: DataFrame, group: list[str]) -> DataFrame:
+    """Sums of ``_by_tag`` in larger groups."""
+    return by_tag.groupBy(*group, "_tag").agg(
+        F.min("_first").alias("_first"),
+        F.max("_last").alias("_last"),
+        *[F.sum(n).alias(n) for n in (*_SUMS, "_tagged")],
+        F.min("_min").alias("_min"),
+        F.max("_max").alias("_max"),
+        F.min_by("_sample", "_sample_at").alias("_sample"),
+        F.min("_sample_at").alias("_sample_at"),
+    )
+
+
+def _basic(by_tag: DataFrame, group: list[str]) -> DataFrame:
+    """The 37-column features per group. Tags are rows here, so their distinct counts are plain counts."""
     kind = F.substring("_tag", 1, 1)
     flows = by_tag.groupBy(*group).agg(
         F.min("_first").alias("_first"),
         F.max("_last").alias("_last"),
-        *[F.sum(n).alias(n) for n in ("_pf", "_pr", "_bf", "_br", "_sq", "_tls", *flags)],
+        *[F.sum(n).alias(n) for n in _SUMS],
         F.min("_min").alias("_min"),
         F.max("_max").alias("_max"),
         F.coalesce(F.sum(F.when(kind == "d", F.col("_tagged"))), F.lit(0)).alias("_dns"),
@@ -146,13 +164,28 @@ def flow_features(packets: DataFrame, timeout_s: float | None = None) -> DataFra
     """Features of each canonical flow over the whole input, or per session with a timeout."""
     if timeout_s is not None:
         return flow_sessions(packets, timeout_s)
-    return _basic(canonical_flow(packets), KEY)
+    return _basic(_by_tag(canonical_flow(packets), KEY), KEY)
 
 
-def flow_sessions(packets: DataFrame, timeout_s: float = 300) -> DataFrame:
-    """As ``flow_features``, but a flow ends when it is idle for more than ``timeout_s``."""
-    rows = in_runs(canonical_flow(packets), KEY, "ts_us", _micros(timeout_s))
-    return _basic(rows.withColumnRenamed("run_at", "session_us"), [*KEY, "session_us"])
+def flow_sessions(packets: DataFrame, timeout_s: float = 300, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """As ``flow_features``, but a flow ends when it is idle for more than ``timeout_s``.
+
+    Chunks no wider than that hold no break inside, so packets are added up by chunk, and chunks into sessions: all
+    that is shuffled are those sums, once by chunk and once by flow. ``keep`` may store them in between.
+    """
+    gap_us = _micros(timeout_s)
+    rows = canonical_flow(packets).withColumn(CHUNK, chunk_of("ts_us", run_width(gap_us, None)))
+    sums = _by_tag(rows, [*KEY, CHUNK])
+    sums = keep(sums) if keep else sums
+    # a chunk has a row per tag
+    flow = Window.partitionBy(*KEY).orderBy(CHUNK)
+    before = flow.rangeBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumns({"_from": F.min("_first").over(Window.partitionBy(*KEY, CHUNK)), "_prev": F.max("_last").over(before)})
+    apart = F.lit(False) if gap_us is None else F.col("_from") - F.col("_prev") > gap_us
+    sums = sums.withColumn("_new", F.when(F.col("_prev").isNull() | apart, F.col("_from")))
+    sums = sums.withColumn("session_us", F.max("_new").over(flow.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+    group = [*KEY, "session_us"]
+    return _basic(_merged(sums, group), group)
 
 
 def flow_vector51(

@@ -9,6 +9,7 @@ from flowspark.functions import packets as P
 from flowspark.operators import flows as O
 from flowspark.plans import views as V
 from flowspark.plans.catalog import q4, query, sql_q4, table
+from flowspark.session import stored
 
 _BASIC = (
     "flow_id", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "start_time", "duration",
@@ -112,7 +113,8 @@ def bulk_flow_features(spark, d):
 
 @query("bulk_flow_sessions", _basic_sql(V.BULK_PACKETS_SQL, 604_800_000_000, False))
 def bulk_flow_sessions(spark, d):
-    return _shown(O.flow_sessions(V.bulk_packets(spark, d), 604_800))
+    # stored steps, so that what was shuffled for one is gone before the next
+    return _shown(O.flow_sessions(stored(V.bulk_packets(spark, d), "packets"), 604_800, keep=stored))
 
 
 # --- the 51-feature vector ------------------------------------------------------

@@ -93,6 +93,22 @@ def test_session_boundary(spark, gap, sessions):
     assert flows.flow_sessions(spark.createDataFrame(rows, PACKET)).count() == sessions
 
 
+@pytest.mark.parametrize("keep", [None, lambda df: df.localCheckpoint()])
+def test_sessions_from_chunk_sums(spark, keep):
+    """Sessions over several chunks, whose tags come again in each; without a time; of null keys."""
+    from flowspark.schemas import PACKET
+
+    query = b"\x00\x01\x01\x00\x00\x01\x00\x00\x00\x00\x00\x00"
+    times = [0, 200, 450, 700, 1100, 1101, None, None]
+    rows = [(t and t * 10**6, a, "b", 9, 53, 17, 10 + n, query + bytes([n % 2]), "", n, 2, None, None) for a in ("a", None) for n, t in enumerate(times)]
+    df = flows.flow_sessions(spark.createDataFrame(rows, PACKET), 300, keep=keep)
+    got = [(r["start_time"], r["packets_total"], r["dns_query_count"], r["dns_unique_domains"], r["tcp_syn_count"]) for r in df.filter("src_ip = 'a'").collect()]
+    assert sorted(got, key=str) == [(0.0, 4, 4, 2, 4), (1100.0, 2, 2, 2, 2), (None, 2, 2, 2, 2)]
+    # once by chunk, once by flow; packets were joined with their sessions and then added up
+    assert keep or exchanges(df) == 2
+    assert df.count() == 6
+
+
 def exchanges(df):
     df = df.withColumn("_k", F.lit(1))
     return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
