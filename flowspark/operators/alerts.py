@@ -250,12 +250,13 @@ def _summed_chunks(both: DataFrame, values: list[str], tie: str) -> DataFrame:
     """The class sums up to each arrival: inside chunks of an hour, each class has carry rows for what came before."""
     both = both.withColumn(CHUNK, chunk_of("_at", WIDTH_US))
     summary = both.groupBy(*GROUP, CHUNK, *CLASSES["b"]).agg(*[F.sum(n).alias(n) for n in values])
-    carries = None
-    for name, extra in CLASSES.items():
-        one = summary if name == "b" else summary.groupBy(*GROUP, CHUNK, *extra).agg(*[F.sum(n).alias(n) for n in values])
-        past = earlier([*GROUP, *extra])
-        one = one.select(*GROUP, CHUNK, *extra, F.lit(name).alias("_class"), *[F.sum(n).over(past).alias(n) for n in values]).filter("_x_far_c is not null")
-        carries = one if carries is None else carries.unionByName(one, allowMissingColumns=True)
+    # once per class, without what need not match in it
+    each = summary.withColumn("_class", F.explode(F.array(*[F.lit(name) for name in CLASSES])))
+    each = each.withColumns({c: F.when(F.col("_class").isin([name for name, extra in CLASSES.items() if c in extra]), F.col(c)) for c in CLASSES["b"]})
+    own = ["_class", *CLASSES["b"]]
+    each = each.groupBy(*GROUP, CHUNK, *own).agg(*[F.sum(n).alias(n) for n in values])
+    past = earlier([*GROUP, *own])
+    carries = each.select(*GROUP, CHUNK, *own, *[F.sum(n).over(past).alias(n) for n in values]).filter("_x_far_c is not null")
     parts = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     both = with_carry(both, carries).repartition(parts, *GROUP, CHUNK)
     for name, extra in CLASSES.items():
